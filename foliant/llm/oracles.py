@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import BUCKETS, MOST_PASSES, SCHEDULES, WEIGHTS
+from .substring_dedup import MAX_WORDS, RUN
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -53,4 +54,41 @@ SELECT doc_id, size, source_size, target, size * copies AS taken,
 FROM p WHERE n = 1
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5}
+BLANK = r" \t\r\n\f\x0B"
+OP3 = rf"""
+WITH p AS (
+  SELECT doc_id, text,
+         list_filter(flatten(list_transform(
+           string_split(regexp_replace(text, '([.!?]+[{BLANK}]+|[。！？]+|\n[{BLANK}]*)', '\1' || chr(1), 'g'), chr(1)),
+           lambda x: CASE WHEN length(x) - length(regexp_replace(x, '[{BLANK}]', '', 'g')) >= {MAX_WORDS}
+                     THEN string_split(regexp_replace(x, '((?:[^{BLANK}]+[{BLANK}]+){{{MAX_WORDS}}})', '\1' || chr(1), 'g'), chr(1)) ELSE [x] END)),
+           lambda x: x <> '') AS parts
+  FROM documents),
+k AS (SELECT doc_id, parts, list_transform(parts, lambda x: lower(trim(regexp_replace(x, '[{BLANK}]+', ' ', 'g'), ' '))) AS keys FROM p WHERE text IS NOT NULL),
+r AS (SELECT doc_id, i, keys[i:i + {RUN} - 1] AS span FROM k, unnest(range(1, len(keys) - {RUN} + 2)) AS t(i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS n FROM r),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM o, range({RUN}) AS t(j) WHERE n > 1),
+kept AS (
+  SELECT k.doc_id, coalesce(string_agg(parts[t.i], '' ORDER BY t.i) FILTER (gone.i IS NULL), '') AS text, count(gone.i)::INTEGER AS n_removed
+  FROM k, unnest(range(1, len(parts) + 1)) AS t(i) LEFT JOIN gone ON gone.doc_id = k.doc_id AND gone.i = t.i GROUP BY k.doc_id)
+SELECT p.doc_id, CASE WHEN coalesce(n_removed, 0) > 0 THEN kept.text ELSE p.text END AS text, coalesce(n_removed, 0)::INTEGER AS n_removed
+FROM p LEFT JOIN kept ON kept.doc_id = p.doc_id
+"""
+
+OP9 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[i:i + 2] AS shingle FROM w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS t(i)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE n.doc_id = x.doc_id) + (SELECT n FROM n WHERE n.doc_id = y.doc_id) - count(*))),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, least(a, min(b)) AS comp FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.comp, w.doc_id) AS component_id, coalesce(c.comp, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_mixing": OP5, "op9_near_dedup": OP9}

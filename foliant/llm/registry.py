@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, url_filter
+from . import mixing, near_dedup, packing, sharding, substring_dedup, url_filter
 from .oracles import ORACLES
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
