@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, sharding, substring_dedup, url_filter
+from . import imatch, mixing, near_dedup, packing, sharding, substring_dedup, url_filter
 from .oracles import ORACLES
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_imatch": imatch.op6_imatch,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
