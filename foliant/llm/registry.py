@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, mixing, near_dedup, packing, sharding, substring_dedup, url_filter
+from . import imatch, language_id, mixing, near_dedup, packing, sharding, substring_dedup, url_filter
 from .oracles import ORACLES
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op6_imatch": imatch.op6_imatch,
+    "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
