@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-K = 24
-TREES, LEAF = 3, 384
-SAMPLE = 14
-DESCENTS = 2
-BEAM, OPENED, ROUNDS = 64, 12, 4
+K = 32
+#: Starts, and rows of a leaf at most; each start proposes FIRST neighbours.
+TREES, LEAF, FIRST = 6, 2560, 20
+#: Neighbours drawn each way for a gathering, and rounds.
+SAMPLE, DESCENTS = 24, 2
+#: Proposals of one gathering for a member.
+EACH = 10
+BEAM, OPENED, ROUNDS = 160, 24, 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def best_of(edges: DataFrame, k: int) -> DataFrame:
 
 def start(codes: DataFrame, total: int, width: int, k: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """First neighbours from leaves of random projections."""
-    depth = max(0, math.ceil(math.log2(max(1, total) / (leaf / 2))))
+    depth = max(0, math.ceil(math.log2(max(1, 4 * total / leaf))))
     planes = np.random.default_rng(5).standard_normal((trees, depth, width)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +145,9 @@ def start(codes: DataFrame, total: int, width: int, k: int, trees: int = TREES,
     # Leaves that are too large (copies of one vector) are dealt into parts by hash; too small ones are joined.
     sizes = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tree", "high").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("high", F.shiftright("leaf", 6)).withColumn("joined", F.floor(before / (leaf / 2))).withColumn("parts", F.ceil(F.col("n") / (leaf / 2)))
+    sizes = sizes.withColumn("high", F.shiftright("leaf", 6)).withColumn("joined", F.floor(before / leaf)).withColumn("parts", F.ceil(F.col("n") / leaf))
     placed = leaves.join(sizes.drop("n"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("floor", F.lit(float("-inf")))
-    return best_of(proposals(placed, ["tree", "high", "joined", "part"], k), k)
+    return best_of(proposals(placed, ["tree", "high", "joined", "part"], FIRST), k)
 
 
 def descend(graph: DataFrame, codes: DataFrame, k: int, sample: int, turn: int) -> DataFrame:
@@ -161,7 +164,7 @@ def descend(graph: DataFrame, codes: DataFrame, k: int, sample: int, turn: int)
     floors = graph.groupBy("src").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     floors = floors.select(F.col("src").alias("node"), F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"))
     members = codes.join(floors, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")).cast("float")))
-    return best_of(graph.unionByName(proposals(met.join(members, "node"), ["hub"], 8)), k)
+    return best_of(graph.unionByName(proposals(met.join(members, "node"), ["hub"], EACH)), k)
 
 
 def build(codes: DataFrame, total: int, width: int, k: int = K, descents: int = DESCENTS, sample: int = SAMPLE) -> DataFrame:
