@@ -102,8 +102,7 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents' own columns, a row for each copy taken, range-sorted by training position."""
     own = documents.columns
     copies = assign(measured(documents), **options).select(*own, F.explode("_positions").alias("_position"))
-    n = max(documents.rdd.getNumPartitions(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return copies.repartitionByRange(n, "_position", F.xxhash64("doc_id")).sortWithinPartitions("_position", F.xxhash64("doc_id")).select(*own)
+    return copies.repartitionByRange("_position", F.xxhash64("doc_id")).sortWithinPartitions("_position", F.xxhash64("doc_id")).select(*own)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
