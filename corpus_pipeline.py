@@ -1,12 +1,39 @@
-"""The corpus pipeline: stages over documents, each calling one operator of foliant.llm."""
+"""The corpus pipeline: stages over documents, each calling one operator of foliant.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import mixing, packing
+from foliant.llm import language_id, mixing, near_dedup, packing, substring_dedup
 from foliant.llm.common import materialize, table
 
+#: Documents whose language is less sure than this are rejected, as are those without letters.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of no certain language; lang becomes the language found."""
+    model = language_id.LanguageModel.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model)
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(sure).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    gone = near_dedup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes sentences of passages that occurred before."""
+    return substring_dedup.remove_repeats(docs).select(*docs.columns)
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source at its target weight, documents in training order."""
@@ -18,14 +45,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, with_ids=True)
 
 
-STAGES = [("mixing", mix), ("packing", pack)]
+STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]
 
-#: Language ID and near-dedup by hashing are not expressible in SQL; tests compare with brute force.
+#: Language ID and the tokenizer are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if not i else materialize(docs), sf_dir)
+        docs = stage(spark, materialize(docs) if i else docs, sf_dir)
     return docs
