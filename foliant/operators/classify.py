@@ -27,16 +27,18 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s\-./]", " "), r"\s+", " "))
 
 
-def keyword_count(text: Column, keyword: str) -> Column:
+def keyword_count(text: Column, keyword: Column) -> Column:
     """Non-overlapping occurrences of a substring. Most keywords don't occur, and contains() tells so at a fraction of the cost."""
-    n = ((F.length(text) - F.length(F.replace(text, F.lit(keyword), F.lit("")))) / len(keyword)).cast("int")
-    return F.when(text.contains(keyword), n).otherwise(0)
+    n = ((F.length(text) - F.length(F.replace(text, keyword, F.lit("")))) / F.length(keyword)).cast("int")
+    return F.when(F.contains(text, keyword), n).otherwise(0)
 
 
 def type_score(text: Column, kind: str, words: Lexicon) -> Column:
+    """Keywords are folded as one constant array, so that the generated code stays small; patterns are compiled once each."""
     score = F.lit(0)
-    for keyword, weight in words.keywords.get(kind, {}).items():
-        score = score + keyword_count(text, keyword) * weight
+    if own := words.keywords.get(kind):
+        every = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in own.items()])
+        score = F.aggregate(every, score, lambda sum_, k: sum_ + keyword_count(text, k["keyword"]) * k["weight"])
     for pattern in words.patterns.get(kind, ()):
         score = score + F.regexp_count(text, F.lit(pattern)) * words.pattern_weight
     return score
@@ -74,8 +76,7 @@ def keyword_hits(text: Column, words: Lexicon) -> Column:
     every = [F.struct(F.lit(k).alias("kind"), F.lit(w).alias("keyword"), F.lit(n).alias("weight")) for k, own in words.keywords.items() for w, n in own.items()]
 
     def found(t: Column) -> Column:
-        times = lambda k: ((F.length(t) - F.length(F.replace(t, k["keyword"], F.lit("")))) / F.length(k["keyword"])).cast("int")
-        counted = F.transform(F.array(*every), lambda k: k.withField("count", times(k)))
+        counted = F.transform(F.array(*every), lambda k: k.withField("count", keyword_count(t, k["keyword"])))
         return F.transform(F.filter(counted, lambda r: r["count"] > 0), lambda r: r.withField("score", r["count"] * r["weight"]))
 
     return F.get(F.transform(F.array(text), found), F.lit(0))  # the text is a lambda's variable, so it is made once
