@@ -223,7 +223,12 @@ def delete_claims(claims: DataFrame, documents: DataFrame, gone: DataFrame) -> t
 
 def edit_entities(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with edited entities (id, key, value, verified, remarks) set, and in review. One batch for many edits."""
-    newest = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"), *[F.map_from_entries(F.filter(F.collect_list(F.struct("key", c)), lambda e, c=c: e[c].isNotNull())).alias(f"_{c}") for c in ("verified", "remarks")])
+
+    def given(name: str) -> Column:
+        pairs = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("key", F.col(name).alias("value"))))
+        return F.map_from_entries(pairs)
+
+    newest = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"), given("verified").alias("_verified"), given("remarks").alias("_remarks"))
     hit = F.col("_values").isNotNull()
     joined = documents.join(newest, "id", "left")
     laid = {n: F.when(hit, payloads.overlay(F.coalesce(F.col(n), F.create_map().cast(dict(documents.dtypes)[n])), F.col(e))).otherwise(F.col(n)) for n, e in (("all_extracted_entities", "_values"), ("entity_verification", "_verified"), ("entity_remarks", "_remarks"))}

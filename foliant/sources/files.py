@@ -23,8 +23,8 @@ PAGE_PAYLOAD = (
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, name, content: a row a file."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 
 def page_number(name: str = "name") -> F.Column:
