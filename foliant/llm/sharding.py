@@ -64,7 +64,8 @@ def propagate(linked: DataFrame, quota: float, rounds: int, shards: int) -> Data
             break
         rates = [min(1.0, max(0.0, (quota - load[s] + leave[s]) / arrive[s])) if arrive[s] else 0.0 for s in range(shards)]
         rate = F.element_at(F.array(*map(F.lit, rates)), F.col("wanted") + 1)
-        moved = F.when(share(F.lit(turn), F.col("_group")) < rate, F.col("wanted")).otherwise(F.col("shard"))
+        stay = F.col("wanted").isNull()  # no shard with room holds any of the group
+        moved = F.when(stay, F.col("shard")).when(share(F.lit(turn), F.col("_group")) < rate, F.col("wanted")).otherwise(F.col("shard"))
         linked = materialize(linked.join(wish, "_group", "left").withColumn("shard", moved).drop("wanted"))
     return linked
 
