@@ -48,3 +48,24 @@ def padded(box: Column, pad: int, width: Column, height: Column) -> Column:
         F.greatest(F.lit(0), box["x1"] - pad).alias("x1"), F.greatest(F.lit(0), box["y1"] - pad).alias("y1"),
         F.least(width, box["x2"] + pad).alias("x2"), F.least(height, box["y2"] + pad).alias("y2"),
     )
+
+
+def union_coverage(boxes: Column, width: Column, height: Column) -> Column:
+    """The share of a page that its boxes cover, each spot once: between neighbouring x bounds, the covered y lengths.
+
+    boxes: an array of box structs, of one page. Bounds are cut to the page.
+    """
+    cut = lambda v, most: F.greatest(F.lit(0), F.least(v, most))
+    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(cut(b["x1"], width), cut(b["x2"], width))))))
+    spans = F.zip_with(F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def covered(span: Column) -> Column:
+        over = F.filter(boxes, lambda b: (b["x1"] <= span["a"]) & (b["x2"] >= span["b"]))
+        ys = F.array_sort(F.transform(over, lambda b: F.struct(cut(b["y1"], height).alias("y1"), cut(b["y2"], height).alias("y2"))))
+        start = F.struct(F.lit(0).cast("double").alias("sum"), F.lit(0).cast("double").alias("to"))
+        step = lambda acc, y: F.struct(
+            (acc["sum"] + F.greatest(F.lit(0.0), y["y2"] - F.greatest(acc["to"], y["y1"].cast("double")))).alias("sum"), F.greatest(acc["to"], y["y2"].cast("double")).alias("to"),
+        )
+        return (span["b"] - span["a"]) * F.aggregate(ys, start, step)["sum"]
+
+    return F.aggregate(F.transform(spans, covered), F.lit(0.0), lambda s, x: s + x) / (width * height)

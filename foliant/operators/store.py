@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payloads
-from ..functions.quality import claim_status, settable
+from ..functions.quality import claim_status, settable, terminal_status
 from ..functions.text import alias_key, trailing_number
 
 #: The summary's fields and the names they go by, first ones first.
@@ -238,3 +238,34 @@ def edit_entities(documents: DataFrame, edits: DataFrame) -> DataFrame:
 def remove_entity(documents: DataFrame, key: str) -> DataFrame:
     names = ("all_extracted_entities", "entity_verification", "entity_remarks")
     return documents.withColumns({n: payloads.remove_key(F.col(n), F.lit(key)) for n in names} | {"review_status": F.lit("in_review")})
+
+
+def error_summaries(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key: the first error in order of id, the number of distinct errors, and whether any document is meaningful.
+
+    documents: keys, id, status, entities, tables, llm_errors, errors, warning_errors.
+    """
+    found = payloads.payload_errors(F.col("llm_errors"), F.col("errors"), F.col("warning_errors"))
+    each = documents.withColumns({"_errors": found, "_full": payloads.meaningful(F.col("status"), F.col("entities"), F.col("tables"))})
+    first = F.min_by(F.get("_errors", F.lit(0)), F.when(F.size("_errors") > 0, F.col("id")))
+    return each.groupBy(*keys).agg(first.alias("first_error"), F.sum(F.size("_errors")).alias("errors"), F.bool_or("_full").alias("meaningful"))
+
+
+def final_statuses(runs: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Runs (key, merge_failed, extractor_failed, pages, message) with their terminal statuses and message."""
+    joined = runs.join(error_summaries(documents, [key]), key, "left")
+    wrong = F.coalesce(F.col("errors") > 0, F.lit(False))
+    full = F.coalesce("meaningful", F.lit(False))
+    status = terminal_status(F.col("merge_failed"), F.col("extractor_failed"), F.col("pages"), wrong, full)
+    said = joined.withColumns({"_s": status, "error_message": F.coalesce("message", F.when(wrong, F.col("first_error")))})
+    return said.select(key, "_s.ocr_status", "_s.mapping_status", "error_message")
+
+
+def of_path(callbacks: DataFrame) -> DataFrame:
+    """Callbacks whose claim is the one they were sent to."""
+    return callbacks.where(F.col("claim_id") == F.col("path_claim_id"))
+
+
+def create_claims(claims: DataFrame, new: DataFrame) -> DataFrame:
+    """Claims with new ones (claim_id, file_no, created_at) added as uploaded; other fields are null."""
+    return claims.unionByName(new.withColumn("status", F.lit("uploaded")), allowMissingColumns=True)

@@ -277,3 +277,45 @@ ORACLES["mime_and_upload"] = r"""
 WITH p AS (SELECT regexp_extract(replace(url, '.html', '.pdf'), '\.([A-Za-z0-9]+)([?#].*)?$', 1) AS kind, regexp_replace(url, '\.html$', '.pdf') AS name, octet_length(encode(html)) AS size FROM pages)
 SELECT CASE lower(kind) WHEN 'pdf' THEN 'application/pdf' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' ELSE 'application/octet-stream' END AS mime,
        lower(string_split(name, '.')[-1]) IN ('pdf', 'jpg', 'jpeg', 'png') AND contains(name, '.') AND size <= 26214400 AS allowed, count(*) AS pages FROM p GROUP BY ALL"""
+
+
+ORACLES["region_filter"] = f"""
+WITH {BOXES}, r AS (SELECT *, ['table', 'figure', 'header', 'title'][box_id % 4 + 1] AS kind, box_id % 10 / 10.0::DOUBLE AS score FROM boxes)
+SELECT page, box_id FROM r WHERE kind IN ('title', 'plain text', 'table', 'figure') AND score >= 0.35 AND x2 - x1 >= 20 AND y2 - y1 >= 20 AND (x2 - x1) * (y2 - y1) / (100 * 75)::DOUBLE <= 0.95"""
+ORACLES["cell_filter"] = """
+WITH c AS (SELECT event_id AS cell_id, (event_id * 37 % 900)::INTEGER AS w, (event_id * 53 % 70 + 1)::INTEGER AS h, 30000 AS page_area FROM events)
+SELECT * FROM c WHERE w >= 35 AND h >= 18 AND w * h >= 400 AND w * h <= 0.9 * page_area AND NOT (w / h::DOUBLE > 30 OR h / w::DOUBLE > 30)"""
+ORACLES["page_coverage"] = f"""
+WITH {BOXES}, b AS (SELECT page, box_id, least(x1, 200) AS x1, least(x2, 200) AS x2, least(y1, 180) AS y1, least(y2, 180) AS y2 FROM boxes),
+x AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM (SELECT page, x1 AS x FROM b UNION SELECT page, x2 FROM b)),
+y AS (SELECT page, y, lead(y) OVER (PARTITION BY page ORDER BY y) AS ny FROM (SELECT page, y1 AS y FROM b UNION SELECT page, y2 FROM b)),
+g AS (SELECT x.page, (nx - x) * (ny - y) AS a FROM x JOIN y ON x.page = y.page
+      WHERE nx IS NOT NULL AND ny IS NOT NULL AND EXISTS (SELECT 1 FROM b WHERE b.page = x.page AND b.x1 <= x AND b.x2 >= nx AND b.y1 <= y AND b.y2 >= ny))
+SELECT page, round(sum(a) / (200 * 180)::DOUBLE, 9) AS coverage FROM g GROUP BY page"""
+ORACLES["union_tokens"] = f"""
+WITH {TOKENS}, u AS (SELECT * FROM tokens WHERE token_id % 2 = 0 AND token_id % 5 <> 0 UNION ALL SELECT * FROM tokens WHERE token_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, lower(trim(text)), round_even(x / 5::DOUBLE, 0), round_even(y / 5::DOUBLE, 0) ORDER BY token_id) AS n FROM u)
+SELECT page, token_id FROM r WHERE n = 1"""
+ORACLES["run_statuses"] = """
+WITH d AS (
+  SELECT l_orderkey AS run, l_linenumber AS id, l_partkey % 11 <> 0 AND l_partkey % 2 = 0 AS full_, l_partkey % 5 = 0 AS e, l_partkey % 7 = 0 AS w,
+         CASE WHEN l_partkey % 5 = 0 THEN 'bad ' || l_linenumber WHEN l_partkey % 7 = 0 THEN 'w' END AS error FROM lineitem),
+s AS (SELECT run, arg_min(error, id) FILTER (error IS NOT NULL) AS first_error, bool_or(e OR w) AS wrong, bool_or(full_) AS meaningful FROM d GROUP BY run),
+r AS (SELECT o_orderkey AS run, o_orderkey % 13 = 0 AS mf, o_orderkey % 17 = 0 AS xf, o_orderkey % 3 AS pages, CASE WHEN o_orderkey % 13 = 0 THEN 'merger' END AS message FROM orders),
+j AS (SELECT r.*, coalesce(wrong, false) AS wrong, coalesce(meaningful, false) AS meaningful, first_error, CASE WHEN xf THEN CASE WHEN pages > 0 THEN 'partial' ELSE 'failed' END ELSE 'completed' END AS mapping
+      FROM r LEFT JOIN s ON s.run = r.run)
+SELECT run, CASE WHEN mf OR (wrong AND NOT meaningful) THEN 'failed' ELSE 'completed' END AS ocr_status,
+       CASE WHEN mf OR (wrong AND NOT meaningful) THEN 'failed' WHEN wrong AND mapping = 'completed' THEN 'partial' ELSE mapping END AS mapping_status,
+       coalesce(message, CASE WHEN wrong THEN first_error END) AS error_message FROM j"""
+ORACLES["reviewer_edits"] = """
+SELECT p_partkey AS id, p_brand AS brand, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE p_type END AS type, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS note,
+       c_custkey % 3 = 0 AS verified, CASE WHEN c_custkey IS NULL THEN 'pending' ELSE 'in_review' END AS review_status
+FROM part LEFT JOIN customer ON c_custkey = p_partkey"""
+ORACLES["flat_rows"] = """
+SELECT conv_id, 0 AS table_no, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS row_no, role AS type, md5(text) AS item FROM conversations"""
+_v = "lower(" + strip("v") + ") IN ('null', 'none', '')"
+ORACLES["best_entities"] = f"""
+WITH e AS (SELECT conv_id, turn, role AS key, substring(text, 1, 9) AS v FROM conversations UNION ALL SELECT conv_id, turn, 'state', CASE WHEN turn % 2 = 0 THEN ' none ' ELSE 'ok' END FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY {_v}, CASE WHEN {_v} THEN 0 ELSE -length({strip("v")}) END, turn) AS n FROM e WHERE v IS NOT NULL)
+SELECT conv_id, key, v AS value FROM r WHERE n = 1"""
+ORACLES["session_users"] = "SELECT user_id, count(*) AS events FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 99 AND user_id IS NOT NULL) GROUP BY user_id"

@@ -360,3 +360,89 @@ def mime_and_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("size", F.octet_length("html"))
     kind = text.mime_type(F.lit(None).cast("string"), F.regexp_replace("url", r"\.html", ".pdf"))
     return pages.select(kind.alias("mime"), text.upload_allowed(F.regexp_replace("url", r"\.html$", ".pdf"), F.col("size")).alias("allowed")).groupBy("mime", "allowed").agg(F.count("*").alias("pages"))
+
+
+@query
+def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("box_id")
+    kind = F.element_at(F.array(*map(F.lit, ("Table", "figure", "header", "title"))), (i % 4 + 1).cast("int"))
+    regions = tables.boxes(spark, sf_dir).withColumns({"type": kind, "score": (i % 10) / 10.0, "page_width": F.lit(100), "page_height": F.lit(75)})
+    return spatial.keep_regions(regions).select("page", "box_id")
+
+
+@query
+def cell_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    cells = table(spark, sf_dir, "events").select(i.alias("cell_id"), (i * 37 % 900).cast("int").alias("w"), (i * 53 % 70 + 1).cast("int").alias("h")).withColumn("page_area", F.lit(30_000))
+    return spatial.keep_cells(cells)
+
+
+@query
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact share of each page that its boxes cover."""
+    pages = tables.boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
+    return pages.select("page", F.round(geometry.union_coverage(F.col("boxes"), F.lit(200), F.lit(180)), 9).alias("coverage"))
+
+
+@query
+def union_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of regions and of the whole page, each once."""
+    tokens = tables.tokens(spark, sf_dir)
+    kind = F.when(F.col("token_id") % 5 == 0, "figure").otherwise("table")
+    return spatial.union_tokens(tokens.where(F.col("token_id") % 2 == 0).withColumn("region_type", kind), tokens.where(F.col("token_id") % 3 == 0), ["page"]).select("page", "token_id")
+
+
+@query
+def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs, their line items as documents with errors and contents."""
+    k = F.col("l_partkey")
+    none = F.lit(None).cast("array<string>")
+    error = F.concat(F.lit("bad "), F.col("l_linenumber").cast("string"))
+    docs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("id"), F.when(k % 11 == 0, "blank_document").alias("status"),
+        F.when(k % 2 == 0, F.create_map(F.lit("a"), F.lit("b"))).alias("entities"), none.alias("tables"),
+        F.when(k % 5 == 0, F.array(error)).alias("llm_errors"), F.when(k % 5 == 0, F.array(error, F.lit(""))).alias("errors"), F.when(k % 7 == 0, F.array(F.lit("w"))).alias("warning_errors"),
+    )
+    o = F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select(o.alias("run"), (o % 13 == 0).alias("merge_failed"), (o % 17 == 0).alias("extractor_failed"), (o % 3).alias("pages"), F.when(o % 13 == 0, "merger").alias("message"))
+    return store.final_statuses(runs, docs, "run")
+
+
+@query
+def reviewer_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents whose fields orders edit: the field set, verified, in review."""
+    empty = F.create_map().cast("map<string,string>")
+    docs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("p.type"), F.col("p_type")).alias("all_extracted_entities"),
+        F.create_map().cast("map<string,boolean>").alias("entity_verification"), empty.alias("entity_remarks"), F.lit(None).cast("string").alias("review_status"),
+    )
+    c = F.col("c_custkey")
+    edits = table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 2 == 0, "p.type").otherwise("note").alias("key"), F.col("c_mktsegment").alias("value"), (c % 3 == 0).alias("verified"), F.lit(None).cast("string").alias("remarks"))
+    out = store.full_view(store.edit_entities(docs, edits))
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+    return out.select("id", *[get("all_extracted_entities", k).alias(n) for k, n in (("brand", "brand"), ("p.type", "type"), ("note", "note"))], F.coalesce(get("entity_verification", "note"), get("entity_verification", "p.type")).alias("verified"), "review_status")
+
+
+@query
+def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages with one table; its rows numbered by table and row."""
+    row = F.struct(F.col("role").alias("type"), F.col("text").alias("medication_or_item_name"))
+    pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", row.alias("row")))).alias("r"))
+    tabled = pages.select("conv_id", F.array(F.struct(F.transform("r", lambda x: x["row"]).alias("rows"))).alias("all_extracted_tables"))
+    out = consolidate.table_rows(tabled, ["conv_id"])
+    return out.select("conv_id", "table_no", "row_no", F.col("row.type").alias("type"), F.md5(F.col("row.medication_or_item_name").cast("binary")).alias("item"))
+
+
+@query
+def best_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's entities over its turns: short values by role, the best of each."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_number"), F.create_map("role", F.substring("text", 1, 9), F.lit("state"), F.when(F.col("turn") % 2 == 0, " none ").otherwise("ok")).alias("all_extracted_entities"))
+    return consolidate.merge_entities(pages, ["conv_id"])
+
+
+@query
+def session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents already processed are skipped: events of users without a later purchase-sized value."""
+    events = table(spark, sf_dir, "events")
+    done = events.where(F.col("value") > 99).select("user_id").distinct()
+    return batches.skip_done(events, done, "user_id").groupBy("user_id").agg(F.count("*").alias("events"))
