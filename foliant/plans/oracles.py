@@ -298,7 +298,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page, lower(trim(text)), round_e
 SELECT page, token_id FROM r WHERE n = 1"""
 ORACLES["run_statuses"] = """
 WITH d AS (
-  SELECT l_orderkey AS run, l_linenumber AS id, l_partkey % 11 <> 0 AND l_partkey % 2 = 0 AS full_, l_partkey % 5 = 0 AS e, l_partkey % 7 = 0 AS w,
+  SELECT l_orderkey AS run, l_linenumber::BIGINT * 1000000000 + l_partkey AS id, l_partkey % 11 <> 0 AND l_partkey % 2 = 0 AS full_, l_partkey % 5 = 0 AS e, l_partkey % 7 = 0 AS w,
          CASE WHEN l_partkey % 5 = 0 THEN 'bad ' || l_linenumber WHEN l_partkey % 7 = 0 THEN 'w' END AS error FROM lineitem),
 s AS (SELECT run, arg_min(error, id) FILTER (error IS NOT NULL) AS first_error, bool_or(e OR w) AS wrong, bool_or(full_) AS meaningful FROM d GROUP BY run),
 r AS (SELECT o_orderkey AS run, o_orderkey % 13 = 0 AS mf, o_orderkey % 17 = 0 AS xf, o_orderkey % 3 AS pages, CASE WHEN o_orderkey % 13 = 0 THEN 'merger' END AS message FROM orders),

@@ -399,7 +399,7 @@ def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     error = F.concat(F.lit("bad "), F.col("l_linenumber").cast("string"))
     docs = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("id"), F.when(k % 11 == 0, "blank_document").alias("status"),
+        F.col("l_orderkey").alias("run"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + k).alias("id"), F.when(k % 11 == 0, "blank_document").alias("status"),
         F.when(k % 2 == 0, F.create_map(F.lit("a"), F.lit("b"))).alias("entities"), none.alias("tables"),
         F.when(k % 5 == 0, F.array(error)).alias("llm_errors"), F.when(k % 5 == 0, F.array(error, F.lit(""))).alias("errors"), F.when(k % 7 == 0, F.array(F.lit("w"))).alias("warning_errors"),
     )
