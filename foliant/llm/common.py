@@ -36,6 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing still to be computed reads."""
+    for df in tables:
+        session = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,23 +54,20 @@ def hash128(col: Column) -> list[Column]:
     return [F.xxhash64(col), F.xxhash64(F.lit(1), col)]
 
 
-def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, bucket: Column, buckets_sorted: bool = True) -> DataFrame:
-    """Exclusive running sum of value within keys, by (bucket, order), without one task per key.
+def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, bucket: Column) -> DataFrame:
+    """Exclusive running sum of value within keys (which hold no nulls), by (bucket, order), without one task per key.
 
     Rows of a key are dealt into buckets; the window runs inside (key, bucket), and a second window over the
-    bucket totals (at most as many rows a key as there are buckets) gives each bucket its base.
+    bucket totals (at most as many rows a key as there are buckets) gives each bucket its base. The join with the
+    bases and the window deal rows by the same columns, so rows move once.
     """
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [*keys, "_bucket"]
+    inner = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     dealt = df.withColumn("_bucket", bucket)
-    bases = (
-        dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(over), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"), "_base")
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_kb")]
+    bases = dealt.groupBy(*parts).agg(F.sum(value).alias("_total")).withColumn("_base", F.coalesce(F.sum("_total").over(over), F.lit(0)))
     return (
-        dealt.join(bases, on)
+        dealt.join(bases.drop("_total"), parts)
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .drop("_bucket", "_kb", "_base", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_bucket", "_base")
     )

@@ -85,8 +85,9 @@ def assign(rows: DataFrame, schedules=SCHEDULES, weights: tuple[int, ...] = WEIG
     """
     goals = targets(rows, weights, most).withColumnRenamed("source", "_goal_source")
     joined = rows.join(goals, F.col("source").eqNullSafe(F.col("_goal_source"))).drop("_goal_source")
+    joined = joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # never null, so that it can be dealt by
     bucket = F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    laid = sum_before(joined, ["source"], [F.col("_key"), F.col("doc_id"), F.col("_size"), F.col("_tie")], "_size", "_before", bucket)
+    laid = sum_before(joined, ["_source"], [F.col("_key"), F.col("doc_id"), F.col("_size"), F.col("_tie")], "_size", "_before", bucket)
     starts = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: i * F.col("_source_size") + F.col("_before"))
     taken = F.filter(starts, lambda x: 2 * x + F.col("_size") <= 2 * F.col("_target"))
     knots = F.element_at(F.array(*[integrated(k) for k in schedules]), F.col("_kind") + 1)
@@ -94,7 +95,7 @@ def assign(rows: DataFrame, schedules=SCHEDULES, weights: tuple[int, ...] = WEIG
     return (
         laid.withColumns({"_taken": taken, "_knots": knots})
         .withColumn("_positions", F.transform(middle, lambda s: position(s, F.col("_knots"))))
-        .drop("_taken", "_knots", "_before")
+        .drop("_taken", "_knots", "_before", "_source")
     )
 
 
