@@ -28,8 +28,10 @@ from .common import materialize, table
 
 MAX_TOKENS = 4096
 END_ID = 2
-#: Words that one worker remembers; more are tokenized anew each time.
-REMEMBERED = 1 << 20
+#: Words that one worker remembers (about 60 MB); more are tokenized anew each time.
+REMEMBERED = 1 << 18
+#: Documents that a task handles at once.
+ROWS = 1000
 
 #: Texts of these characters only are tokenized word by word: they are in normal form, and white space parts them.
 PLAIN = re.compile(r"[\t\n\r -~\xa1-\xff]*")
@@ -93,13 +95,19 @@ def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
     return encode if encode(probe) == whole(probe) else whole
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def tokenized(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """part int, start long (in the partition), doc_id, doc_tokens long, ids binary; in input order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, kind, encode = load(path)
         part, end, at = TaskContext.get().partitionId(), np.array([end_id], kind).tobytes(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
             starts = at + np.cumsum(sizes) - sizes
@@ -129,7 +137,7 @@ def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TO
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = load(path)[1]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc_id, at, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, start = np.frombuffer(raw, kind), 0
