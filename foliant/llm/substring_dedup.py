@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, table
+from .common import discard, hash128, materialize, table
 
 RUN = 3
 MAX_WORDS = 16
@@ -53,18 +53,23 @@ def repeated_runs(hashed: DataFrame, run: int) -> DataFrame:
     runs = F.transform(at, lambda i: F.struct((i - 1).alias("pos"), one(i, "a").alias("a"), one(i, "b").alias("b")))
     spans = hashed.where(F.size("s") >= run).select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.pos", "r.a", "r.b")
     repeated = spans.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    repeated = materialize(repeated)  # a plain table, so that Spark can split the partition of a hot hash in the join
     again = spans.join(repeated, ["a", "b"]).repartition("doc_id")
     first_pos = F.min("pos").over(Window.partitionBy("doc_id", "a", "b"))
     later = again.withColumn("first_pos", first_pos).where((F.col("doc_id") > F.col("first_doc")) | (F.col("pos") > F.col("first_pos")))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("_starts"))
+    starts = materialize(later.groupBy("doc_id").agg(F.collect_set("pos").alias("_starts")))
+    discard(repeated)
+    return starts
 
 
 def remove_repeats(documents: DataFrame, run: int = RUN, max_words: int = MAX_WORDS) -> DataFrame:
     """The documents with their repeated sentences removed, and n_removed; n_chars, if there, follows the text."""
     own = documents.columns
-    keys = F.transform(sentences(F.col("text"), max_words), lambda s: F.struct(*[h.alias(n) for h, n in zip(hash128(plain(s)), "ab", strict=True)]))
+    plains = F.transform(sentences(F.col("text"), max_words), plain)  # apart from the hashes, so that each is made once
+    keys = F.transform(plains, lambda s: F.struct(*[h.alias(n) for h, n in zip(hash128(s), "ab", strict=True)]))
     hashed = materialize(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", keys.alias("s")))
     starts = repeated_runs(hashed, run).withColumnRenamed("doc_id", "_doc")
+    discard(hashed)
 
     def rewrite(parts: pd.Series, places: pd.Series) -> pd.DataFrame:
         texts, removed = [], []
