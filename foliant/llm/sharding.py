@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, sum_before, table
+from .common import discard, hash128, materialize, sum_before, table
 
 SHARDS = 40
 ROUNDS = 5
@@ -108,10 +108,12 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
     rows = materialize(narrow(documents).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")))
     mean = rows.count() / shards
     groups = rows.where(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    groups = materialize(groups)  # a plain table, so that Spark can split the partition of a hot group in the join
     tagged = rows.join(groups.withColumnsRenamed({"_a": "_ga", "_b": "_gb"}), (F.col("_a") == F.col("_ga")) & (F.col("_b") == F.col("_gb")), "left")
     part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.ceil(F.col("_n") / F.lit(max(1.0, part_of_mean * mean))))
     tagged = tagged.withColumn("_group", F.when(F.col("_n").isNotNull(), F.xxhash64("_a", "_b", part)))
     tagged = materialize(tagged.select("doc_id", "size", "text_crc32", "shard", "_group"))
+    discard(rows, groups)
     linked, alone = tagged.where(F.col("_group").isNotNull()), tagged.where(F.col("_group").isNull())
     quota = max(mean, (1 + slack) * linked.count() / shards)
     placed = level(propagate(linked, quota, rounds, shards).unionByName(alone), shards, buckets)
