@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .shingles import OTHER, MinHash, mix, shingle_set, word_hashes
 
 ROWS = 5
@@ -173,7 +173,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        done, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        discard(done)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -183,11 +184,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     rows = materialize(signed(documents, words, hashes))
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")))
-    spread = classes.select("node", F.explode("bands").alias("key")).distinct()
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # What is joined by key is stored first: between plain tables, Spark can split the partition of a hot bucket.
+    spread = classes.select("node", F.explode("bands").alias("key"))
+    shared = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     buckets = materialize(spread.join(shared, "key"))
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
-    leaders = buckets.join(rank, "node").groupBy("key").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("leader"))
+    leaders = materialize(buckets.join(rank, "node").groupBy("key").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("leader")))
     members = materialize(buckets.join(leaders, "key").where(F.col("node") != F.col("leader")))
     pairs = members.select("leader", F.col("node").alias("member")).distinct()
     sets = stored_sets(documents, members.select("node").union(members.select("leader")).distinct(), words)
@@ -203,6 +205,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     more = materialize(block_links(placed.join(open_keys, "key"), sets, percent, hashes))
     if not more.isEmpty():
         found = materialize(components(stars.unionByName(more)))
+    discard(shared, buckets, leaders, members, sets, stars, more)
 
     named = classes.join(found, "node", "left").select("a", "b", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     joined = rows.drop("bands").join(named, ["a", "b", "n_shingles"], "left")
