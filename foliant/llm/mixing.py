@@ -83,7 +83,8 @@ def assign(rows: DataFrame, schedules=SCHEDULES, weights: tuple[int, ...] = WEIG
 
     Broadcast by choice of Spark alone: the table of sources is joined without a hint.
     """
-    goals = targets(rows, weights, most).withColumnRenamed("source", "_goal_source")
+    # Stored first, so that its size is known before the rows would be dealt for the join.
+    goals = materialize(targets(rows, weights, most)).withColumnRenamed("source", "_goal_source")
     joined = rows.join(goals, F.col("source").eqNullSafe(F.col("_goal_source"))).drop("_goal_source")
     joined = joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # never null, so that it can be dealt by
     bucket = F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
