@@ -35,10 +35,10 @@ K = 32
 #: Starts, and rows of a leaf at most; each start proposes FIRST neighbours.
 TREES, LEAF, FIRST = 6, 2560, 20
 #: Neighbours drawn each way for a gathering, and rounds.
-SAMPLE, DESCENTS = 24, 2
+SAMPLE, DESCENTS = 24, 3
 #: Proposals of one gathering for a member.
 EACH = 10
-BEAM, OPENED, ROUNDS = 160, 24, 4
+BEAM, OPENED, ROUNDS = 240, 40, 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
