@@ -41,8 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of full sequences, with token ids."""
-    return packing.pack(docs, with_ids=True)
+    """Boundary records of full sequences, with token ids, in the order of the files that mixing's range sort wrote."""
+    return packing.pack(docs, with_ids=True, by_files=True)
 
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]

@@ -5,6 +5,9 @@ totals (one row a partition) are summed up to give each partition its global bas
 where its global offset crosses a multiple of the sequence length and emits one boundary record a piece. Every
 sequence but the last is full, so nothing is shuffled and at most one sequence is padded.
 
+The order is that of the input's partitions, or, with by_files, of the files that the input is a plain scan of: Spark
+deals files to scan partitions by their sizes, so partition numbers don't follow the names that a range sort wrote.
+
 Pass one is written to the shared folder, so pass two sees the same order even if executors are lost. Token ids
 are stored as 16-bit numbers where the vocabulary allows it.
 
@@ -101,38 +104,55 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def tokenized(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """part int, start long (in the partition), doc_id, doc_tokens long, ids binary; in input order."""
+def scans_files(documents: DataFrame) -> bool:
+    """Whether the rows are those of files as they lie there: nothing but selections over a scan."""
+    node = documents._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation") and bool(documents.inputFiles())
+
+
+def tokenized(documents: DataFrame, path: str, end_id: int = END_ID, by_files: bool = False) -> DataFrame:
+    """file string, block long, part int, start long (in these three), doc_id, doc_tokens long, ids binary; in input order."""
+    by_files = by_files and scans_files(documents)
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if by_files else [F.lit(""), F.lit(0).cast("long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, kind, encode = load(path)
-        part, end, at = TaskContext.get().partitionId(), np.array([end_id], kind).tobytes(), 0
+        part, end, at = TaskContext.get().partitionId(), np.array([end_id], kind).tobytes(), {}
         for batch in slices(batches):
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
-            starts = at + np.cumsum(sizes) - sizes
-            at += int(sizes.sum())
+            starts = []
+            for key, size in zip(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), sizes.tolist(), strict=True):
+                starts.append(at.get(key, 0))
+                at[key] = starts[-1] + size
             yield pa.record_batch(
-                [pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())],
-                names=["part", "start", "doc_id", "doc_tokens", "ids"],
+                [batch.column(2), batch.column(3), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts, pa.int64()), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())],
+                names=["file", "block", "part", "start", "doc_id", "doc_tokens", "ids"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, start long, doc_id long, doc_tokens long, ids binary")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", place[0].alias("file"), place[1].alias("block"))
+    return rows.mapInArrow(run, "file string, block long, part int, start long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, by_files: bool = False) -> DataFrame:
     """One boundary record for each piece of a document; with_ids adds the piece's token ids.
 
-    Broadcast: one row of 12 bytes for each input partition, whatever the size of the partitions.
+    Broadcast: one row of a path and three numbers for each input partition or, by_files, each split of a file,
+    whatever their size.
     """
     path = path or vocabulary()
-    stored = materialize(tokenized(documents, path, end_id))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    stored = materialize(tokenized(documents, path, end_id, by_files))
+    # Writers name files part-N with at least five digits, so beyond those the number goes before the name.
+    number = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, "file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ["file", "block", "part"]
     bases = (
-        stored.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
-        .select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+        stored.groupBy(*parts).agg(F.sum("doc_tokens").alias("total"))
+        .select(*parts, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     )
-    placed = stored.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "doc_tokens", "ids")
+    placed = stored.join(F.broadcast(bases), parts).select("doc_id", (F.col("base") + F.col("start")).alias("at"), "doc_tokens", "ids")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
