@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: NN-descent builds the graph, greedy search answers queries.
 
 Inner product becomes nearness of unit-free vectors by one added dimension, sqrt(largest norm**2 - norm**2), so that
-vectors of unlike length are searched rightly. For the graph, vectors are coded as 8-bit numbers with a scale; scores
+vectors of unlike length are searched rightly. For the graph, vectors are coded as 16-bit numbers with a scale; scores
 of results are exact, in double precision on the original vectors.
 
 1. Start: TREES times, vectors are dealt into leaves by the signs of random projections, leaves into parts of at most
@@ -11,6 +11,10 @@ of results are exact, in double precision on the original vectors.
    listed in at most 2 * SAMPLE gatherings, however many nodes point to it (a vector with thousands of copies).
 3. Queries walk the graph: a beam of the best nodes found so far; each round opens the best unopened ones.
 
+Equal vectors are one class, named by its smallest id: graph and search know classes only, and a class found gives its
+members in id order. Very close vectors are dealt into other parts by each start, and equal scores are taken in a drawn
+order, so that vectors with one code don't all list the same few.
+
 Every round is a few Spark joins on bounded groups, written to the shared folder.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite numbers take
@@ -56,7 +60,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def coded(rows: DataFrame, most: float) -> DataFrame:
-    """node, code: the augmented vector as a float32 scale and 8-bit numbers."""
+    """node, code: the augmented vector as a float32 scale and 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,8 +68,8 @@ def coded(rows: DataFrame, most: float) -> DataFrame:
             for vec in batch.column(1).to_pylist():
                 x = np.array(vec)
                 x = np.append(x, math.sqrt(max(0.0, most * most - float(x @ x))))
-                scale = np.abs(x).max() / 127
-                out.append(np.float32(scale).tobytes() + np.rint(x / scale).astype(np.int8).tobytes())
+                scale = np.abs(x).max() / 32767
+                out.append(np.float32(scale).tobytes() + np.rint(x / scale).astype(np.int16).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["node", "code"])
 
     return rows.select("node", "vec").mapInArrow(run, "node long, code binary")
@@ -73,7 +77,7 @@ def coded(rows: DataFrame, most: float) -> DataFrame:
 
 def decoded(codes: list[bytes]) -> np.ndarray:
     flat = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return flat[:, 4:].view(np.int8).astype(np.float32) * flat[:, :4].copy().view(np.float32)
+    return flat[:, 4:].copy().view(np.int16).astype(np.float32) * flat[:, :4].copy().view(np.float32)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -101,11 +105,13 @@ def proposals(groups: DataFrame, keys: list[str], each: int) -> DataFrame:
             nodes, floor = np.array([r[-3] for r in rows]), np.array([r[-1] for r in rows], np.float32)
             x = decoded([r[-2] for r in rows])
             near = x @ x.T
-            near[nodes[:, None] == nodes] = -np.inf
+            near[nodes[:, None] == nodes] = np.finfo(np.float32).min / 2
             n = min(each, len(rows) - 1)
-            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            # Equal scores (vectors with one code) go in an order drawn for each row, or all rows would name the same few.
+            drawn = np.random.default_rng(int(nodes.min()) & 0xFFFFFFFF).random(near.shape, np.float32)
+            best = np.argpartition(np.abs(near) * (4e-7 * drawn) - near, n - 1, axis=1)[:, :n]
             found = np.take_along_axis(near, best, axis=1)
-            a, b = np.nonzero(found > floor[:, None])
+            a, b = np.nonzero((found > floor[:, None]) & (nodes[best] != nodes[:, None]))
             src.append(nodes[a])
             dst.append(nodes[best[a, b]])
             score.append(found[a, b])
@@ -120,9 +126,9 @@ def proposals(groups: DataFrame, keys: list[str], each: int) -> DataFrame:
 
 
 def best_of(edges: DataFrame, k: int) -> DataFrame:
-    """The k best edges of each src, copies of an edge once."""
+    """The k best edges of each src, copies of an edge once; ties in a drawn order, so that no node is listed by all."""
     once = edges.groupBy("src", "dst").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.xxhash64("src", "dst"), "dst"))
     return once.withColumn("n", place).where(F.col("n") <= k).drop("n")
 
 
@@ -146,7 +152,7 @@ def start(codes: DataFrame, total: int, width: int, k: int, trees: int = TREES,
     sizes = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tree", "high").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("high", F.shiftright("leaf", 6)).withColumn("joined", F.floor(before / leaf)).withColumn("parts", F.ceil(F.col("n") / leaf))
-    placed = leaves.join(sizes.drop("n"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("floor", F.lit(float("-inf")))
+    placed = leaves.join(sizes.drop("n"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tree", "node"), F.col("parts"))).withColumn("floor", F.lit(float("-inf")))
     return best_of(proposals(placed, ["tree", "high", "joined", "part"], FIRST), k)
 
 
@@ -197,21 +203,45 @@ def search(queries: DataFrame, entries: DataFrame, rows: DataFrame, graph: DataF
     return found.select("query_id", "node", "score")
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """node, head: the members of classes of two or more equal vectors, and the smallest of each."""
+    # Stored, so that Spark knows its size (often nothing) and can split the class of a hot vector in the join.
+    copied = materialize(rows.groupBy("vec").agg(F.min("node").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("vec", "head"))
+    return materialize(rows.join(copied, "vec").select("node", "head"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors that are queries, among all rows but the query's own."""
     rows = materialize(usable(vectors))
-    about = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("most"), F.max(F.size("vec")).alias("width")).first()
+    members = classes(rows)
+    copies = members.where(F.col("node") != F.col("head"))
+    heads = materialize(rows.join(copies, "node", "left_anti"))
+    about = heads.agg(F.count("*").alias("n"), F.max(F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("most"), F.max(F.size("vec")).alias("width")).first()
     if not about["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes = materialize(coded(rows, about["most"]))
+    codes = materialize(coded(heads, about["most"]))
     graph = build(codes, about["n"], about["width"] + 1, max(K, k + 1))
-    queries = materialize(rows.where(is_query).select(F.col("node").alias("query_id"), F.col("vec").alias("qvec")))
+    asked = rows.where(is_query).select("node").join(copies, "node", "left")
+    asked = materialize(asked.select(F.col("node").alias("query_id"), F.coalesce("head", "node").alias("asked")))
+    queries = materialize(heads.join(asked.select(F.col("asked").alias("node")).distinct(), "node").select(F.col("node").alias("query_id"), F.col("vec").alias("qvec")))
     own = queries.select("query_id", F.col("query_id").alias("node"))
     near = queries.join(graph, F.col("query_id") == F.col("src")).select("query_id", F.col("dst").alias("node"))
-    found = search(queries, own.unionByName(near), rows, graph, k)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
-    ranked = found.where(F.col("node") != F.col("query_id")).withColumn("rank", place).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("node").alias("vec_id"), "score")
+    found = search(queries, own.unionByName(near), heads, graph, k)
+    # k + 1 classes, k + 1 members of each, and k + 1 rows of them hold all that a query can ask for, besides itself.
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "node"))
+    found = found.withColumnRenamed("query_id", "asked")
+    best = found.withColumn("n", place).where(F.col("n") <= k + 1).select("asked", F.col("node").alias("head"), "score")
+    salted = F.row_number().over(Window.partitionBy("head", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node"))
+    first = members.withColumn("n", salted).where(F.col("n") <= k + 1)
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy("node"))).where(F.col("n") <= k + 1)
+    first = first.groupBy("head").agg(F.collect_list("node").alias("nodes"))
+    spread = best.join(first, "head", "left").select("asked", "score", F.explode(F.coalesce("nodes", F.array("head"))).alias("node"))
+    spread = spread.withColumn("n", place).where(F.col("n") <= k + 1)
+    # A list for each class asked for, which its queries share; stored, so that the join can split a hot class.
+    lists = materialize(spread.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("n", "node", "score"))).alias("found")))
+    others = F.slice(F.filter("found", lambda x: x["node"] != F.col("query_id")), 1, k)
+    ranked = asked.join(lists, "asked").select("query_id", F.posexplode(others).alias("at", "hit"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.node").alias("vec_id"), "hit.score")
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
