@@ -1,13 +1,19 @@
 """WARC derivatives: metadata and plain-text conversion records linked to the responses they come from.
 
-`read_warc` splits WARC files (gzip too, as Spark's text reader streams them) into records; `responses` makes response
+`read_warc` walks WARC/1.0 and 1.1 files (gzip too, as Spark's text reader streams them) record by record; `responses` makes response
 records from (page_id, url, html) rows; `derive` turns each response into a metadata and a conversion record that refer
 to it by WARC-Refers-To, keep its target URI, date and payload digest, and carry digests of their own blocks;
-`to_warc` gives their bytes in WARC/1.0 form. All steps work row by row, so nothing is shuffled.
+`to_warc` gives their bytes in WARC/1.0 form. All steps but read_warc work row by row, so nothing is shuffled; it deals
+the pieces of a file to one task, in order, since only the records before say where a record starts.
+
+Chunked, gzip and deflate bodies are decoded for the conversion; a body in another coding has none, and the metadata
+say so (source-undecoded). The metadata carry all HTTP headers (source-http-...) and, where records have headers, those
+of the source record (source-record-...); its payload digest is kept as it is.
 
 Defined results: a null url gives a record without target URI, a null html an empty payload; identifiers are made from
 page id, url and payload, so reruns agree and rows that repeat get equal identifiers; a response without an HTTP
-header has its whole block as payload; records of other types are left out; an empty table gives no rows. Other
+header has its whole block as payload; records of other types, where record_type is there, and records that are cut
+short, where complete is there, are left out; an empty table gives no rows. Other
 columns are ignored.
 """
 
@@ -18,7 +24,9 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +74,62 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return head + gap, body
 
 
+def header_lines(head: bytes) -> list[tuple[str, str]]:
+    """(name in small letters, value) of header lines; lines that begin with white space go on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append((name.strip().lower(), value.strip()))
+    return out
+
+
+def unchunked(body: bytes) -> bytes:
+    """The chunks joined; the body itself if it isn't chunked, as archives that store decoded bodies have it."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return b"".join(out) if out else body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """The body decoded, members one after another; as it is if it isn't so coded."""
+    out = []
+    try:
+        while body:
+            wide = 31 if coding.endswith("gzip") else 15 if body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0 else -15
+            one = zlib.decompressobj(wide)
+            out.append(one.decompress(body) + one.flush())
+            body = one.unused_data
+    except zlib.error:
+        pass  # what follows a sound member is padding
+    return b"".join(out) if out else body
+
+
+def decoded(header: bytes, payload: bytes) -> tuple[bytes, str]:
+    """(payload without transfer and content codings, the coding that could not be undone)."""
+    fields = header_lines(header)
+    for name in ("transfer-encoding", "content-encoding"):
+        codings = [c.strip().lower() for k, v in fields if k == name for c in v.split(",")]
+        for coding in reversed(codings):
+            if coding == "chunked":
+                payload = unchunked(payload)
+            elif coding in ("gzip", "x-gzip", "deflate"):
+                payload = inflated(payload, coding)
+            elif coding not in ("", "identity"):
+                return b"", coding
+    return payload, ""
+
+
 def decode(header: bytes, payload: bytes) -> str:
     named = CHARSET.search(header) or CHARSET.search(payload[:2048])
     try:
@@ -92,11 +156,13 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, record_id string, target_uri string, date string, block binary")
 
 
-def derived(page: int | None, source: str, uri: str | None, date: str | None, block: bytes) -> list[tuple]:
-    """The two records of one response, as rows of FIELDS."""
+def derived(page: int | None, source: str, uri: str | None, date: str | None, block: bytes, headers: str | None = None) -> list[tuple]:
+    """The two records of one response, as rows of FIELDS; headers are the WARC header lines of the source."""
     header, payload = split_http(block)
-    of_payload = digest(payload)
-    text = decode(header, payload)
+    record = header_lines((headers or "").encode())
+    of_payload = dict(record).get("warc-payload-digest") or digest(payload)
+    body, undecoded = decoded(header, payload)
+    text = decode(header, body)
     plain = text_of(text)
     title, lang = TITLE.search(text), LANG.search(text)
     facts = {
@@ -107,16 +173,24 @@ def derived(page: int | None, source: str, uri: str | None, date: str | None, bl
         "languages": lang[1].lower() if lang else "",
         "text-length": str(len(plain)),
     }
+    if undecoded:
+        facts["source-undecoded"] = undecoded
+    carried = [f"source-http-{k}: {v}" for k, v in header_lines(header.partition(b"\r\n")[2])] + [f"source-record-{k}: {v}" for k, v in record]
     links = ["outlink: " + html.unescape(a or b or c) for a, b, c in LINK.findall(HIDDEN.sub(" ", text))]
     out = []
-    for kind, mime, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts.items()) + "".join(f"{x}\r\n" for x in links)), ("conversion", "text/plain", plain)):
+    for kind, mime, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts.items()) + "".join(f"{x}\r\n" for x in carried + links)), ("conversion", "text/plain", plain)):
         raw = body.encode()
         out.append((page, kind, record_id(kind, source), source, uri, date, mime, digest(raw), of_payload, len(raw), body))
     return out
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two rows of FIELDS for each response: page_id, record_id, target_uri, date, block."""
+    """Two rows of FIELDS for each response: page_id, record_id, target_uri, date, block; headers, record_type, complete if there."""
+    if "record_type" in records.columns:
+        records = records.where(F.lower("record_type") == "response")
+    if "complete" in records.columns:
+        records = records.where("complete")
+    headers = F.col("headers") if "headers" in records.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
@@ -126,7 +200,7 @@ def derive(records: DataFrame) -> DataFrame:
                 rows = [x for r in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True) for x in derived(*r)]
                 yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return records.select("page_id", "record_id", "target_uri", "date", F.coalesce("block", F.lit(b"")).alias("block")).mapInArrow(run, FIELDS)
+    return records.select("page_id", "record_id", "target_uri", "date", F.coalesce("block", F.lit(b"")).alias("block"), headers.alias("headers")).mapInArrow(run, FIELDS)
 
 
 def to_warc() -> Column:
@@ -141,28 +215,79 @@ def to_warc() -> Column:
     return F.concat(head.cast("binary"), F.col("block").cast("binary"), F.lit(b"\r\n\r\n"))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (null), record_id, record_type, refers_to, target_uri, date, block of the records of WARC files.
+VERSION = b"WARC/1."
+START = re.compile(rb"WARC/1\.[01]\r\n")
+NAMES = ("warc-record-id", "warc-type", "warc-refers-to", "warc-target-uri", "warc-date")
+
+
+def walk(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """(names' values, headers, block, complete) of a file's records from the pieces between its version marks.
 
-    Files are cut at the line that starts a record, so a payload that holds such a line of its own would be cut
-    there; records whose block doesn't have the stated length are dropped.
+    Pieces are joined until a record has its Content-Length, so marks in headers or payloads cut nothing. A record
+    without a length, or for which the file is too short, is given as its own piece and not complete; the walk then
+    goes on with the piece after it.
     """
-    raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where("value != ''").select(F.col("value").cast("binary").alias("raw"))
+    waiting: list[bytes] = []
+    source, ended = iter(pieces), False
+    while True:
+        if not waiting:
+            if ended or (first := next(source, None)) is None:
+                return
+            waiting.append(first)
+        used, whole, need, at = 1, bytearray(VERSION + waiting[0]), None, -1
+        if START.match(whole):
+            while True:
+                if at < 0 and (at := whole.find(b"\r\n\r\n")) >= 0:
+                    fields = dict(reversed(header_lines(bytes(whole[:at]).partition(b"\r\n")[2])))
+                    size = fields.get("content-length", "")
+                    if not re.fullmatch("[0-9]+", size):
+                        break
+                    need = at + 4 + int(size)
+                if need is not None and len(whole) >= need:
+                    break
+                if used == len(waiting):
+                    if (more := next(source, None)) is None:
+                        ended = True
+                        break
+                    waiting.append(more)
+                whole += VERSION + waiting[used]
+                used += 1
+        complete = need is not None and len(whole) >= need
+        if not complete:
+            used, whole = 1, bytearray(VERSION + waiting[0])
+            at = whole.find(b"\r\n\r\n")
+            need = len(whole)
+        head = bytes(whole[:at] if at >= 0 else b"").partition(b"\r\n")[2]
+        fields = dict(reversed(header_lines(head)))
+        if complete or at >= 0:
+            yield (*(fields.get(n) for n in NAMES), head.decode("utf-8", "replace"), bytes(whole[at + 4 : need]), complete)
+        del waiting[:used]
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """page_id (null), record_id, record_type, refers_to, target_uri, date, headers, block, complete of the records of WARC files."""
+    cut = spark.read.option("lineSep", VERSION.decode()).text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")]
+    raw = cut.select(*place, F.col("value").cast("binary").alias("raw")).repartition("file").sortWithinPartitions("file", "start", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["warc-record-id", "warc-type", "warc-refers-to", "warc-target-uri", "warc-date"]
-        for batch in batches:
-            rows = []
-            for whole in batch.column(0).to_pylist():
-                head, _, rest = whole.partition(b"\r\n\r\n")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
-                size = int(fields.get("content-length", -1))
-                if 0 <= size <= len(rest):
-                    rows.append((*(fields.get(n) for n in names), rest[:size]))
-            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(5)] + [pa.array([r[5] for r in rows], pa.binary())]
-            yield pa.record_batch(columns, names=["record_id", "record_type", "refers_to", "target_uri", "date", "block"])
-
-    return raw.mapInArrow(run, "record_id string, record_type string, refers_to string, target_uri string, date string, block binary").withColumn("page_id", F.lit(None).cast("long"))
+        rows = ((f, x) for batch in batches for f, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        names = ["record_id", "record_type", "refers_to", "target_uri", "date", "headers", "block", "complete"]
+        kinds = [pa.string()] * 6 + [pa.binary(), pa.bool_()]
+        ready = lambda out: pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        out, held = [], 0
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            next(group)  # what stands before the first mark
+            for record in walk(x for _, x in group):
+                out.append(record)
+                held += len(record[-2])
+                if held > 1 << 24 or len(out) >= 1000:
+                    yield ready(out)
+                    out, held = [], 0
+        yield ready(out)
+
+    fields = "record_id string, record_type string, refers_to string, target_uri string, date string, headers string, block binary, complete boolean"
+    return raw.select("file", "raw").mapInArrow(run, fields).withColumn("page_id", F.lit(None).cast("long"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
