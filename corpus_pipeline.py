@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]
 
-#: Language ID and the tokenizer are not expressible in SQL; tests compare with brute force.
+#: Language ID and the tokenizer are not expressible in SQL; tests check columns, counts and the packed order.
 ORACLE_SQL = None
 
 
