@@ -17,32 +17,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about BATCH_BYTES, however long texts are, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share.
+    """A fresh folder below the folder that the driver and all executors share.
 
-    Only where the setting is absent (tests on one machine) a local folder is made and set.
+    That is spark.checkpoint.dir, or the checkpoint folder that the application has set. Only where neither is there and
+    the master is this machine alone, as in tests, a local folder is made and set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        given = spark._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="foliant-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+def on_disk(spark: SparkSession, folder: str):
+    """(file system, path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What is not discarded earlier is deleted when the application ends.
+    """
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    files, folder = on_disk(df.sparkSession, path)
+    files.deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing still to be computed reads."""
     for df in tables:
-        session = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = session._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = on_disk(df.sparkSession, folder)
+            files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text handled at once; longer texts are cut at white space.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _rng = np.random.default_rng(20240607)
 LOWER = np.arange(256)
 LOWER[65:91] += 32
@@ -84,8 +84,8 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
 class MinHash:
     """bands x rows minima under universal hash functions (a * x + b) >> 32 on 64 bits."""
 
-    def __init__(self, bands: int, rows: int):
-        rng = np.random.default_rng(971)
+    def __init__(self, bands: int, rows: int, seed: int = 971):
+        rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         self.a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
