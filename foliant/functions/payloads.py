@@ -148,6 +148,20 @@ def delete_column(rows: Column, header: Column) -> Column:
     return F.transform(rows, lambda r: remove_key(r, header))
 
 
+def new_table(name: Column, headers: Column) -> Column:
+    """A table with its headers and one empty row."""
+    row = F.map_from_arrays(headers, F.transform(headers, lambda _: F.lit("")))
+    return F.struct(name.alias("table_name_or_purpose"), headers.alias("headers"), F.array(row).alias("rows"))
+
+
+def add_table(tables: Column, table: Column) -> Column:
+    return F.array_append(tables, table)
+
+
+def delete_table(tables: Column, place: Column) -> Column:
+    return delete_at(tables, place)
+
+
 def missing(value: Column) -> Column:
     """Null, empty or 'not available'."""
     return value.isNull() | (value == "") | (F.lower(value) == "not available")

@@ -23,8 +23,9 @@ def strip(text: Column) -> Column:
 
 
 def compose(text: Column) -> Column:
-    """Canonical composition (NFC)."""
-    return F.pandas_udf(lambda s: s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore"), "string")(text)
+    """Canonical composition (NFC). Only texts with characters from U+0300 on, which alone it can change, go to Python."""
+    composed = F.pandas_udf(lambda s: s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore"), "string")
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\u02FF]"), text)), text)
 
 
 def drop_controls(text: Column) -> Column:
@@ -68,18 +69,23 @@ def pad_rules(text: Column) -> Column:
 
 
 def pad_rules_exact(text: Column) -> Column:
-    """As pad_rules, but a run is padded once for each time it occurs, also inside longer runs."""
+    """As pad_rules, but a run is padded once for each time it occurs, also inside longer runs.
+
+    The two differ only in texts with two runs of a kind, so only those go to Python.
+    """
+    kinds = ("-{3,}", "={3,}", "_{3,}", r"\|{2,}")
 
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str) -> str:
-            for kind in ("-{3,}", "={3,}", "_{3,}", r"\|{2,}"):
+            for kind in kinds:
                 for found in re.findall(kind, t):
                     t = t.replace(found, f" {found} ")
             return t
 
         return texts.map(one, na_action="ignore")
 
-    return F.pandas_udf(run, "string")(text)
+    twice = text.rlike("|".join(rf"(?s:{kind}[^{mark}].*?{kind})" for kind, mark in zip(kinds, ("-", "=", "_", "|"), strict=True)))
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(twice, text)), pad_rules(text))
 
 
 def drop_garbage_lines(text: Column) -> Column:
@@ -90,13 +96,16 @@ def drop_garbage_lines(text: Column) -> Column:
 
 def squeeze_lines(text: Column) -> Column:
     """Lines trimmed; runs of empty lines cut to one."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    kept = F.filter(lines, lambda s, i: (s != "") | (i == 0) | (F.element_at(lines, F.greatest(i, F.lit(1))) != ""))
-    return F.array_join(kept, "\n")
+
+    def kept(lines: Column) -> Column:
+        return F.filter(lines, lambda s, i: (s != "") | (i == 0) | (F.element_at(lines, F.greatest(i, F.lit(1))) != ""))
+
+    # The lines are a lambda's variable, so they are made once.
+    return F.array_join(F.get(F.transform(F.array(F.transform(F.split(text, "\n"), strip)), kept), F.lit(0)), "\n")
 
 
-def clean(text: Column, composed: bool = False, exact_rules: bool = False) -> Column:
-    """The whole cleaner; null and empty give ''. composed adds canonical composition, exact_rules exact padding."""
+def clean(text: Column, composed: bool = True, exact_rules: bool = True) -> Column:
+    """The whole cleaner; null and empty give ''. Without composition and exact padding it needs no Python at all."""
     out = fix_glyphs(compose(text) if composed else text)
     out = drop_controls(out)
     out = pad_rules_exact(out) if exact_rules else pad_rules(out)

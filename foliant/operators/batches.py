@@ -22,19 +22,22 @@ def pages_by_type(pages: DataFrame) -> DataFrame:
 
 
 def numbered_batches(pages: DataFrame, size: int = BATCH, buckets: int = 256) -> DataFrame:
-    """Adds batch (from 1) and place (from 0 in its batch): consecutive pages of a type, `size` a batch.
+    """page_number, document_type, batch (from 1), place (from 0 in its batch): consecutive pages of a type, `size` a batch.
 
-    Page numbers are dealt into ranges of 2**20 / buckets, ranked inside a range and offset by the counts of the ranges
-    before, so that a type that holds most pages is not ranked by one task.
+    Page numbers are distinct. They are dealt into ranges of 2**20 / buckets, ranked inside a range and offset by the
+    counts of the ranges before, so that a type that holds most pages is not ranked by one task. Ranks and counts read the
+    same exchange of narrow rows, so that the types, which may be costly to find, are found once.
     """
     kind = F.lower(F.trim(F.coalesce("document_type", F.lit("unknown"))))
-    dealt = pages.withColumns({"document_type": kind, "_range": F.floor(F.col("page_number") / ((1 << 20) // buckets))})
+    dealt = pages.select("page_number", kind.alias("document_type"), F.floor(F.col("page_number") / ((1 << 20) // buckets)).alias("_range"))
+    dealt = dealt.repartition("document_type", "_range")
     over = Window.partitionBy("document_type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy("document_type", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
+    counts = dealt.groupBy("document_type", "_range").agg(F.count("page_number").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
     inside = Window.partitionBy("document_type", "_range").orderBy("page_number")
     rank = F.col("_before") + F.row_number().over(inside) - 1
     ranked = dealt.join(before, ["document_type", "_range"]).withColumn("_rank", rank)
-    return ranked.withColumns({"batch": (F.floor(F.col("_rank") / size) + 1).cast("int"), "place": (F.col("_rank") % size).cast("int")}).drop("_rank", "_range", "_before")
+    return ranked.select("page_number", "document_type", (F.floor(F.col("_rank") / size) + 1).cast("int").alias("batch"), (F.col("_rank") % size).cast("int").alias("place"))
 
 
 def header(kind: Column, pages: Column) -> Column:
@@ -51,9 +54,10 @@ def merged_texts(pages: DataFrame, texts: DataFrame | None = None, size: int = B
 
     pages: page_number, document_type and, unless texts (page_number, text) is given, text.
     """
-    joined = pages if texts is None else pages.join(texts, "page_number", "left")
+    texts = pages.select("page_number", "text") if texts is None else texts.select("page_number", "text")
     rows = F.sort_array(F.collect_list(F.struct("page_number", "text")))
-    grouped = numbered_batches(joined, size).groupBy("document_type", "batch").agg(rows.alias("rows"))  # `size` pages a group
+    joined = numbered_batches(pages, size).join(texts, "page_number", "left")
+    grouped = joined.groupBy("document_type", "batch").agg(rows.alias("rows"))  # `size` pages a group
     rule = "=" * 70
 
     def section(row: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,20 @@ def keyword_count(text: Column, keyword: Column) -> Column:
     return F.when(F.contains(text, keyword), n).otherwise(0)
 
 
+def literal_in(pattern: str) -> str:
+    """Letters that every match of the pattern holds, as long a run as can be told; empty if none can."""
+    if "(?" in pattern or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    bare = re.sub(r"\([^()]*\)[*?+]?|\[[^\]]*\][*?+]?|\\.[*?+]?|.[*?]|.\{[^}]*\}", " ", pattern)
+    return max(re.findall("[a-z]+", bare), key=len, default="")
+
+
+def pattern_count(text: Column, pattern: str) -> Column:
+    """Matches of a regular expression; most don't occur, and their letters tell so at a fraction of the cost."""
+    n, letters = F.regexp_count(text, F.lit(pattern)), literal_in(pattern)
+    return F.when(F.contains(text, F.lit(letters)), n).otherwise(0) if letters else n
+
+
 def type_score(text: Column, kind: str, words: Lexicon) -> Column:
     """Keywords are folded as one constant array, so that the generated code stays small; patterns are compiled once each."""
     score = F.lit(0)
@@ -40,7 +55,7 @@ def type_score(text: Column, kind: str, words: Lexicon) -> Column:
         every = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for k, w in own.items()])
         score = F.aggregate(every, score, lambda sum_, k: sum_ + keyword_count(text, k["keyword"]) * k["weight"])
     for pattern in words.patterns.get(kind, ()):
-        score = score + F.regexp_count(text, F.lit(pattern)) * words.pattern_weight
+        score = score + pattern_count(text, pattern) * words.pattern_weight
     return score
 
 

@@ -140,16 +140,19 @@ def progress(documents: DataFrame, key: str = "claim_id") -> DataFrame:
 def fill_sequences(documents: DataFrame, keys: list[str], order: list[str], sequence: str = "sequence") -> DataFrame:
     """Rows without a number get, in order, the smallest positive ones that their key doesn't use.
 
-    Of n rows a key needs at most the numbers 1 to n, so the used ones of those are collected a key: no more than it has
-    rows. The k-th free number is k plus the used ones before it.
+    The r-th used number u of a key leaves u - r free ones below it, so the k-th free number is k plus the count of used
+    ones with u - r < k: used numbers and waiting rows are merged in that order and counted in one pass over sorted rows.
     """
-    used = documents.groupBy(*keys).agg(F.array_sort(F.collect_set(sequence)).alias("_used"))
-    places = Window.partitionBy(*keys, F.col(sequence).isNull()).orderBy(*order)
-    k = F.row_number().over(places)
-    step = lambda n, u: F.when(u <= n, n + 1).otherwise(n)
-    free = F.aggregate(F.filter("_used", lambda u: u >= 1), F.col("_k"), step)
-    joined = documents.withColumn("_k", k).join(used, keys)
-    return joined.withColumn(sequence, F.coalesce(F.col(sequence), free.cast(dict(documents.dtypes)[sequence]))).drop("_k", "_used")
+    waits = F.col(sequence).isNull()
+    used = documents.where(F.col(sequence) >= 1).select(*keys, F.col(sequence).cast("long").alias("_u")).distinct()
+    used = used.withColumn("_at", F.col("_u") - F.row_number().over(Window.partitionBy(*keys).orderBy("_u")) + 1).drop("_u")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    waiting = documents.where(waits).withColumns({"_at": place.cast("long"), "_row": F.lit(True)})
+    both = waiting.unionByName(used, allowMissingColumns=True)
+    merged = Window.partitionBy(*keys).orderBy("_at", F.col("_row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = F.col("_at") + F.count_if(F.col("_row").isNull()).over(merged)
+    filled = both.withColumn("_free", free).where("_row").withColumn(sequence, F.col("_free").cast(dict(documents.dtypes)[sequence]))
+    return documents.where(~waits).unionByName(filled.select(*documents.columns))
 
 
 def merge_key(documents: DataFrame) -> DataFrame:
@@ -182,11 +185,39 @@ def ingest(stored: DataFrame, payload: DataFrame, fields: list[str]) -> DataFram
         "sequence": F.coalesce("sequence", trailing_number(F.col("source_file_name"))),
         "ocr_status": F.lit("processing"), "status": F.lit("processing"),
     })
-    keyed = latest(merge_key(ready), ["claim_id", "_key"], "updated_at", "document_type")
+    return merge_documents(stored, ready, fields)
+
+
+def merge_documents(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
+    """Documents with incoming ones merged in by claim and file name, else type; the newest of a key; sequences filled."""
+    keyed = latest(merge_key(incoming), ["claim_id", "_key"], "updated_at", "document_type")
     merged = upsert(merge_key(stored), keyed, ["claim_id", "_key"], fields)
     return fill_sequences(merged.drop("_key"), ["claim_id", "document_type"], ["created_at", "source_file_name"])
 
 
+def ingest_bulk(claims: DataFrame, stored: DataFrame, payload: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Claims and documents after many documents at once: their claims are completed, the documents stay processing."""
+    done = payload.select("claim_id", F.lit("completed").alias("_status")).distinct()
+    told = claims.join(done, "claim_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    return told, ingest(stored, payload, fields)
+
+
+def ingest_callbacks(claims: DataFrame, stored: DataFrame, callbacks: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Claims and documents after callbacks (claim_id, document_type, file_url, ocr_status, updated_at, structured_entries, raw_entries).
+
+    Each entry (document_type, source_file_name, all_extracted_entities) is a document; a callback without entries is one
+    document of its own type. Fields that an entry lacks are the callback's. Later callbacks win.
+    """
+    ahead = callbacks.select("claim_id", F.col("document_type").alias("_type"), "ocr_status", "updated_at", "structured_entries", "raw_entries")
+    said = callback_entries(ahead, ["_type", "ocr_status", "updated_at"])
+    found = said.select(
+        "claim_id", F.coalesce("entry.document_type", "_type").alias("document_type"), F.col("entry.source_file_name").alias("source_file_name"),
+        F.coalesce("entry.all_extracted_entities", F.create_map().cast("map<string,string>")).alias("all_extracted_entities"),
+        trailing_number(F.col("entry.source_file_name")).alias("sequence"), F.lower("ocr_status").alias("ocr_status"), claim_status(F.col("ocr_status")).alias("status"), "updated_at",
+    )
+    return apply_callbacks(claims, callbacks), merge_documents(stored, found, fields)
+
+
 def apply_callbacks(claims: DataFrame, callbacks: DataFrame) -> DataFrame:
     """Claims with the status of their latest callback."""
     said = latest(callbacks.select("claim_id", "ocr_status", "updated_at"), ["claim_id"], "updated_at", "ocr_status")
@@ -194,11 +225,11 @@ def apply_callbacks(claims: DataFrame, callbacks: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 
-def callback_entries(callbacks: DataFrame) -> DataFrame:
-    """claim_id, place, entry: the structured entries, else the raw ones, else one null entry as fallback."""
+def callback_entries(callbacks: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """claim_id, more, place, entry: the structured entries, else the raw ones, else one null entry as fallback."""
     full = lambda c: F.when(F.size(c) > 0, F.col(c))
     entries = F.coalesce(full("structured_entries"), full("raw_entries"))
-    return callbacks.select("claim_id", F.posexplode_outer(entries).alias("place", "entry"))
+    return callbacks.select("claim_id", *(more or []), F.posexplode_outer(entries).alias("place", "entry"))
 
 
 def set_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
@@ -221,20 +252,40 @@ def delete_claims(claims: DataFrame, documents: DataFrame, gone: DataFrame) -> t
     return claims.join(key, "claim_id", "left_anti"), documents.join(key, "claim_id", "left_anti")
 
 
-def edit_entities(documents: DataFrame, edits: DataFrame) -> DataFrame:
-    """Documents with edited entities (id, key, value, verified, remarks) set, and in review. One batch for many edits."""
+def edit_entities(documents: DataFrame, edits: DataFrame, order: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents with edited entities (id, key, value, verified, remarks) set, and in review. One batch for many edits.
+
+    Edits of one key count in the order of the given columns (place, or without it the value): of the value, and of each
+    verified and remarks that is not null, the last stays.
+    """
+    turn = F.struct(*(order or (["place"] if "place" in edits.columns else ["value"])))
+    last = lambda name: F.max_by(name, F.when(F.col(name).isNotNull(), turn)).alias(name)
+    each = edits.groupBy("id", "key").agg(F.max_by("value", turn).alias("value"), last("verified"), last("remarks"))
 
     def given(name: str) -> Column:
         pairs = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("key", F.col(name).alias("value"))))
         return F.map_from_entries(pairs)
 
-    newest = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"), given("verified").alias("_verified"), given("remarks").alias("_remarks"))
+    newest = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"), given("verified").alias("_verified"), given("remarks").alias("_remarks"))
     hit = F.col("_values").isNotNull()
     joined = documents.join(newest, "id", "left")
     laid = {n: F.when(hit, payloads.overlay(F.coalesce(F.col(n), F.create_map().cast(dict(documents.dtypes)[n])), F.col(e))).otherwise(F.col(n)) for n, e in (("all_extracted_entities", "_values"), ("entity_verification", "_verified"), ("entity_remarks", "_remarks"))}
     return joined.withColumns(laid | {"review_status": F.when(hit, "in_review").otherwise(F.col("review_status"))}).select(*documents.columns)
 
 
+def replace_tables(documents: DataFrame, tables: DataFrame, tables_column: str = "all_extracted_tables") -> DataFrame:
+    """Documents whose tables are replaced whole by those given (id, tables), and in review."""
+    joined = documents.join(tables.select("id", F.col("tables").alias("_tables"), F.lit(True).alias("_hit")), "id", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    new = {tables_column: F.when(hit, F.col("_tables")).otherwise(F.col(tables_column)), "review_status": F.when(hit, "in_review").otherwise(F.col("review_status"))}
+    return joined.withColumns(new).select(*documents.columns)
+
+
+def with_id(documents: DataFrame) -> DataFrame:
+    """The store's own _id as a string named id."""
+    return documents.withColumn("_id", F.col("_id").cast("string")).withColumnRenamed("_id", "id")
+
+
 def remove_entity(documents: DataFrame, key: str) -> DataFrame:
     names = ("all_extracted_entities", "entity_verification", "entity_remarks")
     return documents.withColumns({n: payloads.remove_key(F.col(n), F.lit(key)) for n in names} | {"review_status": F.lit("in_review")})
@@ -261,6 +312,19 @@ def final_statuses(runs: DataFrame, documents: DataFrame, key: str) -> DataFrame
     return said.select(key, "_s.ocr_status", "_s.mapping_status", "error_message")
 
 
+def final_payloads(runs: DataFrame, documents: DataFrame, key: str, pages: DataFrame | None = None) -> DataFrame:
+    """One row a run: its statuses, the documents' names and contents in order of name, and its pages, if given.
+
+    documents: as for final_statuses, with name and payload. pages: key, page_number, route.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("name", "payload")))
+    out = final_statuses(runs, documents, key).join(documents.groupBy(key).agg(listed.alias("documents"), F.count("*").alias("total_documents")), key, "left")
+    if pages is not None:
+        rows = F.sort_array(F.collect_list(F.struct("page_number", "route")))
+        out = out.join(pages.groupBy(key).agg(rows.alias("pages"), F.max("page_number").alias("total_pages")), key, "left")
+    return out.withColumn("total_documents", F.coalesce("total_documents", F.lit(0)))
+
+
 def of_path(callbacks: DataFrame) -> DataFrame:
     """Callbacks whose claim is the one they were sent to."""
     return callbacks.where(F.col("claim_id") == F.col("path_claim_id"))

@@ -179,7 +179,7 @@ ORACLES["consolidate_longest"] = f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY {_null}, CASE WHEN {_null} THEN 0 ELSE -length({strip("text")}) END, turn) AS n FROM conversations)
 SELECT conv_id AS document_id, role AS key, text AS value FROM r WHERE n = 1"""
 ORACLES["dedup_rows"] = f"""
-WITH r AS (SELECT role, conv_id, turn, substring(text, 1, 12) AS item, row_number() OVER (PARTITION BY role, lower({strip("substring(text, 1, 12)")}) ORDER BY conv_id, turn) AS n FROM conversations)
+WITH r AS (SELECT role, conv_id, turn, md5(text) AS item, row_number() OVER (PARTITION BY role, lower({strip("text")}) ORDER BY conv_id, turn) AS n FROM conversations)
 SELECT role AS key, conv_id AS document_id, turn AS page_number, item FROM r WHERE n = 1"""
 ORACLES["warning_union"] = """
 WITH w AS (SELECT DISTINCT conv_id, unnest([role, 'short: ' || (length(text) < 80)::VARCHAR]) AS w FROM conversations)
@@ -230,14 +230,29 @@ def chain(sql: str, steps: list[tuple[str, str]]) -> str:
     return sql
 
 
-_clean = "translate(coalesce(text, ''), '’‘“”–—¢§¥€', " + quoted("''\"\"--cSYE") + ")"
-_clean = f"replace(replace({_clean}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-_clean = chain(_clean, [
-    (r"[\x00-\x08\x0B-\x1F\x7F]", ""), (r"(-{3,}|={3,}|_{3,}|\|{2,})", r" \1 "), (r"\.{6,}", "....."), ("~{4,}", "~"), ("`{4,}", "`"), (r"\^{4,}", "^"), (r"\|{5,}", "|"), ("_{6,}", "_____"),
+def padded(sql: str, kind: str) -> str:
+    """Each run padded once for each time it occurs, one after another."""
+    return f"list_reduce(list_prepend({sql}, regexp_extract_all({sql}, '{kind}')), lambda whole, run: replace(whole, run, ' ' || run || ' '))"
+
+
+RULES = ("-{3,}", "={3,}", "_{3,}", r"\|{2,}")
+
+
+def ruled(first: str, last: str) -> str:
+    """CTEs that pad column t of the first by kind of rule, up to the last."""
+    names = [first, *[f"{last}{i}" for i in range(len(RULES) - 1)], last]
+    return ", ".join(f"{new} AS MATERIALIZED (SELECT * REPLACE ({padded('t', kind)} AS t) FROM {old})" for old, new, kind in zip(names, names[1:], RULES, strict=False))
+
+
+_glyphs = "translate(nfc_normalize(coalesce(text, '')), '’‘“”–—¢§¥€', " + quoted("''\"\"--cSYE") + ")"
+_glyphs = chain(f"replace(replace({_glyphs}, 'ﬁ', 'fi'), 'ﬂ', 'fl')", [(r"[\x00-\x08\x0B-\x1F\x7F]", "")])
+_clean = chain("t", [
+    (r"\.{6,}", "....."), ("~{4,}", "~"), ("`{4,}", "`"), (r"\^{4,}", "^"), (r"\|{5,}", "|"), ("_{6,}", "_____"),
     (rf"(\p{{Nd}}){WS}*,{WS}*(\p{{Nd}})", r"\1,\2"), (rf"(\p{{Nd}}){WS}*\.{WS}*(\p{{Nd}})", r"\1.\2"), ("([a-z])([A-Z])", r"\1 \2"), (" {2,}", " "), (rf"{WS}+([.,:;!?])", r"\1"), (rf"\({WS}+", "("), (rf"{WS}+\)", ")"),
 ])
 ORACLES["clean_text"] = f"""
-WITH a AS (SELECT doc_id, list_transform(string_split({_clean}, chr(10)), lambda x: {strip("x")}) AS l FROM documents),
+WITH g AS (SELECT doc_id, {_glyphs} AS t FROM documents), {ruled('g', 'r')},
+a AS (SELECT doc_id, list_transform(string_split({_clean}, chr(10)), lambda x: {strip("x")}) AS l FROM r),
 b AS (SELECT doc_id, list_filter(l, lambda x: x = '' OR regexp_matches(x, '[A-Za-z0-9]')) AS l FROM a),
 c AS (SELECT doc_id, list_filter(l, lambda x, i: x <> '' OR i = 1 OR l[i - 1] <> '') AS l FROM b)
 SELECT doc_id AS page_number, md5({strip("array_to_string(l, chr(10))")}) AS digest FROM c"""
@@ -315,7 +330,159 @@ ORACLES["flat_rows"] = """
 SELECT conv_id, 0 AS table_no, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS row_no, role AS type, md5(text) AS item FROM conversations"""
 _v = "lower(" + strip("v") + ") IN ('null', 'none', '')"
 ORACLES["best_entities"] = f"""
-WITH e AS (SELECT conv_id, turn, role AS key, substring(text, 1, 9) AS v FROM conversations UNION ALL SELECT conv_id, turn, 'state', CASE WHEN turn % 2 = 0 THEN ' none ' ELSE 'ok' END FROM conversations),
+WITH e AS (SELECT conv_id, turn, role AS key, text AS v FROM conversations UNION ALL SELECT conv_id, turn, 'state', CASE WHEN turn % 2 = 0 THEN ' none ' ELSE 'ok' END FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY {_v}, CASE WHEN {_v} THEN 0 ELSE -length({strip("v")}) END, turn) AS n FROM e WHERE v IS NOT NULL)
-SELECT conv_id, key, v AS value FROM r WHERE n = 1"""
-ORACLES["session_users"] = "SELECT user_id, count(*) AS events FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 99 AND user_id IS NOT NULL) GROUP BY user_id"
+SELECT conv_id, key, md5(v) AS value FROM r WHERE n = 1"""
+ORACLES["session_users"] = "SELECT user_id, count(*) AS events FROM events WHERE value IS NULL OR value <= 50 GROUP BY user_id"
+
+ORACLES["reviewer_turns"] = """
+SELECT conv_id AS id, role AS key, arg_max(md5(text), turn) AS value, arg_max(turn % 2 = 0, turn) FILTER (turn % 3 = 0) AS verified, arg_max(turn::VARCHAR, turn) FILTER (turn % 4 = 1) AS remarks, 'in_review' AS review_status
+FROM conversations GROUP BY 1, 2
+UNION ALL SELECT conv_id, 'turns', count(*)::VARCHAR, NULL, NULL, 'in_review' FROM conversations GROUP BY 1"""
+ORACLES["entity_removal"] = "SELECT event_id AS id, 'value' AS entities, CASE WHEN event_id % 2 = 0 THEN '' END AS verified, 'value' AS remarks, 'in_review' AS review_status FROM events"
+ORACLES["table_edits"] = """
+WITH r AS (SELECT l_orderkey AS id, l_partkey, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i FROM lineitem),
+t AS (SELECT id, string_agg(l_partkey || ',' || flag, ';' ORDER BY i) AS plain, string_agg((CASE WHEN i = 1 THEN 'edited' ELSE flag END) || ',', ';' ORDER BY i) FILTER (i <> 2) || ';,' AS edited FROM r GROUP BY id)
+SELECT id, NULL::VARCHAR AS review_status, 0 AS place, 'items' AS name, 'part,flag' AS headers, plain AS cells FROM t WHERE id % 3 <> 0
+UNION ALL SELECT id, 'in_review', 0, 'items', 'flag,note', edited FROM t WHERE id % 6 = 3
+UNION ALL SELECT id, 'in_review', CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END, 'more', 'a,b', ',' FROM t WHERE id % 3 = 0"""
+
+LINES = "lines AS (SELECT l_orderkey, l_linestatus, l_linenumber, min(l_partkey) AS l_partkey, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL)"
+STORED = f"""{LINES}, every AS (
+  SELECT l_orderkey AS o, l_orderkey::VARCHAR AS claim_id, l_linestatus || CASE WHEN l_partkey % 5 = 0 THEN l_linenumber::VARCHAR ELSE '' END AS document_type,
+         CASE WHEN l_partkey % 5 <> 0 THEN l_linestatus || '_' || l_linenumber || '.json' END AS source_file_name, l_shipdate AS d FROM lines)"""
+#: Numbers for the rows of m that have none: m has claim_id, document_type, sequence, created_at, source_file_name.
+NUMBERED = """k AS (SELECT *, row_number() OVER (PARTITION BY claim_id, document_type, sequence IS NULL ORDER BY created_at, source_file_name) AS k FROM m),
+t AS (SELECT claim_id, document_type, count(*) + coalesce(max(sequence), 0) AS n FROM m GROUP BY 1, 2),
+x AS (SELECT claim_id, document_type, unnest(range(1, n + 1)) AS free FROM t),
+f AS (SELECT x.*, row_number() OVER (PARTITION BY claim_id, document_type ORDER BY free) AS k FROM x ANTI JOIN m ON m.claim_id = x.claim_id AND m.document_type = x.document_type AND m.sequence = x.free),
+z AS (SELECT k.* REPLACE (coalesce(k.sequence, f.free)::INTEGER AS sequence) FROM k LEFT JOIN f ON f.claim_id = k.claim_id AND f.document_type = k.document_type AND f.k = k.k)"""
+ORACLES["ingest_documents"] = rf"""
+WITH {STORED},
+m AS (SELECT claim_id, document_type, source_file_name, CASE WHEN o % 2 = 0 THEN regexp_extract(source_file_name, '(\d+)\.', 1)::INTEGER END AS sequence,
+        CASE WHEN o % 2 = 0 THEN 'processing' ELSE 'completed' END AS status, CASE WHEN o % 3 <> 0 THEN d ELSE d + INTERVAL 1 DAY END AS created_at, CASE WHEN o % 2 = 0 THEN d + INTERVAL 1 DAY ELSE d END AS updated_at
+      FROM every WHERE o % 3 <> 0 OR o % 2 = 0), {NUMBERED}
+SELECT claim_id, document_type, source_file_name, sequence, status, status AS ocr_status, created_at, updated_at FROM z"""
+ORACLES["ingest_bulk"] = f"""
+WITH {CLAIMS}, {STORED}, i AS (SELECT DISTINCT claim_id FROM every WHERE o % 2 = 0)
+SELECT CASE WHEN i.claim_id IS NOT NULL THEN 'completed' ELSE status END AS status, count(*) AS rows, 'claim' AS kind FROM claims c LEFT JOIN i ON i.claim_id = c.claim_id GROUP BY 1
+UNION ALL SELECT CASE WHEN o % 2 = 0 THEN 'processing' ELSE 'completed' END, count(*), 'document' FROM every WHERE o % 3 <> 0 OR o % 2 = 0 GROUP BY 1"""
+CALLED = """calls AS (
+  SELECT o_orderkey AS o, o_orderkey::VARCHAR AS claim_id, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS ocr_status,
+         CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' ELSE 'completed' END AS status, o_orderdate AS updated_at FROM orders)"""
+ORACLES["callback_documents"] = f"""
+WITH {STORED}, {CALLED},
+i AS (
+  SELECT c.*, l_linestatus AS document_type, l_linestatus || '_' || l_linenumber || '.json' AS f, l_linenumber AS sequence, l_partkey::VARCHAR AS part FROM calls c JOIN lines ON l_orderkey = o WHERE o % 2 = 0
+  UNION ALL SELECT c.*, 'letter', NULL, NULL, NULL FROM calls c WHERE o % 2 <> 0 OR o NOT IN (SELECT l_orderkey FROM lineitem)),
+s AS (SELECT * FROM every WHERE o % 3 = 0),
+m AS (
+  SELECT coalesce(i.claim_id, s.claim_id) AS claim_id, coalesce(i.document_type, s.document_type) AS document_type, CASE WHEN i.claim_id IS NULL THEN s.source_file_name ELSE i.f END AS source_file_name, i.sequence,
+         coalesce(i.status, 'completed') AS status, coalesce(i.ocr_status, 'completed') AS ocr_status, coalesce(s.d, i.updated_at) AS created_at, i.part
+  FROM s FULL JOIN i ON s.claim_id = i.claim_id AND coalesce('f:' || s.source_file_name, 't:' || s.document_type) = coalesce('f:' || i.f, 't:' || i.document_type)), {NUMBERED}
+SELECT z.claim_id, document_type, source_file_name, sequence, z.status, z.ocr_status, part, c.status AS claim_status FROM z JOIN calls c ON c.claim_id = z.claim_id"""
+ORACLES["callback_entries"] = f"""
+WITH {LINES}
+SELECT o_orderkey::VARCHAR AS claim_id, CASE WHEN o_orderkey % 2 = 0 THEN greatest(count(l_orderkey), 1) ELSE 1 END AS entries, CASE WHEN o_orderkey % 2 = 0 THEN count(l_orderkey) ELSE 0 END AS named
+FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+ORACLES["status_changes"] = f"""
+WITH {CLAIMS}, m AS (SELECT claim_id, file_no, status FROM claims UNION ALL SELECT 'new-' || c_custkey, 'FN-' || c_custkey, 'uploaded' FROM customer),
+r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'new-' || c_custkey ELSE c_custkey::VARCHAR END AS claim_id FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT 'new-' || s_suppkey AS claim_id FROM supplier)
+SELECT m.claim_id, file_no, CASE WHEN f.claim_id IS NOT NULL THEN 'failed' WHEN r.claim_id IS NOT NULL THEN 'reviewed' ELSE status END AS status, CASE WHEN f.claim_id IS NOT NULL THEN 'no answer' END AS ocr_error_message
+FROM m LEFT JOIN r ON r.claim_id = m.claim_id LEFT JOIN f ON f.claim_id = m.claim_id"""
+ORACLES["path_match"] = "SELECT event_id, user_id AS claim_id FROM events WHERE user_id IS NOT NULL AND event_id % 3 = 1"
+ORACLES["document_of_claim"] = f"""
+WITH {DOCUMENTS}, d AS (SELECT * FROM docs WHERE claim_id = '3' AND document_type = 'F')
+SELECT 'name' AS way, id FROM d WHERE source_file_name = 'F_002.json' UNION ALL SELECT 'number', id FROM d WHERE sequence = 7 UNION ALL SELECT 'all', id FROM d"""
+ORACLES["document_summaries"] = f"""
+WITH {DOCUMENTS} SELECT id::VARCHAR AS id, document_type, source_file_name, sequence, (sequence IS NOT NULL)::INTEGER AS pages, status AS ocr_status, CASE WHEN id % 2 = 0 THEN 'approved' ELSE 'pending' END AS review_status, created_at FROM docs"""
+ORACLES["claim_documents"] = f"WITH {DOCUMENTS} SELECT id, document_type, sequence, 'pending' AS review_status FROM docs WHERE claim_id = '3' ORDER BY document_type, sequence NULLS FIRST"
+ORACLES["run_payloads"] = """
+WITH d AS (SELECT l_orderkey AS run, l_linenumber AS n, l_partkey % 5 = 0 AS bad, l_returnflag, 'doc_' || l_linenumber || '_' || l_partkey AS name, CASE WHEN l_partkey % 3 <> 0 THEN '{"part": ' || l_partkey || '}' END AS payload FROM lineitem),
+g AS (SELECT run, bool_or(bad) AS bad, count(*) AS total_documents, max(n) AS total_pages, string_agg(concat_ws(':', name, payload), ',' ORDER BY name) AS documents, string_agg(l_returnflag, '' ORDER BY n, l_returnflag) AS routes FROM d GROUP BY run)
+SELECT o_orderkey AS run, 'completed' AS ocr_status, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 > 0 THEN 'partial' ELSE 'failed' END WHEN bad THEN 'partial' ELSE 'completed' END AS mapping_status,
+       CASE WHEN bad THEN 'bad' END AS error_message, coalesce(total_documents, 0) AS total_documents, total_pages, documents, routes
+FROM orders LEFT JOIN g ON run = o_orderkey"""
+
+ORACLES["page_limit"] = "SELECT doc_id AS page_number FROM documents WHERE doc_id <= 150"
+ORACLES["type_pages"] = "SELECT source AS document_type, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pages FROM documents GROUP BY source"
+
+
+def merged(rows: str) -> str:
+    """CTEs that end in m: kind, batch, listed, n and the content of each batch of rows (kind, n, body)."""
+    return f"""p AS ({rows}), r AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY page) - 1) // 7 + 1 AS batch FROM p),
+q AS (
+  SELECT kind, batch, string_agg(page::VARCHAR, ', ' ORDER BY page) AS listed, count(*) AS n,
+         coalesce(string_agg(repeat('=', 70) || chr(10) || 'PAGE ' || page || chr(10) || repeat('=', 70) || chr(10) || chr(10) || body || chr(10) || chr(10), '' ORDER BY page), '') AS body FROM r GROUP BY kind, batch),
+m AS (SELECT *, repeat('=', 80) || chr(10) || 'DOCUMENT TYPE : ' || upper(kind) || chr(10) || 'PAGES INCLUDED : [' || listed || ']' || chr(10) || 'TOTAL PAGES    : ' || n || chr(10) || repeat('=', 80) || chr(10) || chr(10) || body AS content,
+             kind || '_' || lpad(batch::VARCHAR, 3, '0') || '_raw.txt' AS name FROM q)"""
+
+
+ORACLES["merged_with_texts"] = f"""
+WITH {merged("SELECT lower(trim(coalesce(source, 'unknown'))) AS kind, doc_id AS page, CASE WHEN doc_id % 10 <> 3 THEN text END AS body FROM documents")}
+SELECT kind AS document_type, batch::INTEGER AS batch, name AS file_name, n::INTEGER AS pages, md5(content) AS digest FROM m"""
+ORACLES["merged_files"] = f"""
+WITH {merged("SELECT CASE WHEN page_id % 3 = 0 THEN 'web' ELSE 'other' END AS kind, page_id AS page, html AS body FROM pages")}
+SELECT kind AS document_type, name, replace(listed, ' ', '') AS pages, md5(content) AS digest FROM m"""
+ORACLES["page_files"] = f"""
+WITH t AS (SELECT page_id, md5({strip('html')}) AS digest FROM pages WHERE page_id % 5 <> 4 AND html IS NOT NULL),
+k AS (SELECT page_id, 'type' || page_id % 3 AS document_type, (page_id % 7 * 10.5)::DOUBLE AS confidence_score FROM pages WHERE page_id % 4 <> 3 AND page_id % 11 <> 5)
+SELECT coalesce(t.page_id, k.page_id)::INTEGER AS page_number, document_type, confidence_score, digest FROM t FULL JOIN k ON k.page_id = t.page_id"""
+ORACLES["page_artifacts"] = "SELECT page_id, CASE WHEN page_id % 4 <> 3 AND page_id % 11 <> 5 THEN ' Type' || page_id % 3 END AS kind FROM pages"
+
+
+def ledger_sql(where: str) -> str:
+    null = f"(text IS NULL OR lower({strip('text')}) IN ('null', 'none', ''))"
+    return f"""
+WITH w AS (SELECT role, conv_id * 1000 + turn AS page, turn, text, {null} AS none, coalesce(length({strip('text')}), 0) AS size FROM conversations WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY none, CASE WHEN none THEN 0 ELSE -size END, page) AS n, row_number() OVER (PARTITION BY role ORDER BY page) AS i FROM w)
+SELECT lower(role) || '_note' AS type_key, upper(role[1]) || lower(role[2:]) || ' Note' AS document_type, count(*)::INTEGER AS pages, min(page)::INTEGER AS first_page, max(CASE WHEN turn % 2 = 0 THEN role END) AS patient_name,
+       md5(coalesce(max(text) FILTER (n = 1 AND NOT none), '')) AS hospital, NULL::VARCHAR AS reference, md5(coalesce(max(text) FILTER (n = 1), '')) AS text,
+       count(DISTINCT coalesce('t' || lower({strip('text')}), ''))::INTEGER AS rows, md5(coalesce(max(text) FILTER (i = 1), '')) AS first_item, role AS ignored, array_to_string(list_sort(list(DISTINCT (turn % 3)::VARCHAR)), ',') AS unmapped
+FROM r GROUP BY role"""
+
+
+ORACLES["ledger"] = ledger_sql("true")
+ORACLES["payload_files"] = ledger_sql("turn % 9 <> 8")
+ORACLES["composed_text"] = "SELECT conv_id, turn, md5(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'a', 'a' || chr(776)))) AS digest FROM conversations"
+ORACLES["padded_rules"] = f"""
+WITH g AS (SELECT conv_id, turn, text || repeat('-', turn % 5 + 2) || 'x----y' || repeat('=', turn % 3 + 2) || 'a===b||c|||d' AS t FROM conversations), {ruled('g', 'r')}
+SELECT conv_id, turn, md5(t) AS digest FROM r"""
+ORACLES["raised_digits"] = "SELECT p_partkey, translate('x' || p_size, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') AS raised FROM part"
+ORACLES["distinct_keys"] = f"""
+WITH p AS (SELECT p_partkey, p_size, p_brand, {key("p_brand", "'column'")} AS b, {key("p_type", "'column'")} AS t FROM part)
+SELECT p_partkey, concat_ws('|', b, b || '_2', b || '_2_2', 'column', b || '_3') AS keys, concat_ws('|', t, t || '_2', 'column_3') AS row_keys, '1|2|3' AS row_values, concat_ws('|', b, b, b || '_2', 'column_4', b) AS headers,
+       CASE WHEN p_size % 2 = 0 THEN p_brand ELSE concat_ws('|', t, t || '_2', 'column_3') END AS inferred FROM p"""
+ORACLES["failed_generations"] = "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN props || chr(10) END AS quoted FROM events"
+ORACLES["placeholder_payloads"] = "SELECT o_orderkey, o_orderpriority AS document_type, o_custkey::INTEGER AS page, 0 AS entities, 'bad ' || o_orderstatus AS errors, 'blank_document' AS blank_status FROM orders"
+ORACLES["box_summaries"] = f"""
+WITH {BOXES} SELECT page, box_id, x1 AS x, y1 AS y, x2, y2, x2 - x1 AS width, y2 - y1 AS height, ((x1 + x2) // 2)::INTEGER AS center_x, ((y1 + y2) // 2)::INTEGER AS center_y FROM boxes"""
+ORACLES["line_group_wide"] = f"""
+WITH RECURSIVE {TOKENS},
+w(page, y, line) AS (
+  SELECT page, min(y), 1 FROM tokens GROUP BY page
+  UNION ALL SELECT w.page, (SELECT min(k.y) FROM tokens k WHERE k.page = w.page AND k.y - w.y > 20), w.line + 1 FROM w WHERE EXISTS (SELECT 1 FROM tokens k WHERE k.page = w.page AND k.y - w.y > 20))
+SELECT k.page, k.token_id, (SELECT max(line) FROM w WHERE w.page = k.page AND w.y <= k.y)::INTEGER AS line FROM tokens k"""
+ORACLES["second_look"] = f"""
+WITH {SCORED}, e AS (SELECT is_blank, noise, blur, edge, greatest(0, 0.0::DOUBLE + {' + '.join(f'{k} * 0.1::DOUBLE' for k in quality.WEIGHTS)}) AS total FROM s)
+SELECT CASE WHEN is_blank THEN 'BLANK' WHEN noise < 50 OR blur < 60 OR edge < 60 THEN 'VISION' WHEN total >= 60 THEN 'OCR' ELSE 'VISION' END AS route, count(*) AS pages, round(sum(total), 2) AS points FROM e GROUP BY 1"""
+ORACLES["streamed_upserts"] = ORACLES["latest_document"]
+
+_shared = "greatest(0, least(k.x2, b[1].x2) - greatest(k.x1, b[1].x1)) * greatest(0, least(k.y2, b[1].y2) - greatest(k.y1, b[1].y1))"
+_area = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+
+
+def suppressed(measure: str, threshold: float) -> str:
+    """Boxes folded in order of id: one stays unless it exceeds the threshold against one that stayed."""
+    return f"""
+WITH {BOXES}, g AS (SELECT page, list([{{'id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY box_id) AS l FROM boxes GROUP BY page),
+f AS (SELECT page, unnest(list_reduce(l, lambda kept, b: CASE WHEN len(list_filter(kept, lambda k: {measure} > {threshold}::DOUBLE)) > 0 THEN kept ELSE list_concat(kept, b) END)) AS b FROM g)
+SELECT page, b.id AS box_id FROM f"""
+
+
+ORACLES["suppress_boxes"] = suppressed(f"({_shared})::DOUBLE / ({_area.format('k')} + {_area.format('b[1]')} - {_shared})", 0.30)
+ORACLES["overlap_suppress"] = suppressed(f"({_shared})::DOUBLE / (least({_area.format('k')}, {_area.format('b[1]')}) + 1e-5::DOUBLE)", 0.70)
+ORACLES["detect_columns"] = f"""
+WITH {TOKENS}, g AS (SELECT page, list([x] ORDER BY y, x, token_id) AS l FROM tokens GROUP BY page),
+c AS (SELECT page, list_reduce(l, lambda cols, v: CASE WHEN len(list_filter(cols, lambda c: abs(c - v[1]) < 40)) > 0 THEN cols ELSE list_concat(cols, v) END) AS cols FROM g)
+SELECT t.page, token_id, list_position(list_sort(cols), list_filter(cols, lambda c: abs(c - x) < 40)[1])::INTEGER AS "column" FROM tokens t JOIN c ON c.page = t.page"""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, payloads, quality, text
 from ..operators import batches, classify, consolidate, spatial, store
+from ..sources import files, scratch
+from ..streaming.store import VersionedTable, upsert_stream
 from . import tables
 from .tables import table
 
@@ -220,10 +222,10 @@ def consolidate_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as table rows, the first of equal ones in each role."""
     none = F.lit(None).cast("string")
-    fields = {"type": F.col("key"), "medication_or_item_name": F.substring("value", 1, 12)}
+    fields = {"type": F.col("key"), "medication_or_item_name": F.col("value")}
     row = F.struct(*[fields.get(f, none).alias(f) for f in consolidate.ROW_FIELDS])
     rows = tables.turns(spark, sf_dir).select("key", "document_id", "page_number", row.alias("row"))
-    return consolidate.distinct_rows(rows, ["key"], ["document_id", "page_number"]).select("key", "document_id", "page_number", F.col("row.medication_or_item_name").alias("item"))
+    return consolidate.distinct_rows(rows, ["key"], ["document_id", "page_number"]).select("key", "document_id", "page_number", F.md5(F.col("row.medication_or_item_name").cast("binary")).alias("item"))
 
 
 @query
@@ -275,7 +277,7 @@ def suppress_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overlap_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.suppress(tables.boxes(spark, sf_dir), ["page"], 0.85, geometry.overlap_of_smaller).select("page", "box_id")
+    return spatial.suppress(tables.boxes(spark, sf_dir), ["page"], 0.70, geometry.overlap_of_smaller).select("page", "box_id")
 
 
 @query
@@ -435,14 +437,387 @@ def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's entities over its turns: short values by role, the best of each."""
-    pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_number"), F.create_map("role", F.substring("text", 1, 9), F.lit("state"), F.when(F.col("turn") % 2 == 0, " none ").otherwise("ok")).alias("all_extracted_entities"))
-    return consolidate.merge_entities(pages, ["conv_id"])
+    """Each conversation's entities over its turns: the texts by role, the best of each."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_number"), F.create_map("role", "text", F.lit("state"), F.when(F.col("turn") % 2 == 0, " none ").otherwise("ok")).alias("all_extracted_entities"))
+    return consolidate.merge_entities(pages, ["conv_id"]).select("conv_id", "key", F.md5(F.col("value").cast("binary")).alias("value"))
 
 
 @query
 def session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents already processed are skipped: events of users without a later purchase-sized value."""
+    """Work already done is skipped: the events a user that are not done, which those with high values are."""
     events = table(spark, sf_dir, "events")
-    done = events.where(F.col("value") > 99).select("user_id").distinct()
-    return batches.skip_done(events, done, "user_id").groupBy("user_id").agg(F.count("*").alias("events"))
+    return batches.skip_done(events, events.where(F.col("value") > 50), "event_id").groupBy("user_id").agg(F.count("*").alias("events"))
+
+
+@query
+def reviewer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many edits of one key in a batch: each conversation's turns edit the field of their role in turn; the last stays."""
+    turns = table(spark, sf_dir, "conversations")
+    empty = F.create_map().cast("map<string,string>")
+    docs = turns.groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("turns")).select(
+        "id", F.create_map(F.lit("turns"), F.col("turns").cast("string")).alias("all_extracted_entities"), F.create_map().cast("map<string,boolean>").alias("entity_verification"),
+        empty.alias("entity_remarks"), F.lit(None).cast("string").alias("review_status"),
+    )
+    t = F.col("turn")
+    edits = turns.select(F.col("conv_id").alias("id"), F.col("role").alias("key"), F.md5(F.col("text").cast("binary")).alias("value"), F.when(t % 3 == 0, t % 2 == 0).alias("verified"), F.when(t % 4 == 1, t.cast("string")).alias("remarks"), t.alias("place"))
+    out = store.edit_entities(docs, edits)
+    every = out.select("id", "review_status", "entity_verification", "entity_remarks", F.explode("all_extracted_entities").alias("key", "value"))
+    get = lambda m: F.try_element_at(F.col(m), F.col("key"))
+    return every.select("id", "key", "value", get("entity_verification").alias("verified"), get("entity_remarks").alias("remarks"), "review_status")
+
+
+@query
+def entity_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    docs = table(spark, sf_dir, "events").select(
+        i.alias("id"), F.create_map(F.lit("kind"), F.col("event_type"), F.lit("value"), F.col("value").cast("string")).alias("all_extracted_entities"),
+        F.when(i % 2 == 0, F.create_map(F.lit("kind"), i % 4 == 0)).alias("entity_verification"), F.create_map(F.lit("value"), F.lit("r")).alias("entity_remarks"), F.lit("approved").alias("review_status"),
+    )
+    out = store.remove_entity(docs, "kind")
+    keys = lambda n: F.array_join(F.map_keys(n), ",")
+    return out.select("id", keys("all_extracted_entities").alias("entities"), keys("entity_verification").alias("verified"), keys("entity_remarks").alias("remarks"), "review_status")
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents with one table: a row for each line item."""
+    lines = table(spark, sf_dir, "lineitem")
+    row = F.map_from_arrays(F.array(F.lit("part"), F.lit("flag")), F.array(F.col("l_partkey").cast("string"), F.col("l_returnflag")))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey"), F.map_entries(row).alias("row")))), lambda r: F.map_from_entries(r["row"]))
+    of = lines.groupBy(F.col("l_orderkey").alias("id")).agg(rows.alias("rows"))
+    one = F.struct(F.lit("items").alias("table_name_or_purpose"), F.array(F.lit("part"), F.lit("flag")).alias("headers"), F.col("rows"))
+    return of.select("id", F.array(one).alias("all_extracted_tables"), F.lit(None).cast("string").alias("review_status"))
+
+
+@query
+def table_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables edited and replaced whole: a cell set, a row and a column added and deleted, a table added; every third order."""
+    docs = _order_tables(spark, sf_dir)
+
+    def edited(t: F.Column) -> F.Column:
+        rows = payloads.set_cell(t["rows"], F.lit(0), F.lit("flag"), F.lit("edited"))
+        rows = payloads.add_column(payloads.add_row(payloads.delete_at(rows, F.lit(1)), t["headers"]), F.lit("note"))
+        headers = F.array_append(F.filter(t["headers"], lambda h: h != "part"), F.lit("note"))
+        return F.struct(t["table_name_or_purpose"].alias("table_name_or_purpose"), headers.alias("headers"), payloads.delete_column(rows, F.lit("part")).alias("rows"))
+
+    own = F.transform("all_extracted_tables", edited)
+    added = payloads.add_table(own, payloads.new_table(F.lit("more"), F.array(F.lit("a"), F.lit("b"))))
+    changed = F.when(F.col("id") % 2 == 0, payloads.delete_table(added, F.lit(0))).otherwise(added)
+    out = store.replace_tables(docs, docs.where(F.col("id") % 3 == 0).select("id", changed.alias("tables")))
+    each = out.select("id", "review_status", F.posexplode("all_extracted_tables").alias("place", "t"))
+    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(F.transform(F.col("t.headers"), lambda h: F.coalesce(F.try_element_at(r, h), F.lit("-"))), ",")), ";")
+    return each.select("id", "review_status", "place", F.col("t.table_name_or_purpose").alias("name"), F.array_join("t.headers", ",").alias("headers"), cells.alias("cells"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, one for each order, status and number."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber")
+    return rows.agg(F.min("l_partkey").alias("l_partkey"), F.max("l_shipdate").alias("l_shipdate"))
+
+
+STORED_FIELDS = ["document_type", "source_file_name", "sequence", "status", "ocr_status", "updated_at"]
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as stored documents; those without a file name go by their type."""
+    k = F.col("l_partkey")
+    name = F.when(k % 5 != 0, F.concat(F.col("l_linestatus"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".json")))
+    return _lines(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("claim_id"), F.concat(F.col("l_linestatus"), F.when(k % 5 == 0, F.col("l_linenumber").cast("string")).otherwise("")).alias("document_type"),
+        name.alias("source_file_name"), F.lit(None).cast("int").alias("sequence"), F.lit("completed").alias("status"), F.lit("completed").alias("ocr_status"),
+        F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
+    )
+
+
+@query
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the documents comes in again, with others, by file name or else by type: merged, numbered, processing."""
+    every = _stored(spark, sf_dir)
+    n = F.col("claim_id").cast("long")
+    return store.ingest(every.where(n % 3 != 0), every.where(n % 2 == 0).withColumn("updated_at", F.col("updated_at") + F.expr("interval 1 day")), STORED_FIELDS)
+
+
+@query
+def ingest_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and documents after one bulk ingest, counted by status."""
+    every = _stored(spark, sf_dir)
+    n = F.col("claim_id").cast("long")
+    claims, docs = store.ingest_bulk(tables.claims(spark, sf_dir), every.where(n % 3 != 0), every.where(n % 2 == 0), STORED_FIELDS)
+    count = lambda df, kind: df.groupBy("status").agg(F.count("*").alias("rows")).withColumn("kind", F.lit(kind))
+    return count(claims, "claim").unionByName(count(docs, "document"))
+
+
+def _callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as callbacks: those of even keys with their line items as entries, some only raw, the rest without any."""
+    line = F.col("l_linenumber").cast("string")
+    entry = F.struct(F.col("l_linestatus").alias("document_type"), F.concat(F.col("l_linestatus"), F.lit("_"), line, F.lit(".json")).alias("source_file_name"), F.create_map(F.lit("part"), F.col("l_partkey").cast("string")).alias("all_extracted_entities"))
+    entries = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(entry).alias("entries"))
+    o = F.col("o_orderkey")
+    joined = table(spark, sf_dir, "orders").join(entries, "o_orderkey", "left")
+    return joined.select(
+        o.cast("string").alias("claim_id"), F.lit("letter").alias("document_type"), F.when(o % 5 == 0, "FAILED").when(o % 5 == 1, "running").otherwise("Completed").alias("ocr_status"), F.col("o_orderdate").alias("updated_at"),
+        F.when(o % 4 == 0, F.col("entries")).alias("structured_entries"), F.when(o % 2 == 0, F.col("entries")).alias("raw_entries"),
+    )
+
+
+@query
+def callback_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callbacks end to end: entries or a fallback upserted by file name or type, numbered, with their claims' statuses."""
+    none = F.lit(None).cast("string")
+    stored = _stored(spark, sf_dir).where(F.col("claim_id").cast("long") % 3 == 0).withColumn("all_extracted_entities", F.create_map().cast("map<string,string>"))
+    claims, docs = store.ingest_callbacks(tables.claims(spark, sf_dir).withColumn("note", none), stored, _callbacks(spark, sf_dir), [*STORED_FIELDS, "all_extracted_entities"])
+    part = F.try_element_at("all_extracted_entities", F.lit("part"))
+    return docs.join(claims.select("claim_id", F.col("status").alias("claim_status")), "claim_id").select("claim_id", "document_type", "source_file_name", "sequence", "status", "ocr_status", part.alias("part"), "claim_status")
+
+
+@query
+def callback_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that callbacks bring: structured ones, else raw ones, else one null."""
+    found = store.callback_entries(_callbacks(spark, sf_dir))
+    return found.groupBy("claim_id").agg(F.count("*").alias("entries"), F.count("entry.source_file_name").alias("named"))
+
+
+@query
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made, their statuses set where they may be, and dispatches failed."""
+    claims = tables.claims(spark, sf_dir)
+    c = F.col("c_custkey")
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("new-"), c.cast("string")).alias("claim_id"), F.concat(F.lit("FN-"), c.cast("string")).alias("file_no"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    made = store.create_claims(claims, new)
+    changes = table(spark, sf_dir, "customer").select(F.when(c % 2 == 0, F.concat(F.lit("new-"), c.cast("string"))).otherwise(c.cast("string")).alias("claim_id"), F.when(c % 3 == 0, "reviewed").otherwise("approved").alias("status"))
+    failures = table(spark, sf_dir, "supplier").select(F.concat(F.lit("new-"), F.col("s_suppkey").cast("string")).alias("claim_id"), F.lit("no answer").alias("message"))
+    return store.failed_dispatch(store.set_status(made, changes), failures).select("claim_id", "file_no", "status", "ocr_error_message")
+
+
+@query
+def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callbacks that came to their own claim's path."""
+    calls = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("claim_id"), (F.col("user_id") + F.col("event_id") % 3 - 1).alias("path_claim_id"))
+    return store.of_path(calls).select("event_id", "claim_id")
+
+
+@query
+def document_of_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one claim and type by file name, and, where none is given, by sequence."""
+    docs = tables.documents(spark, sf_dir)
+    by_name = store.select_documents(docs, "3", "F", "F_002.json", 5).withColumn("way", F.lit("name"))
+    by_number = store.select_documents(docs, "3", "F", "", 7).withColumn("way", F.lit("number"))
+    return by_name.unionByName(by_number).unionByName(store.select_documents(docs, "3", "F").withColumn("way", F.lit("all"))).select("way", "id")
+
+
+@query
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary view of all documents, with their order in the claim, from a store that names ids _id."""
+    empty = F.lit(None)
+    docs = tables.documents(spark, sf_dir).withColumns({
+        "_id": F.col("id"), "pages_processed": F.when(F.col("sequence").isNotNull(), F.array("sequence")), "ocr_status": F.col("status"), "review_status": F.when(F.col("id") % 2 == 0, "approved"),
+        "error_message": empty.cast("string"), "updated_at": F.col("created_at"),
+    })
+    view = store.summary_view(store.with_id(docs.drop("id")))
+    return view.select("id", "document_type", "source_file_name", "sequence", F.size("pages_processed").alias("pages"), "ocr_status", "review_status", "created_at")
+
+
+@query
+def claim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of one claim, in order of type and sequence."""
+    docs = tables.documents(spark, sf_dir).withColumns({n: F.lit(None).cast("string") for n in ("ocr_status", "review_status", "error_message", "updated_at")})
+    return store.list_documents(docs.withColumn("pages_processed", F.lit(None).cast("array<int>")), "3").select("id", "document_type", "sequence", "review_status")
+
+
+@query
+def run_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs with their statuses, documents and pages in one payload each."""
+    k, o = F.col("l_partkey"), F.col("o_orderkey")
+    none = F.lit(None).cast("array<string>")
+    lines = table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("doc_"), F.col("l_linenumber").cast("string"), F.lit("_"), k.cast("string"))
+    docs = lines.select(
+        F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("id"), name.alias("name"), F.when(k % 3 != 0, F.concat(F.lit('{"part": '), k.cast("string"), F.lit("}"))).alias("payload"), F.lit(None).cast("string").alias("status"),
+        F.create_map(F.lit("a"), F.lit("b")).alias("entities"), none.alias("tables"), F.when(k % 5 == 0, F.array(F.lit("bad"))).alias("llm_errors"), none.alias("errors"), none.alias("warning_errors"),
+    )
+    pages = lines.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page_number"), F.col("l_returnflag").alias("route"))
+    runs = table(spark, sf_dir, "orders").select(o.alias("run"), F.lit(False).alias("merge_failed"), (o % 7 == 0).alias("extractor_failed"), (o % 2).alias("pages"), F.lit(None).cast("string").alias("message"))
+    out = store.final_payloads(runs, docs, "run", pages)
+    return out.select("run", "ocr_status", "mapping_status", "error_message", "total_documents", "total_pages", F.array_join(F.transform("documents", lambda d: F.concat_ws(":", d["name"], d["payload"])), ",").alias("documents"), F.array_join(F.transform("pages", lambda p: p["route"]), "").alias("routes"))
+
+
+@query
+def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages up to the first limit that is a whole number above 0."""
+    return batches.page_limit(_pages(spark, sf_dir), None, "x", "0", "150").select("page_number")
+
+
+@query
+def type_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted page list of each source, as the grouping sees it."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_type"), F.col("doc_id").alias("page_number"))
+    return batches.pages_by_type(pages).select("document_type", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query
+def merged_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged texts of pages classified by source, whose texts come from another table, which lacks some."""
+    kinds = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_number"), F.col("source").alias("document_type"))
+    texts = _pages(spark, sf_dir).where(F.col("page_number") % 10 != 3)
+    out = batches.merged_texts(kinds, texts)
+    return out.select("document_type", "batch", "file_name", F.size("pages").alias("pages"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query
+def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged texts written as files below a folder a type, and scanned again: type, name and page list of each."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_number"), F.when(F.col("page_id") % 3 == 0, "Web").otherwise("other").alias("document_type"), F.col("html").alias("text"))
+    path = scratch.folder(spark)
+    files.write_merged(batches.merged_texts(pages), path)
+    back = files.merged_documents(spark, path)
+    return back.select("document_type", "name", F.array_join(batches.included_pages(F.col("content")).cast("array<string>"), ",").alias("pages"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def _page_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text and a payload for each page, some broken or absent."""
+    i = F.col("page_id")
+    good = F.to_json(F.struct(F.concat(F.lit(" Type"), (i % 3).cast("string")).alias("document_type"), (i % 7 * 10.5).alias("confidence_score")))
+    pages = table(spark, sf_dir, "pages").select(i.alias("page_number"), F.when(i % 5 != 4, F.col("html")).alias("text"), F.when(i % 4 == 3, "{broken").when(i % 11 != 5, good).alias("payload"))
+    path = scratch.folder(spark)
+    files.write_pages(pages, path)
+    return path
+
+
+@query
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' texts and classifications scanned from files, and joined by page; broken classifications are left out."""
+    path = _page_folder(spark, sf_dir)
+    kinds, texts = files.classifications(spark, path), files.page_texts(spark, path)
+    return texts.join(kinds, "page_number", "full_outer").select("page_number", "document_type", "confidence_score", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def page_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All JSON artifacts of a folder joined to the pages by name, null where a page has none."""
+    found = files.artifacts(spark, _page_folder(spark, sf_dir), json_only=True)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".json")).alias("name"))
+    joined = files.with_payloads(pages, found.select("name", F.get_json_object("payload", "$.document_type").alias("content")), "name", "kind")
+    return joined.select("page_id", "kind")
+
+
+@query
+def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page payloads written as raw_json files, scanned with the schema, and consolidated into ledgers."""
+    path = scratch.folder(spark)
+    payload = F.when(F.col("turn") % 9 == 8, "nope").otherwise(F.to_json(_page_payload(F.col("conv_id") * 1000 + F.col("turn"))))
+    name = F.concat(F.lit("raw_json_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".json"))
+    files.write_texts(table(spark, sf_dir, "conversations").select(name.alias("file"), payload.alias("content")), path, ["file"])
+    return _ledger_rows(consolidate.ledgers(files.page_payloads(spark, path)))
+
+
+def _page_payload(page: F.Column) -> F.Column:
+    """A turn as a page's payload: its role is the type, its text an entity and a table row."""
+    none = F.lit(None).cast("string")
+    row = F.struct(*[{"type": F.col("role"), "medication_or_item_name": F.col("text")}.get(f, none).alias(f) for f in consolidate.ROW_FIELDS])
+    meta = F.struct(F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("null").alias("patient_name"), F.col("text").alias("hospital_name"), none.alias("date"), F.lit("none").alias("reference_or_claim_number"))
+    return F.struct(
+        page.cast("int").alias("page_number"), F.concat(F.lit(" "), F.initcap("role"), F.lit(" Note")).alias("document_type_classified"), meta.alias("global_metadata"),
+        F.create_map(F.lit("text"), F.col("text"), F.lit("role"), F.col("role")).alias("all_extracted_entities"),
+        F.array(F.struct(F.lit("t").alias("table_name_or_purpose"), F.array(F.lit("type")).alias("headers"), F.array(row, row).alias("rows"))).alias("all_extracted_tables"),
+        F.struct(F.array("role").alias("ignored_handwritten_content"), F.array((F.col("turn") % 3).cast("string")).alias("unmapped_ambiguous_text_regions")).alias("warnings"),
+    )
+
+
+def _ledger_rows(found: DataFrame) -> DataFrame:
+    digest = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    entity = lambda k: F.try_element_at("all_extracted_entities", F.lit(k))
+    meta = lambda k: F.try_element_at("global_metadata", F.lit(k))
+    return found.select(
+        "type_key", "document_type", F.size("pages_associated").alias("pages"), F.array_min("pages_associated").alias("first_page"), meta("patient_name").alias("patient_name"), digest(meta("hospital_name")).alias("hospital"),
+        meta("reference_or_claim_number").alias("reference"), digest(entity("text")).alias("text"), F.size("consolidated_tables").alias("rows"), digest(F.get("consolidated_tables", F.lit(0))["medication_or_item_name"]).alias("first_item"),
+        F.array_join("ignored_handwritten_content", ",").alias("ignored"), F.array_join("unmapped_ambiguous_text_regions", ",").alias("unmapped"),
+    )
+
+
+@query
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as page payloads, consolidated into one ledger a type."""
+    pages = table(spark, sf_dir, "conversations").select(_page_payload(F.col("conv_id") * 1000 + F.col("turn")).alias("p")).select("p.*")
+    return _ledger_rows(consolidate.ledgers(pages))
+
+
+@query
+def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with letters and accents apart, composed."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("a"), F.lit("a\u0308"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.compose(apart).cast("binary")).alias("digest"))
+
+
+@query
+def padded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rules of unlike lengths in one text, padded exactly."""
+    ruled = F.concat(F.col("text"), F.repeat(F.lit("-"), (F.col("turn") % 5 + 2).cast("int")), F.lit("x----y"), F.repeat(F.lit("="), (F.col("turn") % 3 + 2).cast("int")), F.lit("a===b||c|||d"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.pad_rules_exact(ruled).cast("binary")).alias("digest"))
+
+
+@query
+def raised_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.superscript(F.concat(F.lit("x"), F.col("p_size").cast("string"))).alias("raised"))
+
+
+@query
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that become equal when sanitized get suffixes; headers go by their place."""
+    names = F.array(F.col("p_brand"), F.lower("p_brand"), F.concat(F.col("p_brand"), F.lit("_2")), F.lit("?"), F.col("p_brand"))
+    row = F.map_from_arrays(F.array(F.col("p_type"), F.concat(F.col("p_type"), F.lit(" ")), F.lit("!")), F.array(F.lit("1"), F.lit("2"), F.lit("3")))
+    clean = payloads.sanitize_row(row)
+    keys = payloads.distinct_keys(F.transform(names, lambda n: payloads.sanitize_key(n)))
+    inferred = payloads.infer_headers(F.when(F.col("p_size") % 2 == 0, F.array("p_brand")), F.array(clean))
+    join = lambda c: F.array_join(c, "|")
+    return table(spark, sf_dir, "part").select("p_partkey", join(keys).alias("keys"), join(F.map_keys(clean)).alias("row_keys"), join(F.map_values(clean)).alias("row_values"), join(payloads.sanitize_headers(names)).alias("headers"), join(inferred).alias("inferred"))
+
+
+@query
+def failed_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that error messages quote, with their escapes resolved."""
+    message = F.concat(F.lit("Error code: 400 - {'error': {'code': 'x', 'failed_generation': '"), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit("\\n'}}"))
+    return table(spark, sf_dir, "events").select("event_id", payloads.failed_generation(F.when(F.col("event_id") % 4 != 0, message).otherwise("none")).alias("quoted"))
+
+
+@query
+def placeholder_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of failed documents and records of blank ones."""
+    failed = payloads.partial_payload(F.col("o_orderpriority"), F.array(F.col("o_custkey").cast("int")), F.concat(F.lit("bad "), F.col("o_orderstatus")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", failed.alias("p"), payloads.blank_record(F.col("o_orderpriority")).alias("b"))
+    return rows.select("o_orderkey", "p.document_type", F.element_at("p.pages_processed", 1).alias("page"), F.size("p.all_extracted_entities").alias("entities"), F.array_join(payloads.payload_errors(F.col("p.llm_json_errors"), F.col("p.errors"), F.col("p.warnings.errors")), ",").alias("errors"), F.col("b.status").alias("blank_status"))
+
+
+@query
+def box_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadrilaterals made from boxes, as whole-number bounds, sizes and centres."""
+    c = F.col
+    corner = lambda x, y: F.array(x.cast("double") + 0.7, y.cast("double") + 0.2)
+    points = F.array(corner(c("x1"), c("y1")), corner(c("x2"), c("y1")), corner(c("x2"), c("y2")), corner(c("x1"), c("y2")))
+    return tables.boxes(spark, sf_dir).select("page", "box_id", geometry.summary(points).alias("s")).select("page", "box_id", "s.*")
+
+
+@query
+def line_group_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored lines at the second threshold, over all tokens."""
+    return spatial.anchored_groups(tables.tokens(spark, sf_dir), ["page"], gap=20).select("page", "token_id", "line")
+
+
+@query
+def second_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under other weights, which must sum to one, and unhealthy texts sent on."""
+    rows = tables.metrics(spark, sf_dir)
+    s = quality.scores()
+    even = {k: 0.1 for k in quality.WEIGHTS}
+    total = quality.weighted(s, even)
+    first = quality.route(F.col("is_blank"), s["noise"], s["blur"], s["edge"], total, 60)
+    return rows.groupBy(first.alias("route")).agg(F.count("*").alias("pages"), F.round(F.sum(total), 2).alias("points"))
+
+
+@query
+def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into a versioned store by user and type: the newest of each."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    path = scratch.folder(spark)
+    kept = VersionedTable(spark, f"{path}/store", "user_id bigint, event_type string, event_id bigint, ts timestamp_ntz, value double", 8)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", "event_id", "ts", "value")
+    upsert_stream(stream, kept, ["user_id", "event_type"], ["event_id", "ts", "value"], "ts", f"{path}/state", newest=True).awaitTermination()
+    return kept.read(1 << 30).select("user_id", "event_type", "event_id", "value")

@@ -27,13 +27,25 @@ def whole_texts(spark: SparkSession, path: str, pattern: str = "*", recursive: b
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 
-def page_number(name: str = "name") -> F.Column:
-    return F.nullif(F.regexp_extract(name, r"page_(\d+)", 1), F.lit("")).cast("int")
+def page_number(path: str = "path") -> F.Column:
+    """The number of page_<n> in the file's name, or, for files that Spark has named, in their folder's."""
+    return F.nullif(F.regexp_extract(path, r"page_(\d+)[^/]*(?:/part-[^/]*)?$", 1), F.lit("")).cast("int")
+
+
+def whole_files(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """path, name, content of files with the ending, or of files that Spark has written into a folder with it.
+
+    Such a folder is named <key>=<name>, one file in it; the line end that Spark's writer adds is taken off.
+    """
+    name = F.regexp_extract("path", r"([^/=]*)(?:/part-[^/]*)?$", 1)
+    written = F.col("path").rlike("/part-[^/]*$")
+    files = whole_texts(spark, path).withColumn("name", name).where(F.endswith("name", F.lit(ending)))
+    return files.withColumn("content", F.when(written, F.regexp_replace("content", r"\n\z", "")).otherwise(F.col("content")))
 
 
 def classifications(spark: SparkSession, path: str) -> DataFrame:
     """page_number, document_type, confidence_score; files that are no JSON object or have no page number are left out."""
-    files = whole_texts(spark, path, "*.json")
+    files = whole_files(spark, path, ".json")
     parsed = files.withColumn("p", F.from_json("content", "document_type string, confidence_score double, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     rows = parsed.where(F.col("p._corrupt_record").isNull() & F.col("p").isNotNull())
     kind = F.coalesce(F.nullif(F.lower(F.trim("p.document_type")), F.lit("")), F.lit("unknown"))
@@ -41,24 +53,24 @@ def classifications(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
-    return whole_texts(spark, path, "*_raw.txt").select(page_number().alias("page_number"), strip(F.col("content")).alias("text")).where(F.col("page_number").isNotNull())
+    return whole_files(spark, path, "_raw.txt").select(page_number().alias("page_number"), strip(F.col("content")).alias("text")).where(F.col("page_number").isNotNull())
 
 
 def merged_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_type (the folder's name), name, content."""
-    kind = F.element_at(F.split("path", "/"), -2)
-    return whole_texts(spark, path, "*_raw.txt").select(kind.alias("document_type"), "name", "content").orderBy("document_type", "name")
+    kind = F.regexp_extract("path", r"([^/=]*)/[^/]*?(?:/part-[^/]*)?$", 1)
+    return whole_files(spark, path, "_raw.txt").select(kind.alias("document_type"), "name", "content").orderBy("document_type", "name")
 
 
 def artifacts(spark: SparkSession, path: str, json_only: bool = False) -> DataFrame:
     """name, content, payload: payload is the content's JSON object, null if it has none."""
-    files = whole_texts(spark, path, "*.json" if json_only else "*")
+    files = whole_files(spark, path, ".json" if json_only else "")
     return files.select("name", "content", parse_tolerant(F.col("content")).alias("payload")).orderBy("name")
 
 
 def page_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Payloads of raw_json_*.json that have a page number, a type, and the schema's shape; others are left out."""
-    files = whole_texts(spark, path, "raw_json_*.json")
+    files = whole_files(spark, path, ".json").where(F.startswith("name", F.lit("raw_json_")))
     parsed = files.withColumn("p", F.from_json("content", PAGE_PAYLOAD + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     rows = parsed.where(F.col("p._corrupt_record").isNull()).select("p.*").drop("_corrupt_record")
     return rows.where(F.col("page_number").isNotNull() & F.col("document_type_classified").isNotNull())
@@ -69,6 +81,22 @@ def with_payloads(pages: DataFrame, payloads: DataFrame, key: str, out: str) ->
     return pages.join(payloads.select(key, F.col("content").alias(out)), key, "left")
 
 
+def write_texts(rows: DataFrame, path: str, folders: list[str], content: str = "content") -> None:
+    """One text file a row below folders <column>=<value>; Spark's commit makes the files appear all at once.
+
+    The last folder is the file's name as the scans above see it. Rows are dealt by folder, so each has one file.
+    """
+    rows.select(*folders, content).repartition(*folders).write.mode("overwrite").partitionBy(*folders).text(path)
+
+
 def write_merged(batches: DataFrame, path: str) -> None:
-    """Batches below one folder a document type; Spark's commit makes the files appear all at once."""
-    batches.write.mode("overwrite").partitionBy("document_type").json(path)
+    """Merged texts below one folder a document type, as merged_documents reads them."""
+    write_texts(batches, path, ["document_type", "file_name"])
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """The text and the JSON payload of each page (page_number, text, payload), as the page scans read them."""
+    name = F.concat(F.lit("page_"), F.col("page_number").cast("string"))
+    texts = pages.select(F.concat(name, F.lit("_raw.txt")).alias("file"), F.col("text").alias("content"))
+    payloads = pages.select(F.concat(name, F.lit(".json")).alias("file"), F.col("payload").alias("content"))
+    write_texts(texts.unionByName(payloads).where(F.col("content").isNotNull()), path, ["file"])

@@ -85,7 +85,7 @@ def test_token_filters_and_union(spark):
     of_regions = spark.createDataFrame([(1, 1, "Ab", 10, 10, "table"), (1, 2, "x", 0, 0, "figure")], "page int, token_id int, text string, x int, y int, region_type string")
     of_page = spark.createDataFrame([(1, 3, "aB", 11, 9), (1, 4, "ab", 30, 10)], "page int, token_id int, text string, x int, y int")
     assert sorted(r["token_id"] for r in spatial.union_tokens(of_regions, of_page, ["page"]).collect()) == [1, 4]
-    tokens = spark.createDataFrame([(0.29, "a"), (0.30, "b"), (0.9, "  ")], "confidence double, text string")
+    tokens = spark.createDataFrame([(0.29, "a"), (0.30, "b"), (0.9, "  "), (0.9, "\t")], "confidence double, text string")
     assert [r["text"] for r in spatial.keep_tokens(tokens).collect()] == ["b"]
     regions = spark.createDataFrame([("Table", 0.35, 0, 0, 20, 20), ("table", 0.34, 0, 0, 20, 20), ("header", 0.9, 0, 0, 20, 20), ("table", 0.9, 0, 0, 19, 20), ("table", 0.9, 0, 0, 100, 96)], "type string, score double, x1 int, y1 int, x2 int, y2 int")
     assert spatial.keep_regions(regions.withColumns({"page_width": F.lit(100), "page_height": F.lit(100)})).count() == 1
@@ -107,6 +107,15 @@ def test_classifier_rules(spark):
     assert classify.classify(spark.createDataFrame([("x y",)], "text string"), words=tied).first()["document_type"] == "b"
 
 
+def test_letters_that_a_pattern_must_hold():
+    assert [classify.literal_in(p) for p in (r"invoice\s*(number|no|#)", r"\d+\s*mg", r"tab\.", r"date\s*of\s*admission", r"\d{4}\s\d{4}", "a|b", "ab?c", "colou?r", "(?i)x", r"po\s*(number|no)")] == [
+        "invoice", "mg", "tab", "admission", "", "", "a", "colo", "", "po",
+    ]
+    for kind, patterns in classify.Lexicon().patterns.items():
+        for p in patterns:
+            assert classify.literal_in(p) or p == r"\d{4}\s\d{4}\s\d{4}", (kind, p)
+
+
 def test_batches(spark):
     pages = spark.createDataFrame([(n, " Invoice", f"t{n}" if n != 3 else None) for n in range(1, 17)], "page_number int, document_type string, text string")
     got = batches.merged_texts(pages).orderBy("batch").collect()
@@ -151,6 +160,21 @@ def test_sequences(spark):
     assert got == {0: 2, 1: 1, 2: 5, 3: 3, 4: 4, 5: 6, 9: 1}
 
 
+def test_sequences_of_many_rows(spark):
+    """Against the rule itself: each waiting row, in order, takes the smallest free number."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), rnd.choice([None, "t"]), i, rnd.choice((None, rnd.randrange(-2, 60)))) for i in range(200)]
+    got = {r["id"]: r["sequence"] for r in store.fill_sequences(spark.createDataFrame(rows, "claim string, kind string, id int, sequence int").repartition(3), ["claim", "kind"], ["id"]).collect()}
+    taken: dict[tuple, set] = {}
+    for claim, kind, _, number in rows:
+        taken.setdefault((claim, kind), set()).add(number)
+    for claim, kind, i, number in rows:
+        if number is None:
+            number = next(n for n in range(1, 999) if n not in taken[claim, kind])
+            taken[claim, kind].add(number)
+        assert got[i] == number
+
+
 def test_upsert_keeps_other_fields(spark):
     stored = spark.createDataFrame([("a", 1, "keep", 10, 10), ("b", 2, "keep", 10, 10)], "k string, v int, other string, created_at int, updated_at int")
     new = spark.createDataFrame([("a", 9, 5), ("c", 3, 20)], "k string, v int, updated_at int")
@@ -190,6 +214,9 @@ def test_edits(spark):
     got = {r["id"]: r for r in store.edit_entities(docs, edits).collect()}
     assert got[1]["all_extracted_entities"] == {"a": "1", "x.y": "9", "n": "3"} and got[1]["entity_verification"] == {"x.y": True} and got[1]["entity_remarks"] == {"n": "why"}
     assert got[1]["review_status"] == "in_review" and got[2]["review_status"] == "approved"
+    twice = spark.createDataFrame([(1, "a", "5", True, None, 1), (1, "a", "4", None, "r", 2), (1, "a", "3", False, None, 0)], "id int, key string, value string, verified boolean, remarks string, place int")
+    last = store.edit_entities(docs, twice).where("id = 1").first()
+    assert (last["all_extracted_entities"]["a"], last["entity_verification"], last["entity_remarks"]) == ("4", {"a": True}, {"a": "r"})
     gone = {r["id"]: r for r in store.remove_entity(docs, "a").collect()}
     assert gone[2]["all_extracted_entities"] == {} and gone[2]["entity_verification"] == {} and gone[2]["entity_remarks"] == {}
     assert store.full_view(docs).where("id = 1").first()["entity_remarks"] == {} and store.full_view(docs).where("id = 1").first()["review_status"] == "pending"

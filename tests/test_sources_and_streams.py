@@ -35,17 +35,25 @@ def test_payload_scan(spark, tmp_path):
 
 
 def test_merged_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(n, "lab", f"t{n}") for n in range(9)], "page_number int, document_type string, text string")
-    files.write_merged(batches.merged_texts(pages), str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out"))
-    assert back.where("document_type = 'lab'").count() == 2
+    pages = spark.createDataFrame([(n, "lab", f"t{n}\n") for n in range(9)], "page_number int, document_type string, text string")
+    merged = batches.merged_texts(pages)
+    files.write_merged(merged, str(tmp_path / "out"))
+    wanted = {(r["file_name"], r["content"]) for r in merged.collect()}
     folder = tmp_path / "texts" / "lab"
     folder.mkdir(parents=True)
-    for r in back.collect():
-        (folder / r["file_name"]).write_text(r["content"])
-    again = files.merged_documents(spark, str(tmp_path / "texts"))
-    assert [(r["document_type"], batches_of) for r, batches_of in zip(again.collect(), (1, 2), strict=True)] == [("lab", 1), ("lab", 2)]
-    assert [r[0] for r in again.select(batches.included_pages(F.col("content"))).collect()] == [list(range(7)), [7, 8]]
+    for name, content in wanted:
+        (folder / name).write_text(content)
+    for path in ("out", "texts"):  # as Spark wrote them, and as plain files
+        again = files.merged_documents(spark, str(tmp_path / path))
+        assert {(r["document_type"], r["name"], r["content"]) for r in again.collect()} == {("lab", *w) for w in wanted}
+        assert [r[0] for r in again.select(batches.included_pages(F.col("content"))).collect()] == [list(range(7)), [7, 8]]
+
+
+def test_page_files_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, " one\n", '{"document_type": "A"}'), (22, None, '{"document_type": "b", "confidence_score": 2}'), (3, "three", None)], "page_number int, text string, payload string")
+    files.write_pages(pages, str(tmp_path / "p"))
+    assert {tuple(r) for r in files.page_texts(spark, str(tmp_path / "p")).collect()} == {(1, "one"), (3, "three")}
+    assert {tuple(r) for r in files.classifications(spark, str(tmp_path / "p")).collect()} == {(1, "a", None), (22, "b", 2.0)}
 
 
 def test_upsert_stream(spark, tmp_path):
@@ -57,6 +65,11 @@ def test_upsert_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         upsert_stream(stream, store, ["k"], ["v", "updated_at"], "updated_at", str(tmp_path / "state"), newest=True).awaitTermination()
     assert {tuple(r) for r in store.read(9).collect()} == {("a", 2, 2), ("b", 1, 1), ("c", 7, 7)}
+    held = store.versions(9)
+    bucket = {r["k"]: r["b"] for r in store.read(9).select("k", store.bucket(["k"]).alias("b")).collect()}
+    assert held[bucket["b"]][0] == (2 if bucket["b"] in (bucket["a"], bucket["c"]) else 1)  # a batch rewrites the buckets that it touches
+    store.vacuum(9)
+    assert all(len(v) == 1 for v in store.versions(9).values()) and store.read(9).count() == 3
 
 
 def test_sessions(spark, tmp_path):
