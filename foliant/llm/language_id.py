@@ -6,29 +6,34 @@ rest; inside a family, one machine for each pair of its languages votes. A slope
 each machine's margin into a probability; the score is the family's share times the language's.
 
 The machines are fitted on a bounded sample: at most SAMPLE documents a language, chosen by a hash of the id among those
-allowed, whole texts. Each machine is fitted by its own Spark task. Every text is predicted, whole.
-
-Defined results: `und`, score 0, where the text is null or has no letter, or where nothing could be learned; a single
-learned language is always predicted; languages of no known family form one family; ties go to the smaller name; labels
-that are null are not learned from; repeated rows are predicted alike; an empty table gives no rows.
+allowed, whole texts; a family's machine reads FAMILY_SAMPLE documents at most. Each machine is fitted by its own Spark
+task on the texts' features, which are held sparsely. A family of over MOST_LANGUAGES languages goes as several, so that
+the number of machines, of 32 KB each, grows in proportion to that of languages. Every text is predicted, whole.
+
+Defined results: `und`, score 0, where the text is null or has no letter (str.isalpha), or where nothing could be
+learned; a single learned language is always predicted; languages of no known family form one family; ties go to the
+smaller name; labels that are null are not learned from; repeated rows are predicted alike; an empty table gives no rows;
+columns of the input named like the results are replaced by identify(), but not by language_of().
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, fresh, table
 
 FEATURES = 1 << 13
-SAMPLE = 600
+#: Documents a language, and documents that the machine of one family reads at most (an even share of each language).
+SAMPLE, FAMILY_SAMPLE = 600, 6000
+#: Languages of a family at most; larger ones are parted, in order of names.
+MOST_LANGUAGES = 24
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc"),
@@ -39,7 +44,6 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes beyond ASCII stay, others become a space.
 KEPT = np.full(256, 32, np.uint32)
 for _b in [*range(97, 123), *range(128, 256)]:
@@ -52,9 +56,17 @@ def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang.split("-")[0] in members), "other")
 
 
+def families(langs: list[str]) -> dict[str, list[str]]:
+    """The languages by family, in order of names."""
+    whole: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        whole.setdefault(family(lang), []).append(lang)
+    return {f"{f} {at // MOST_LANGUAGES + 1}" if len(own) > MOST_LANGUAGES else f: own[at : at + MOST_LANGUAGES] for f, own in whole.items() for at in range(0, len(own), MOST_LANGUAGES)}
+
+
 def features(text: str) -> np.ndarray | None:
     """A unit vector; None if the text has no letter."""
-    if not LETTER.search(text):
+    if not any(map(str.isalpha, text)):
         return None
     counts = np.zeros(FEATURES)
     for at in range(0, len(text), CHUNK):
@@ -66,15 +78,31 @@ def features(text: str) -> np.ndarray | None:
     return np.sqrt(counts / counts.sum())
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, steps: int = 150) -> np.ndarray:
+class Sparse:
+    """Rows of features, one after another: cells, values, and where each row starts (none is empty)."""
+
+    def __init__(self, cells: list[np.ndarray], values: list[np.ndarray]):
+        self.sizes = np.array([len(c) for c in cells], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.cells, self.values = np.concatenate(cells), np.concatenate(values)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The rows' products with the weights, plus the bias, which is the last weight."""
+        return np.add.reduceat(self.values * w[self.cells], self.starts) + w[-1]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each r times, with the bias's share last."""
+        return np.append(np.bincount(self.cells, self.values * np.repeat(r, self.sizes), FEATURES), r.sum())
+
+
+def fit_machine(x: Sparse, y: np.ndarray, l2: float = 1e-5, steps: int = 150) -> np.ndarray:
     """Weights and bias of a linear machine: squared hinge loss, classes weighed evenly, accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    w = ahead = np.zeros(x.shape[1], x.dtype)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    w = ahead = np.zeros(FEATURES + 1)
     rate = 1 / (4 + l2)
     for k in range(steps):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (l2 * ahead - 2 * (x.T @ (share * y * short)))
+        short = np.maximum(0, 1 - y * x.times(ahead))
+        new = ahead - rate * (l2 * ahead - 2 * x.back(share * y * short))
         w, ahead = new, new + k / (k + 3) * (new - w)
     return w
 
@@ -87,11 +115,9 @@ def slope(margins: np.ndarray, y: np.ndarray) -> float:
 
 def problems(langs: list[str]) -> list[tuple[str, list[str], list[str]]]:
     """(name, languages on the plus side, on the minus side): families against the rest, then pairs in a family."""
-    families: dict[str, list[str]] = {}
-    for lang in sorted(langs):
-        families.setdefault(family(lang), []).append(lang)
-    first = [(f"family {f}", own, [x for x in langs if x not in own]) for f, own in sorted(families.items())] if len(families) > 1 else []
-    return first + [(f"pair {a} {b}", [a], [b]) for own in families.values() for a, b in combinations(own, 2)]
+    grouped = families(langs)
+    first = [(f"family {f}", own, [x for x in langs if x not in own]) for f, own in sorted(grouped.items())] if len(grouped) > 1 else []
+    return first + [(f"pair {a} {b}", [a], [b]) for own in grouped.values() for a, b in combinations(own, 2)]
 
 
 class LanguageModel:
@@ -102,9 +128,7 @@ class LanguageModel:
         self.names = list(machines)
         self.weights = np.array([machines[n][0] for n in self.names]).reshape(len(self.names), FEATURES + 1)
         self.slopes = np.array([machines[n][1] for n in self.names])
-        self.families: dict[str, list[str]] = {}
-        for lang in sorted(langs):
-            self.families.setdefault(family(lang), []).append(lang)
+        self.families = families(langs)
 
     @classmethod
     def fit(cls, labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -123,27 +147,32 @@ class LanguageModel:
         if not tasks:
             return cls(langs, {})
 
+        most = max(1, FAMILY_SAMPLE // len(langs))
+
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = []
-                for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                for lang, text, n in zip(batch["lang"], batch["text"], batch["n"], strict=True):
                     if (v := features(text)) is not None:
                         at = np.flatnonzero(v).astype(np.int32)
-                        found += [(name, 1 if lang in plus else -1, at, v[at].astype(np.float32)) for name, plus, minus in tasks if lang in plus or lang in minus]
-                yield pd.DataFrame(found, columns=["name", "y", "at", "value"])
+                        found += [
+                            (name, 1 if lang in plus else -1, int(n), at, v[at].astype(np.float32))
+                            for name, plus, minus in tasks if (lang in plus or lang in minus) and (n <= most or name.startswith("pair "))
+                        ]
+                yield pd.DataFrame(found, columns=["name", "y", "n", "at", "value"])
 
         def train(group: pd.DataFrame) -> pd.DataFrame:
-            x, y = np.zeros((len(group), FEATURES), np.float32), group["y"].to_numpy(np.float32)
-            for i, (at, value) in enumerate(zip(group["at"], group["value"], strict=True)):
-                x[i, at] = value
-            kept_out = np.arange(len(y)) % 5 == 4
-            w = fit_machine(x[~kept_out], y[~kept_out])
-            margins = x[kept_out] @ w[:-1] + w[-1] if kept_out.any() else np.zeros(0, np.float32)
-            return pd.DataFrame({"name": [group["name"].iloc[0]], "w": [w.tolist()], "slope": [slope(margins, y[kept_out]) if len(margins) else 1.0]})
-
-        spread_rows = ranked.select("lang", "text").mapInPandas(spread, "name string, y int, at array<int>, value array<float>")
-        fitted = spread_rows.groupBy("name").applyInPandas(train, "name string, w array<float>, slope double")
-        return cls(langs, {r["name"]: (np.array(r["w"], np.float32), r["slope"]) for r in fitted.collect()})  # one row a machine
+            group = group.sort_values(["n", "y"], kind="stable")
+            y, kept_out = group["y"].to_numpy(np.float64), group["n"].to_numpy() % 5 == 4
+            rows = lambda chosen: Sparse(group["at"][chosen].tolist(), group["value"][chosen].tolist())
+            w = fit_machine(rows(~kept_out), y[~kept_out]) if not kept_out.all() else np.zeros(FEATURES + 1)
+            steep = slope(rows(kept_out).times(w), y[kept_out]) if kept_out.any() else 1.0
+            return pd.DataFrame({"name": [group["name"].iloc[0]], "w": [w.astype(np.float32).tobytes()], "slope": [steep]})
+
+        bounded_batches(labelled.sparkSession)
+        spread_rows = ranked.select("lang", "text", "n").mapInPandas(spread, "name string, y int, n int, at array<int>, value array<float>")
+        fitted = spread_rows.groupBy("name").applyInPandas(train, "name string, w binary, slope double")
+        return cls(langs, {r["name"]: (np.frombuffer(r["w"], np.float32), r["slope"]) for r in fitted.collect()})  # one row a machine
 
     def predict(self, text: str | None) -> tuple[str, float]:
         v = features(text) if text and self.langs else None
@@ -159,15 +188,22 @@ class LanguageModel:
         return lang, float(shares[best] / sum(shares.values()) * votes[lang])
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows with lang_pred and score."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """A struct of lang_pred and score. Declared as not deterministic only so that Spark never computes it twice a row."""
+    bounded_batches(spark)
+    held = spark.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = F.pandas_udf(run, "lang_pred string, score double")("text")
-    return documents.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)
+
+
+def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows with lang_pred and score."""
+    found = fresh(documents, "found")
+    told = documents.withColumn(found, language_of(documents.sparkSession, model, F.col("text")))
+    return told.withColumns({"lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"]}).drop(found)
 
 
 def held_out() -> F.Column:
