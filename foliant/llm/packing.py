@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 MAX_TOKENS = 4096
 END_ID = 2
-#: Words that one worker remembers (about 60 MB); more are tokenized anew each time.
-REMEMBERED = 1 << 18
+#: Words that one worker remembers from now, and as many from before (about 20 MB together).
+REMEMBERED = 1 << 15
 #: Documents that a task handles at once.
 ROWS = 1000
 
@@ -70,29 +70,33 @@ def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
     """text -> stored ids, equal to tokenizer.encode(text, add_special_tokens=False).ids.
 
     Plain texts go word by word through a bounded memory, since words repeat; this holds for vocabularies whose
-    pre-tokenizer splits as PIECES does, which is checked once. All other texts go to the tokenizer whole.
+    pre-tokenizer splits as PIECES does, which is checked once. All other texts go to the tokenizer whole. When the
+    memory is full it becomes the old one, from which words that come again are taken over; others are forgotten.
     """
     known: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
     letters, model = byte_letters(), tokenizer.model
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
     def word(w: str) -> bytes:
-        parts = PIECES.findall(w)
-        if len(parts) > 1:
-            out = b"".join([known.get(p) or word(p) for p in parts])
-        else:
-            out = np.array([t.id for t in model.tokenize(w.translate(letters))], kind).tobytes()
-        if len(known) < REMEMBERED:
-            known[w] = out
+        nonlocal known, old
+        if (out := old.get(w)) is None:
+            parts = PIECES.findall(w)
+            if len(parts) > 1:
+                out = b"".join([known.get(p) or word(p) for p in parts])
+            else:
+                out = np.array([t.id for t in model.tokenize(w.translate(letters))], kind).tobytes()
+        if len(known) >= REMEMBERED:
+            known, old = {}, known
+        known[w] = out
         return out
 
     def encode(text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
             return whole(text)
-        get = known.get
-        return b"".join([get(w) or word(w) for w in text.lower().split()])
+        return b"".join([known.get(w) or word(w) for w in text.lower().split()])
 
     probe = "It's We'll x2½ ÀÉß-é don''t... «3.14» a_b µm² ÿ×÷ Hello,world!!"
     return encode if encode(probe) == whole(probe) else whole
@@ -132,6 +136,7 @@ def tokenized(documents: DataFrame, path: str, end_id: int = END_ID, by_files: b
                 names=["file", "block", "part", "start", "doc_id", "doc_tokens", "ids"],
             )
 
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), "text", place[0].alias("file"), place[1].alias("block"))
     return rows.mapInArrow(run, "file string, block long, part int, start long, doc_id long, doc_tokens long, ids binary")
 
