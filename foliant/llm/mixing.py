@@ -102,9 +102,10 @@ def assign(rows: DataFrame, schedules=SCHEDULES, weights: tuple[int, ...] = WEIG
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents' own columns, a row for each copy taken, range-sorted by training position."""
-    own = documents.columns
-    copies = assign(measured(documents), **options).select(*own, F.explode("_positions").alias("_position"))
-    return copies.repartitionByRange("_position", F.xxhash64("doc_id")).sortWithinPartitions("_position", F.xxhash64("doc_id")).select(*own)
+    rows = documents.select("doc_id", "source", "text", F.struct("*").alias("_row"))  # as one value, so that no name clashes
+    copies = assign(measured(rows).drop("text"), **options).select("doc_id", "_row", F.explode("_positions").alias("_position"))
+    order = ["_position", F.xxhash64("doc_id")]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
             (F.col("_size") * F.size("_positions")).alias("taken"),
-            F.round(F.try_element_at("_positions", F.lit(1)), 6).alias("position"),
+            *[F.round(F.try_element_at("_positions", F.lit(i)), 6).alias(name) for i, name in enumerate(("position", "second_position", "third_position"), 1)],
         )
         .orderBy("position", "doc_id")
     )

@@ -44,14 +44,17 @@ o AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 c AS (SELECT *, (SELECT count(*) FROM range({MOST_PASSES}) t(i) WHERE 2 * (i * source_size + before) + size <= 2 * target) AS copies FROM o),
-y AS (SELECT *, CASE WHEN copies > 0 THEN CASE WHEN target = 0 THEN 0 ELSE (before + size / 2.0::DOUBLE) / target END END AS share FROM c),
+y AS (
+  SELECT c.*, t.i AS copy, CASE WHEN target = 0 THEN 0 ELSE (t.i * source_size + before + size / 2.0::DOUBLE) / target END AS share
+  FROM c LEFT JOIN range({MOST_PASSES}) t(i) ON t.i < copies),
 knots(kind, i, t, w, area, slope) AS (VALUES {_knots()}),
 p AS (
-  SELECT y.*, k.t, k.w, k.area, k.slope, row_number() OVER (PARTITION BY y.doc_id ORDER BY CASE WHEN k.area <= y.share THEN -k.i ELSE 1000 + k.i END) AS n
-  FROM y LEFT JOIN knots k ON k.kind = y.kind)
-SELECT doc_id, size, source_size, target, size * copies AS taken,
-       CASE WHEN share IS NOT NULL THEN round(least(1.0, t + coalesce(2 * (share - area) / nullif(w + sqrt(greatest(0.0, w * w + 2 * slope * (share - area))), 0), 0)), 6) END AS position
-FROM p WHERE n = 1
+  SELECT y.*, k.t, k.w, k.area, k.slope, row_number() OVER (PARTITION BY y.doc_id, y.copy ORDER BY CASE WHEN k.area <= y.share THEN -k.i ELSE 1000 + k.i END) AS n
+  FROM y LEFT JOIN knots k ON k.kind = y.kind),
+z AS (SELECT *, round(least(1.0, t + coalesce(2 * (share - area) / nullif(w + sqrt(greatest(0.0, w * w + 2 * slope * (share - area))), 0), 0)), 6) AS place FROM p WHERE n = 1)
+SELECT doc_id, size, source_size, target, size * copies AS taken, max(place) FILTER (copy = 0) AS position,
+       max(place) FILTER (copy = 1) AS second_position, max(place) FILTER (copy = 2) AS third_position
+FROM z GROUP BY ALL
 """
 
 BLANK = r" \t\r\n\f\x0B"
