@@ -1,7 +1,12 @@
 """The corpus pipeline: stages over documents, each calling one operator of foliant.llm.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of documents.
+columns of documents, further columns with their values whatever their names.
+
+Defined results: documents whose text is null or has no letter are rejected by the first stage; of near copies the one
+with the smallest doc_id stays; rows that repeat an id are judged each by its own text, so a row with an id of its own
+text is never lost for another; a null id is no copy of anything; a null source is a source of its own and comes last;
+an empty table gives no rows, in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import language_id, mixing, near_dedup, packing, substring_dedup
-from foliant.llm.common import materialize, table
+from foliant.llm.common import fresh, materialize, table
 
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -19,20 +24,20 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no certain language; lang becomes the language found."""
     model = language_id.LanguageModel.fit(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs, model)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    name = fresh(docs, "found")
+    found = docs.withColumn(name, language_id.language_of(spark, model, F.col("text")))
+    sure = (F.col(name)["lang_pred"] != language_id.UNKNOWN) & (F.col(name)["score"] >= LEAST_SCORE)
+    return found.where(sure).withColumn("lang", F.col(name)["lang_pred"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_near_duplicates(docs, words=5, percent=80).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes sentences of passages that occurred before."""
-    return substring_dedup.remove_repeats(docs).select(*docs.columns)
+    return substring_dedup.remove_repeats(docs, count=None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
