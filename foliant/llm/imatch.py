@@ -10,12 +10,14 @@ Document frequencies are counted over every document. The lexicon alone is colle
 least MIN_SHARE of documents is one of at most (mean distinct terms a document / MIN_SHARE) terms, however large the
 corpus; this bound doesn't grow with the number of documents.
 
-For the edited text, each document meets the next one in descending doc_id: rows are dealt by ranges of doc_id, and
-the first row of each range is sent along to the range above it, so every task has the neighbour of its last row. Texts
-travel compressed.
+For the edited text, each document meets the next one in descending doc_id: rows are dealt by ranges of doc_id and, for
+rows that share an id or have none, of a hash of their texts, so no id makes a large range. The first row of each range is
+sent along to the range above it, so every task has the neighbour of its last row. A range goes to a task of its own and
+holds about RANGE_BYTES; texts travel compressed.
 
 Defined results: a null text counts as empty; a text without lexicon terms is hashed by all its terms, one without
-terms by itself, so equal texts have equal fingerprints; ids that repeat are ordered by text, a null id comes last; a
+terms by itself, so equal texts have equal fingerprints; ids that repeat are ordered by a hash of the text, null ids come
+last; a
 single document is its own next; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -34,12 +36,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import bounded_batches, partitions, table
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
 #: In small corpora a term must still occur in so many documents.
 LEAST_DOCUMENTS = 2
 REPLICATES, LEVELS = 8, (1, 4, 6, 7, 8, 9)
+#: Bytes of text of a range, and ranges at most, of each of which the driver holds two numbers.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 #: A task's counts are passed on when it holds so many terms.
 HELD_TERMS = 400_000
 OUTER = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
@@ -73,9 +77,8 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(documents: DataFrame, low: float = MIN_SHARE, high: float = MAX_SHARE) -> list[str]:
-    """The sorted terms within the band."""
-    total = documents.count()
+def lexicon(documents: DataFrame, total: int, low: float = MIN_SHARE, high: float = MAX_SHARE) -> list[str]:
+    """The sorted terms within the band, of so many documents."""
     most, least = max(high * total, LEAST_DOCUMENTS), max(low * total, LEAST_DOCUMENTS)
     return sorted(document_frequencies(documents).where(F.col("n").between(least, most)).toPandas()["term"])
 
@@ -133,39 +136,44 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def with_neighbours(documents: DataFrame) -> DataFrame:
-    """bucket, guest, doc_id, key, packed: each range's rows, and the rows that follow its last in descending doc_id."""
+def with_neighbours(documents: DataFrame, text_bytes: int) -> DataFrame:
+    """bucket, guest, doc_id, key, at, packed: each range's rows, and the rows that follow its last in descending doc_id."""
     spark = documents.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    at = F.when(F.col("doc_id").isNull(), F.lit(-1e19) - drawn * 1e18).otherwise(key.cast("double") + 0.4 * drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), packed], names=["doc_id", "key", "packed"])
-
-    keys = documents.select(key.alias("key"))
-    wanted = 4 * partitions(spark)
-    limits = sorted(set(keys.approxQuantile("key", [i / wanted for i in range(1, wanted)], 0.1 / wanted)))  # one number a range
-    ranges = Bucketizer(splits=[float("-inf"), *limits, float("inf")], inputCol="_at", outputCol="bucket")
-    place = lambda df: ranges.transform(df.withColumn("_at", F.col("key").cast("double"))).drop("_at")
-    tops = sorted(((r["bucket"], r["top"]) for r in place(keys).groupBy("bucket").agg(F.max("key").alias("top")).collect()), reverse=True)  # one row a range
-    follows = [(tops[(i + 1) % len(tops)][1], bucket) for i, (bucket, _) in enumerate(tops)]
-    heads = spark.createDataFrame(follows, "key long, above double")
-    packed = documents.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(run, "doc_id long, key long, packed binary")
+            packed = pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(3)], pa.binary())
+            yield pa.record_batch([*batch.columns[:3], packed], names=["doc_id", "key", "at", "packed"])
+
+    keys = documents.select(key.alias("key"), at.alias("at"))
+    wanted = min(MOST_RANGES, max(partitions(spark), text_bytes // RANGE_BYTES + 1))
+    limits = sorted(set(keys.approxQuantile("at", [i / wanted for i in range(1, wanted)], 0.1 / wanted)))  # one number a range
+    ranges = Bucketizer(splits=[float("-inf"), *limits, float("inf")], inputCol="at", outputCol="bucket")
+    tops = ranges.transform(keys).groupBy("bucket").agg(F.max(F.struct("key", "at")).alias("top"))
+    tops = sorted(((r["bucket"], r["top"]) for r in tops.collect()), reverse=True)  # one row a range
+    follows = [(*tops[(i + 1) % len(tops)][1], bucket) for i, (bucket, _) in enumerate(tops)]
+    heads = spark.createDataFrame(follows, "key long, at double, above double")
+    packed = documents.select(F.col("doc_id").cast("long"), key.alias("key"), at.alias("at"), "text").mapInArrow(run, "doc_id long, key long, at double, packed binary")
     own = F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")))
     both = F.array_append(own, F.struct(F.col("above").alias("bucket"), F.lit(1).alias("guest")))
-    sent = place(packed).join(F.broadcast(heads), "key", "left").withColumn("to", F.explode(F.when(F.col("above").isNull(), own).otherwise(both)))
-    return sent.select("to.bucket", "to.guest", "doc_id", "key", "packed")
+    sent = ranges.transform(packed).join(F.broadcast(heads), ["key", "at"], "left").withColumn("to", F.explode(F.when(F.col("above").isNull(), own).otherwise(both)))
+    rows = sent.select(F.col("to.bucket").cast("int").alias("bucket"), "to.guest", "doc_id", "key", "at", "packed")
+    return rows.repartitionById(len(limits) + 1, "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), F.col("at").desc(), "packed")
 
 
 def fingerprints(documents: DataFrame, low: float = MIN_SHARE, high: float = MAX_SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = documents.sparkSession
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if documents.isEmpty():
+    bounded_batches(spark)
+    total, text_bytes = documents.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not total:
         return spark.createDataFrame([], fields)
-    terms = spark.sparkContext.broadcast(lexicon(documents, low, high))
+    terms = spark.sparkContext.broadcast(lexicon(documents, total, low, high))
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +184,7 @@ def fingerprints(documents: DataFrame, low: float = MIN_SHARE, high: float = MAX
             return pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
 
         for batch in batches:
-            for bucket, guest, doc_id, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, guest, doc_id, _, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if guest and (last is None or last[0] != bucket):
                     continue  # a further row with the guest's id
                 text = unpack.decompress(packed).decode()
@@ -196,8 +204,7 @@ def fingerprints(documents: DataFrame, low: float = MIN_SHARE, high: float = MAX
             yield ready().cast(schema)
 
     schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]]) for n, f in zip(names, fields.split(", "), strict=True)])
-    rows = with_neighbours(documents).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), "packed")
-    return rows.mapInArrow(run, fields)
+    return with_neighbours(documents, text_bytes).mapInArrow(run, fields)
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
