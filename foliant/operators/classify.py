@@ -23,9 +23,8 @@ class Lexicon:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case; nothing but a-z 0-9 - . / and single blanks."""
-    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "|:;", "   ")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s\-./]", " "), r"\s+", " "))
+    """Lower case; nothing but a-z 0-9 - . / and single blanks for all that stands between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\-./]+", " "))
 
 
 def keyword_count(text: Column, keyword: Column) -> Column:
