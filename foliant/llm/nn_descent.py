@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: NN-descent builds the graph, greedy search answers queries.
 
 Inner product becomes nearness of unit-free vectors by one added dimension, sqrt(largest norm**2 - norm**2), so that
-vectors of unlike length are searched rightly. For the graph, vectors are coded as 16-bit numbers with a scale; scores
-of results are exact, in double precision on the original vectors.
+vectors of unlike length are searched rightly. For the graph and the search, vectors are coded as 16-bit numbers with a
+scale; of what the search finds, the best RESCORED are scored exactly, in double precision on the original vectors, once.
 
 1. Start: TREES times, vectors are dealt into leaves by the signs of random projections, leaves into parts of at most
    LEAF rows, and each part's vectors are compared. This gives every node K first neighbours.
@@ -18,7 +18,7 @@ order, so that vectors with one code don't all list the same few.
 Every round is a few Spark joins on bounded groups, written to the shared folder.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite numbers take
-no part; null ids neither; rows that repeat an id count once; fewer candidates than k give all; ties go to the
+no part; null ids neither; rows that repeat an id count once, with the smallest of their vectors; fewer candidates than k give all; ties go to the
 smaller id; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, discard, materialize, table
 
 K = 32
 #: Starts, and rows of a leaf at most; each start proposes FIRST neighbours.
@@ -43,6 +43,8 @@ SAMPLE, DESCENTS = 24, 3
 #: Proposals of one gathering for a member.
 EACH = 10
 BEAM, OPENED, ROUNDS = 240, 40, 4
+#: Nodes found that are scored exactly, as a multiple of the neighbours asked for.
+RESCORED = 3
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(fine).select(F.col("vec_id").cast("long").alias("node"), v.alias("vec"))
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
     size = [r["n"] for r in common.collect()]
-    return rows.where(F.size("vec") == (size[0] if size else 0)).dropDuplicates(["node"])
+    return rows.where(F.size("vec") == (size[0] if size else 0)).groupBy("node").agg(F.min("vec").alias("vec"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -177,19 +179,31 @@ def build(codes: DataFrame, total: int, width: int, k: int = K, descents: int =
     """src, dst, score: the neighbour graph."""
     graph = materialize(start(codes, total, width, k))
     for turn in range(descents):
-        graph = materialize(descend(graph, codes, k, sample, turn))
+        before, graph = graph, materialize(descend(graph, codes, k, sample, turn))
+        discard(before)
     return graph
 
 
-def search(queries: DataFrame, entries: DataFrame, rows: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, opened: int = OPENED, rounds: int = ROUNDS) -> DataFrame:
-    """query_id, node, score: greedy search. queries: query_id, qvec; entries: query_id, node, to start from."""
+def code_scores(pairs: DataFrame) -> DataFrame:
+    """query_id, node, score: inner products of the coded vectors without the added dimension. pairs: query_id, node, qcode, code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (decoded(batch.column(i).to_pylist())[:, :-1] for i in (2, 3))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1))], names=["query_id", "node", "score"])
+
+    return pairs.select("query_id", "node", "qcode", "code").mapInArrow(run, "query_id long, node long, score float")
+
+
+def search(queries: DataFrame, entries: DataFrame, codes: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, opened: int = OPENED, rounds: int = ROUNDS) -> DataFrame:
+    """query_id, node, score (of codes): greedy search. queries: query_id, qcode; entries: query_id, node, to start from."""
     both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     some = F.row_number().over(Window.partitionBy("src", F.pmod(F.xxhash64("dst"), F.lit(2))).orderBy(F.xxhash64("src", "dst")))
     steps = materialize(graph.select("src", "dst").unionByName(both.exceptAll(graph.select("src", "dst")).withColumn("n", some).where(F.col("n") <= K).drop("n")).distinct())
 
     def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(rows, "node").join(queries, "query_id")
-        return met.select("query_id", "node", dot(F.col("qvec"), F.col("vec")).alias("score"))
+        return code_scores(pairs.join(codes, "node").join(queries, "query_id"))
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     found = materialize(scored(entries.distinct()).withColumn("open", F.lit(True)))
@@ -199,7 +213,9 @@ def search(queries: DataFrame, entries: DataFrame, rows: DataFrame, graph: DataF
         fresh = scored(fresh.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti")).withColumn("open", F.lit(True))
         old = found.join(waiting.withColumn("done", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("open") & F.col("done").isNull()).alias("open"))
         merged = old.unionByName(fresh).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= max(beam, k + 1)).drop("n")
-        found = materialize(merged)
+        before, found = found, materialize(merged)
+        discard(before)
+    discard(steps)
     return found.select("query_id", "node", "score")
 
 
@@ -212,6 +228,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors that are queries, among all rows but the query's own."""
+    bounded_batches(vectors.sparkSession)
     rows = materialize(usable(vectors))
     members = classes(rows)
     copies = members.where(F.col("node") != F.col("head"))
@@ -223,13 +240,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     graph = build(codes, about["n"], about["width"] + 1, max(K, k + 1))
     asked = rows.where(is_query).select("node").join(copies, "node", "left")
     asked = materialize(asked.select(F.col("node").alias("query_id"), F.coalesce("head", "node").alias("asked")))
-    queries = materialize(heads.join(asked.select(F.col("asked").alias("node")).distinct(), "node").select(F.col("node").alias("query_id"), F.col("vec").alias("qvec")))
+    heads_asked = materialize(asked.select(F.col("asked").alias("node")).distinct())
+    queries = materialize(codes.join(heads_asked, "node").select(F.col("node").alias("query_id"), F.col("code").alias("qcode")))
     own = queries.select("query_id", F.col("query_id").alias("node"))
     near = queries.join(graph, F.col("query_id") == F.col("src")).select("query_id", F.col("dst").alias("node"))
-    found = search(queries, own.unionByName(near), heads, graph, k)
+    found = search(queries, own.unionByName(near), codes, graph, k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
+    met = found.withColumn("n", place).where(F.col("n") <= RESCORED * (k + 1)).select(F.col("query_id").alias("asked"), "node")
+    vectors_asked = heads.join(heads_asked, "node").select(F.col("node").alias("asked"), F.col("vec").alias("qvec"))
+    found = met.join(heads, "node").join(vectors_asked, "asked").select("asked", "node", dot(F.col("qvec"), F.col("vec")).alias("score"))
     # k + 1 classes, k + 1 members of each, and k + 1 rows of them hold all that a query can ask for, besides itself.
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "node"))
-    found = found.withColumnRenamed("query_id", "asked")
     best = found.withColumn("n", place).where(F.col("n") <= k + 1).select("asked", F.col("node").alias("head"), "score")
     salted = F.row_number().over(Window.partitionBy("head", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node"))
     first = members.withColumn("n", salted).where(F.col("n") <= k + 1)
