@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import batches
-from foliant.sources import files
+from foliant.sources import files, scratch
 from foliant.streaming.store import VersionedTable, sessions, upsert_stream
 
 
@@ -80,3 +82,13 @@ def test_sessions(spark, tmp_path):
     out.writeStream.outputMode("append").format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["user"], r["events"]) for r in spark.table("found").collect()}
     assert got == {("u", 2), ("u", 1), ("v", 1)}
+
+
+def test_scratch_folders_need_a_shared_place():
+    def session(master, setting):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: setting), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(session("yarn", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(session("local-cluster[2,1,1024]", None))
