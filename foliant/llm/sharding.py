@@ -3,8 +3,9 @@
 Documents with equal texts are linked. Each starts in a shard by hash. In each round, the linked documents of a
 group are counted by shard (one row for each group and shard), a group's documents want the shard with room where
 most of their neighbours are, and moves are admitted, by hash, at the rate that the quota of that shard allows. No
-pair of documents is ever formed. At the end unlinked documents (linked ones only if those don't suffice) fill the
-gaps, so that shards differ by one row at most: the law is `rows`.
+pair of documents is ever formed. At the end unlinked documents fill the gaps, so that shards differ by one row at most:
+the law is `rows`. Where those don't suffice, linked ones move, of small groups first and such groups whole, since a
+document takes as many cut edges along as its group has members.
 
 A group larger than a shard's quota is dealt into parts that fit, by hash of the id, and each part is one group.
 Slots are running counts made in hash buckets with a second sum over bucket totals. What comes to the driver is one
@@ -27,8 +28,10 @@ ROUNDS = 5
 #: the mean of linked rows and this share of it. Unlinked rows fill up the rest at the end.
 SLACK = 0.1
 #: A group of more than this share of a shard is dealt into parts.
-PART_OF_MEAN = 0.8
+PART_OF_MEAN = 0.95
 BUCKETS = 256
+#: Groups are told apart by the powers of two in their sizes, up to this; those of up to WHOLE documents stay in one bucket.
+TIERS, WHOLE = 40, 64
 
 
 def narrow(documents: DataFrame) -> DataFrame:
@@ -48,6 +51,7 @@ def share(*seed) -> F.Column:
 
 def propagate(linked: DataFrame, quota: float, rounds: int, shards: int) -> DataFrame:
     """Moves linked rows (with _group and shard) towards their group's shard, round by round, under a quota of linked rows."""
+    superseded: list[DataFrame] = []
     for turn in range(rounds):
         tally = linked.groupBy("_group", "shard").agg(F.count("*").alias("n"))
         load = [0] * shards
@@ -67,13 +71,20 @@ def propagate(linked: DataFrame, quota: float, rounds: int, shards: int) -> Data
         stay = F.col("wanted").isNull()  # no shard with room holds any of the group
         moved = F.when(stay, F.col("shard")).when(share(F.lit(turn), F.col("_group")) < rate, F.col("wanted")).otherwise(F.col("shard"))
         linked = materialize(linked.join(wish, "_group", "left").withColumn("shard", moved).drop("wanted"))
+        discard(*superseded)
+        superseded = [linked]
     return linked
 
 
 def level(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """Adds slot and moves surplus rows, unlinked ones first, so that counts differ by one at most."""
-    bucket = F.when(F.col("_group").isNull(), buckets).otherwise(0) + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32")]
+    """Adds slot and moves surplus rows, unlinked ones first, then those of small groups, so that counts differ by one at most.
+
+    rows: doc_id, size, text_crc32, shard, _group, _of (the documents of the group; both null without links).
+    """
+    tier = F.when(F.col("_of").isNull(), TIERS + 1).otherwise(TIERS - F.least(F.lit(TIERS), F.floor(F.log2("_of"))))
+    drawn = F.when(F.col("_of") <= WHOLE, F.xxhash64("_group")).otherwise(F.xxhash64("doc_id", "text_crc32"))
+    bucket = tier * buckets + F.pmod(drawn, F.lit(buckets))
+    order = [drawn, F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32")]
     ranked = sum_before(rows.withColumn("_one", F.lit(1)), ["shard"], order, "_one", "_rank", bucket.cast("int"))
     ranked = materialize(ranked)
     counts = [0] * shards
@@ -110,9 +121,10 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
     groups = rows.where(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
     groups = materialize(groups)  # a plain table, so that Spark can split the partition of a hot group in the join
     tagged = rows.join(groups.withColumnsRenamed({"_a": "_ga", "_b": "_gb"}), (F.col("_a") == F.col("_ga")) & (F.col("_b") == F.col("_gb")), "left")
-    part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.ceil(F.col("_n") / F.lit(max(1.0, part_of_mean * mean))))
-    tagged = tagged.withColumn("_group", F.when(F.col("_n").isNotNull(), F.xxhash64("_a", "_b", part)))
-    tagged = materialize(tagged.select("doc_id", "size", "text_crc32", "shard", "_group"))
+    parts = F.ceil(F.col("_n") / F.lit(max(1.0, part_of_mean * mean)))
+    part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), parts)
+    tagged = tagged.withColumns({"_group": F.when(F.col("_n").isNotNull(), F.xxhash64("_a", "_b", part)), "_of": F.ceil(F.col("_n") / parts)})
+    tagged = materialize(tagged.select("doc_id", "size", "text_crc32", "shard", "_group", "_of"))
     discard(rows, groups)
     linked, alone = tagged.where(F.col("_group").isNotNull()), tagged.where(F.col("_group").isNull())
     quota = max(mean, (1 + slack) * linked.count() / shards)

@@ -238,6 +238,27 @@ def test_sharding(spark):
     assert {tuple(r) for r in sharding.shard(df.repartition(3), shards=12).collect()} == {tuple(r) for r in rows}
 
 
+def test_cut_edges_against_the_best_possible(spark):
+    """Linked pairs in unlike shards: groups that fit cost nothing at best; one over the quota is cut at least into full shards."""
+    rnd = random.Random(18)
+    groups = [f"g{i}" for i in range(60) for _ in range(rnd.choice((2, 3, 8, 20)))]
+    texts = ["hot"] * 400 + groups
+    texts += [f"alone {i}" for i in range(1600 - len(texts))]
+    rnd.shuffle(texts)
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=10).collect()
+    check_shards(rows, 10)
+    pairs = lambda n: n * (n - 1) // 2
+    together: dict[tuple, int] = {}
+    for r in rows:
+        key = texts[r["doc_id"]], r["shard"]
+        together[key] = together.get(key, 0) + 1
+    cut = lambda kind: sum(pairs(texts.count(t)) for t in set(texts) if t.startswith(kind)) - sum(pairs(n) for (t, _), n in together.items() if t.startswith(kind))
+    best_hot, hashed_hot = pairs(400) - 2 * pairs(160) - pairs(80), pairs(400) * 9 / 10
+    linked = sum(pairs(texts.count(t)) for t in set(texts) if t.startswith("g"))
+    assert cut("hot") <= best_hot + 0.3 * (hashed_hot - best_hot), (cut("hot"), best_hot, hashed_hot)
+    assert cut("g") <= 0.1 * linked, (cut("g"), linked)  # at best 0, by hash 0.9
+
+
 def test_sharding_edges(spark, odd, empty):
     rows = sharding.shard(odd, shards=4).collect()
     check_shards(rows, 4)
