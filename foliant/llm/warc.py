@@ -11,10 +11,11 @@ say so (source-undecoded). The metadata carry all HTTP headers (source-http-...)
 of the source record (source-record-...); its payload digest is kept as it is.
 
 Defined results: a null url gives a record without target URI, a null html an empty payload; identifiers are made from
-page id, url and payload, so reruns agree and rows that repeat get equal identifiers; a response without an HTTP
-header has its whole block as payload; records of other types, where record_type is there, and records that are cut
-short, where complete is there, are left out; an empty table gives no rows. Other
-columns are ignored.
+page id, url and payload, so reruns agree and rows that repeat get equal identifiers; a record without an id gives
+records that refer to nothing, with identifiers made from its page id, URI and payload; a response without an HTTP
+header has its whole block as payload; charsets that are unknown or can't decode the payload count as UTF-8, and what
+can't be written as UTF-8 becomes a question mark; records of other types, where record_type is there, and records that
+are cut short, where complete is there, are left out; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: What a response made from a page row says of its capture.
 DATE = "1970-01-01T00:00:00Z"
@@ -133,9 +134,10 @@ def decoded(header: bytes, payload: bytes) -> tuple[bytes, str]:
 def decode(header: bytes, payload: bytes) -> str:
     named = CHARSET.search(header) or CHARSET.search(payload[:2048])
     try:
-        return payload.decode(named[1].decode() if named else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        text = payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except (LookupError, ValueError):  # not a charset of texts, or one that knows no replacing
+        text = payload.decode("utf-8", "replace")
+    return text.encode("utf-8", "replace").decode() if named else text  # some charsets can give half characters
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -153,10 +155,11 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
                 names=["page_id", "record_id", "target_uri", "date", "block"],
             )
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, record_id string, target_uri string, date string, block binary")
 
 
-def derived(page: int | None, source: str, uri: str | None, date: str | None, block: bytes, headers: str | None = None) -> list[tuple]:
+def derived(page: int | None, source: str | None, uri: str | None, date: str | None, block: bytes, headers: str | None = None) -> list[tuple]:
     """The two records of one response, as rows of FIELDS; headers are the WARC header lines of the source."""
     header, payload = split_http(block)
     record = header_lines((headers or "").encode())
@@ -180,7 +183,7 @@ def derived(page: int | None, source: str, uri: str | None, date: str | None, bl
     out = []
     for kind, mime, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts.items()) + "".join(f"{x}\r\n" for x in carried + links)), ("conversion", "text/plain", plain)):
         raw = body.encode()
-        out.append((page, kind, record_id(kind, source), source, uri, date, mime, digest(raw), of_payload, len(raw), body))
+        out.append((page, kind, record_id(kind, source or f"{page} {uri} {digest(payload)}"), source, uri, date, mime, digest(raw), of_payload, len(raw), body))
     return out
 
 
@@ -207,7 +210,7 @@ def to_warc() -> Column:
     """The bytes of a derived record."""
     optional = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise("")
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), F.col("record_id"), F.lit("\r\nWARC-Refers-To: "), F.col("refers_to"), F.lit("\r\n"),
+        F.lit("WARC/1.0\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), F.col("record_id"), F.lit("\r\n"), optional("WARC-Refers-To", F.col("refers_to")),
         optional("WARC-Target-URI", F.col("target_uri")), optional("WARC-Date", F.col("date")),
         F.lit("WARC-Block-Digest: "), F.col("block_digest"), F.lit("\r\nWARC-Payload-Digest: "), F.col("payload_digest"),
         F.lit("\r\nContent-Type: "), F.col("content_type"), F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"),
