@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import imatch, language_id, near_dedup, nn_descent, shingles, substring_dedup
@@ -78,9 +79,10 @@ def components_by_brute_force(sets, percent):
     return {k: find(k) for k in keys}
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_dedup_equals_brute_force(spark, words, percent, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # so that buckets are cut into several blocks
+@pytest.mark.parametrize(("words", "percent", "limits"), [(3, 85, {}), (5, 80, {"BLOCK": 5, "LEADERS": 3}), (3, 85, {"BLOCK": 4, "LEADERS": 2, "WIDE": 6})])
+def test_near_dedup_equals_brute_force(spark, words, percent, limits, monkeypatch):
+    for name, value in limits.items():  # so that buckets go through rounds, and apart by longer bands
+        monkeypatch.setattr(near_dedup, name, value)
     docs = families(random.Random(words))
     df = spark.createDataFrame(list(docs.items()), DOCUMENTS).repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, words, percent).collect()}
@@ -90,6 +92,48 @@ def test_near_dedup_equals_brute_force(spark, words, percent, monkeypatch):
     assert sum(comps[k] != k for k in docs) > 20
 
 
+def test_one_id_with_two_texts(spark):
+    """A row that shares its id with a copy, but not its text, is judged by its own text and stays."""
+    rows = [(3, "a b c d e f g", 1), (7, "A b c d e f g", 2), (7, "quite another text of its own", 3), (7, "quite another text of its own", 4), (None, "a b c d e f g", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [("3", 3, "3", True), ("7", 2, "7", True), ("7", 2, "7", True), ("7", 3, "3", False), ("None", 3, "None", True)]
+    left = near_dedup.without_near_duplicates(df)
+    assert left.columns == df.columns and sorted(r["kept"] for r in left.collect()) == [1, 3, 4, 5]
+
+
+def nodes_of(spark, texts: dict[int, str], percent: int):
+    """What settle() needs for texts that share one bucket: buckets, sizes, sets, hashes."""
+    df = spark.createDataFrame(list(texts.items()), DOCUMENTS)
+    hashes = near_dedup.MinHash(near_dedup.bands_for(percent), near_dedup.ROWS)
+    sets = near_dedup.stored_sets(df, df.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("first"), F.xxhash64("text").alias("text_hash")), 3, hashes)
+    sizes = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
+    return df.select(F.lit(9).cast("long").alias("key"), F.col("doc_id").alias("node")), sizes, sets, hashes
+
+
+def test_rows_of_one_bucket_of_unlike_members_grow_in_proportion(spark, monkeypatch):
+    """Many unlike members of one bucket: what is joined and sent in a step is a few rows a member, at any size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "LEADERS", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 50)
+    seen = []
+    store = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df: seen.append(out := store(df)) or out)
+    monkeypatch.setattr(near_dedup, "discard", lambda *tables: None)
+    none = spark.createDataFrame([], "u long, v long")
+    most = {}
+    for n in (150, 600):
+        passage = words_of(7, 25)
+        texts = {i: " ".join(passage + words_of(1000 + i, 40)) for i in range(n)}
+        texts[n], texts[n + 1] = texts[n // 2] + " changed", texts[n // 3] + " changed"
+        buckets, sizes, sets, hashes = nodes_of(spark, texts, 85)
+        seen.clear()
+        found = near_dedup.settle(buckets, none, sizes, sets, 85, hashes)
+        assert {tuple(r) for r in found.collect()} == {(n // 2, n // 2), (n, n // 2), (n // 3, n // 3), (n + 1, n // 3)}
+        most[n] = max(t.count() for t in seen)
+    assert most[600] <= 5 * most[150] and most[600] < 600 * 100, most
+
+
 def test_near_dedup_edges(spark, odd, empty):
     rows = near_dedup.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == len(ODD)
@@ -99,20 +143,20 @@ def test_near_dedup_edges(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_block_links_finds_links_beside_the_leader(spark):
+def test_links_beside_the_leader(spark):
     """Two like texts whose bucket's leader is like neither."""
     like = words_of(1, 100)
     other = like[:]
     other[0] = "changed"
     texts = {0: " ".join(words_of(2, 100)), 1: " ".join(like), 2: " ".join(other)}
-    df = spark.createDataFrame(list(texts.items()), DOCUMENTS)
-    hashes = near_dedup.MinHash(near_dedup.bands_for(85), near_dedup.ROWS)
-    sets = near_dedup.stored_sets(df, df.select(F.col("doc_id").alias("node")), 3)
-    buckets = spark.createDataFrame([(9, i, i) for i in texts], "key long, node long, comp long")
-    for block in (1, 2, 50):
-        assert {frozenset(r) for r in near_dedup.block_links(buckets, sets, 85, hashes, block).collect()} == {frozenset((1, 2))}
+    buckets, _, sets, hashes = nodes_of(spark, texts, 85)
+    members = buckets.withColumns({"comp": F.col("node"), "n": F.lit(3)})
+    assert {frozenset(r) for r in near_dedup.block_links(members, sets, 85, hashes).collect()} == {frozenset((1, 2))}
+    for parts in (1, 2, 50):
+        links = near_dedup.leader_links(members, members.where("node < 2").select("key", "node"), sets, 85, hashes, parts)
+        assert {tuple(r) for r in links.collect()} == {(2, 1)}
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "leader long, member long")
-    assert {tuple(r) for r in near_dedup.star_links(pairs, sets, 85, 1).collect()} == {(2, 1)}
+    assert {tuple(r) for r in near_dedup.star_links(pairs, sets.select("node", "set"), 85, 1).collect()} == {(2, 1)}
 
 
 def test_components(spark):
@@ -195,6 +239,13 @@ def test_substring_edges(spark, odd, empty):
     assert len(rows) == len(ODD) and {r["text"] for r in rows if r["doc_id"] is None} == {"a b c d e f g"} and {r["a"] for r in rows} == {9}
     assert [r["text"] for r in rows if r["doc_id"] == 0] == [None]
     assert substring_dedup.remove_repeats(empty).count() == 0
+    twice = [(1, "A b. C d. E f."), (1, "Own \x01\x02b text. A b. C d. E f. End\x01."), (1, "A b. C d. E f."), (2, "a B. c d. e f. \x01 rest.")]
+    with_names = spark.createDataFrame(twice, DOCUMENTS).withColumns({"n_removed": F.lit("mine"), "done": F.lit("too")})
+    left = substring_dedup.remove_repeats(with_names, count=None)
+    assert left.columns == with_names.columns and {(r["n_removed"], r["done"]) for r in left.collect()} == {("mine", "too")}
+    assert sorted(r["text"] for r in left.collect()) == sorted(["A b. C d. E f."] * 2 + [twice[1][1], "\x01 rest."])
+    again = spark.createDataFrame([(0, "A b. C d. E f.")] + twice, DOCUMENTS)
+    assert sorted(r["text"] for r in substring_dedup.remove_repeats(again).collect()) == sorted(["A b. C d. E f.", "", "", "Own \x01\x02b text. End\x01.", "\x01 rest."])
     with_counts = spark.createDataFrame([(1, "A b. C d. E f.", 14), (2, "A b. C d. E f.", 14)], DOCUMENTS + ", n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring_dedup.remove_repeats(with_counts).collect()}
     assert got == {1: ("A b. C d. E f.", 14), 2: ("", 0)}
@@ -210,20 +261,51 @@ def test_imatch(spark):
     bare = {k: {w.strip(imatch.OUTER) for w in (t or "").lower().split()} - {""} for k, t in docs.items()}
     seen = {t: sum(t in b for b in bare.values()) for b in bare.values() for t in b}
     low, high = max(imatch.MIN_SHARE * len(docs), 2), max(imatch.MAX_SHARE * len(docs), 2)
-    maker = imatch.Fingerprint(sorted(t for t, n in seen.items() if low <= n <= high))
+    terms = {t for t, n in seen.items() if low <= n <= high}
+
+    def subsets(text: str) -> list[str]:
+        """Restated: a term is in level l of replicate r where its 32-bit hash with seed r + 1 is below 2 ** (32 - l)."""
+        own = sorted(b for b in {w.strip(imatch.OUTER) for w in text.lower().split()} - {""} if b in terms) or sorted({w.strip(imatch.OUTER) for w in text.lower().split()} - {""})
+        if not own:
+            return [xxhash.xxh32_hexdigest(text.encode(), seed=99)] * (1 + imatch.REPLICATES * len(imatch.LEVELS))
+        joined = lambda kept, seed: xxhash.xxh32_hexdigest(b"".join(xxhash.xxh64_intdigest(t.encode()).to_bytes(8, "little") for t in kept), seed=seed) if kept else "-" * 8
+        return [joined(own, 0)] + [joined([t for t in own if xxhash.xxh32_intdigest(t.encode(), seed=r + 1) < 2 ** (32 - level)], r) for r in range(imatch.REPLICATES) for level in imatch.LEVELS]
+
+    def alike(a: list[str], b: list[str]) -> float:
+        either = [i for i in range(len(a)) if {a[i], b[i]} != {"-" * 8}]
+        return sum(a[i] == b[i] for i in either) / len(either)
+
     order = sorted(docs, reverse=True)
     for i, k in enumerate(order):
         text, following = docs[k] or "", docs[order[(i + 1) % len(order)]] or ""
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
-        r, own, new = got[k], maker.of(text), maker.of(changed)
+        r, own, new = got[k], subsets(text), subsets(changed)
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert (r["fingerprint"], r["edited_fingerprint"]) == ("".join(own), "".join(new))
-        assert (r["near_edited"], r["near_next"]) == (imatch.likeness(own, new), imatch.likeness(own, maker.of(following)))
+        assert (r["near_edited"], r["near_next"]) == (alike(own, new), alike(own, subsets(following)))
     assert got[70]["fingerprint"] == got[71]["fingerprint"] and got[71]["near_next"] == 1.0
     assert np.mean([got[k]["near_edited"] for k in range(60)]) > np.mean([got[k]["near_next"] for k in range(60)])
 
 
+def test_imatch_spreads_rows_that_share_an_id(spark, monkeypatch):
+    """A hot id and null ids go to several tasks, and each row still meets the one that follows it."""
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 2000)
+    docs = [(i, f"text {i} " * 5) for i in range(50)] + [(17, f"of one id {i} " * 5) for i in range(200)] + [(None, f"of none {i} " * 5) for i in range(200)]
+    df = spark.createDataFrame(docs, DOCUMENTS).repartition(3)
+    placed = imatch.with_neighbours(df, 450 * 60)
+    sizes = [r[0] for r in placed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 8 and max(sizes) < 120
+    rows = imatch.fingerprints(df).collect()
+    drawn = {t: h for t, h in spark.createDataFrame(docs, DOCUMENTS).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 20))).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), -drawn[d[1]] if d[0] is not None else drawn[d[1]]))
+    wanted = []
+    for i, (k, text) in enumerate(order):
+        following, half = order[(i + 1) % len(order)][1], len(text) // 2
+        wanted.append((str(k), hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in rows) == sorted(wanted)
+
+
 def test_imatch_edges(spark, odd, empty):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
@@ -249,6 +331,56 @@ def test_language_id_on_held_out_texts(spark):
     assert len(got) > 80 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_predictions_equal_plain_votes(spark):
+    """Features, families and votes restated one by one from the fitted weights."""
+    rnd = random.Random(8)
+    langs = ("en", "de", "nl", "fr", "es", "xx")
+    sounds = SOUNDS | {"nl": ("oe", "ij", "sch", "aa", "het", "ui")}
+    speak = lambda lang, n: " ".join("".join(rnd.choices(sounds[lang], k=rnd.randrange(1, 4))) for _ in range(n))
+    df = spark.createDataFrame([(i, speak(langs[i % 6], rnd.randrange(3, 40)), langs[i % 6]) for i in range(240)], "doc_id long, text string, lang string")
+    model = language_id.LanguageModel.fit(df)
+
+    def cells(text: str) -> dict[int, float]:
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode())
+        counts: dict[int, int] = {}
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            if (a, b, c) != (32, 32, 32):
+                at = ((a | b << 8 | c << 16) * 2654435761 % 2**32) >> 19
+                counts[at] = counts.get(at, 0) + 1
+        return {at: (n / sum(counts.values())) ** 0.5 for at, n in counts.items()}
+
+    def chance(name: str, x: dict[int, float]) -> float:
+        weights, steep = model.machines[name]
+        return 1 / (1 + np.exp(-steep * (sum(weights[at] * v for at, v in x.items()) + weights[-1])))
+
+    groups = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"], "other": ["xx"]}
+    texts = [speak(rnd.choice(langs), rnd.randrange(1, 30)) + rnd.choice(("", " 12!", " É é", "漢字")) for _ in range(60)]
+    got = language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for r in got:
+        x = cells(r["text"])
+        shares = {f: chance(f"family {f}", x) for f in groups}
+        best = max(shares, key=shares.get)
+        votes = {a: np.mean([chance(f"pair {a} {b}", x) if a < b else 1 - chance(f"pair {b} {a}", x) for b in groups[best] if b != a] or [1.0]) for a in groups[best]}
+        lang = max(votes, key=votes.get)
+        assert r["lang_pred"] == lang and abs(r["score"] - shares[best] / sum(shares.values()) * votes[lang]) < 1e-5
+
+
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(4)
+    dense = rng.random((30, language_id.FEATURES)) * (rng.random((30, language_id.FEATURES)) < 0.01)
+    cells = [np.flatnonzero(row) for row in dense]
+    rows = language_id.Sparse(cells, [row[at] for row, at in zip(dense, cells, strict=True)])
+    w, r = rng.random(language_id.FEATURES + 1), rng.random(30)
+    assert np.allclose(rows.times(w), dense @ w[:-1] + w[-1]) and np.allclose(rows.back(r), np.append(dense.T @ r, r.sum()))
+
+
+def test_large_families_are_parted():
+    langs = [f"x{i:03}" for i in range(60)] + ["de", "en"]
+    grouped = language_id.families(langs)
+    assert sorted(map(len, grouped.values())) == [2, 12, 24, 24] and sorted(x for own in grouped.values() for x in own) == sorted(langs)
+    assert len(language_id.problems(langs)) == 4 + 1 + 66 + 2 * 276
+
+
 def test_language_edges(spark, odd, empty):
     labelled = spark.createDataFrame([(1, "the thing", "en"), (2, None, "en"), (3, "x", None)], "doc_id long, text string, lang string")
     model = language_id.LanguageModel.fit(labelled)
@@ -257,7 +389,7 @@ def test_language_edges(spark, odd, empty):
     nothing = language_id.LanguageModel.fit(labelled.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
-    assert model.predict("123 !?") == ("und", 0.0)
+    assert all(model.predict(t) == ("und", 0.0) for t in ("123 !?", "½ ² ①", "", " \n", None)) and model.predict("ß")[0] == "en"
     long = "the thing " * 300_000
     assert np.allclose(language_id.features(long), language_id.features(long[: len(long) // 2]), atol=1e-3)
 
