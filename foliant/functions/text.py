@@ -88,20 +88,33 @@ def pad_rules_exact(text: Column) -> Column:
     return F.coalesce(F.pandas_udf(run, "string")(F.when(twice, text)), pad_rules(text))
 
 
+def trimmed_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), strip)
+
+
+def sound_lines(lines: Column) -> Column:
+    """Trimmed lines but those that hold something, yet no ASCII letter or digit."""
+    return F.filter(lines, lambda s: (s == "") | s.rlike("[A-Za-z0-9]"))
+
+
+def squeezed_lines(lines: Column) -> Column:
+    """Trimmed lines with runs of empty ones cut to one."""
+
+    def kept(own: Column) -> Column:
+        return F.filter(own, lambda s, i: (s != "") | (i == 0) | (F.element_at(own, F.greatest(i, F.lit(1))) != ""))
+
+    # The lines are a lambda's variable, so they are made once.
+    return F.get(F.transform(F.array(lines), kept), F.lit(0))
+
+
 def drop_garbage_lines(text: Column) -> Column:
     """Lines trimmed; those that hold something, but no ASCII letter or digit, dropped."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    return F.array_join(F.filter(lines, lambda s: (s == "") | s.rlike("[A-Za-z0-9]")), "\n")
+    return F.array_join(sound_lines(trimmed_lines(text)), "\n")
 
 
 def squeeze_lines(text: Column) -> Column:
     """Lines trimmed; runs of empty lines cut to one."""
-
-    def kept(lines: Column) -> Column:
-        return F.filter(lines, lambda s, i: (s != "") | (i == 0) | (F.element_at(lines, F.greatest(i, F.lit(1))) != ""))
-
-    # The lines are a lambda's variable, so they are made once.
-    return F.array_join(F.get(F.transform(F.array(F.transform(F.split(text, "\n"), strip)), kept), F.lit(0)), "\n")
+    return F.array_join(squeezed_lines(trimmed_lines(text)), "\n")
 
 
 def clean(text: Column, composed: bool = True, exact_rules: bool = True) -> Column:
@@ -110,7 +123,8 @@ def clean(text: Column, composed: bool = True, exact_rules: bool = True) -> Colu
     out = drop_controls(out)
     out = pad_rules_exact(out) if exact_rules else pad_rules(out)
     out = fix_spacing(split_merged(join_numbers(squeeze_noise(out))))
-    return F.coalesce(strip(squeeze_lines(drop_garbage_lines(out))), F.lit(""))
+    lines = squeezed_lines(sound_lines(trimmed_lines(out)))
+    return F.coalesce(strip(F.array_join(lines, "\n")), F.lit(""))
 
 
 def superscript(digits: Column) -> Column:

@@ -246,6 +246,16 @@ def failed_dispatch(claims: DataFrame, failures: DataFrame) -> DataFrame:
     return joined.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "ocr_error_message": F.col("_message")}).drop("_message")
 
 
+def failed_documents(stored: DataFrame, failures: DataFrame) -> DataFrame:
+    """Documents after failed dispatches (claim_id, document_type, message, failed_at): one of each claim and type, as failed.
+
+    created_at is set anew, for documents that were there too.
+    """
+    both = [F.lit("failed").alias(n) for n in ("status", "ocr_status")] + [F.col("failed_at").alias(n) for n in ("created_at", "updated_at")]
+    new = failures.select("claim_id", "document_type", *both, F.col("message").alias("error_message"))
+    return upsert(stored, new, ["claim_id", "document_type"], ["status", "ocr_status", "created_at", "updated_at", "error_message"])
+
+
 def delete_claims(claims: DataFrame, documents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims and documents without those of the given claims."""
     key = gone.select("claim_id")

@@ -390,6 +390,12 @@ WITH {CLAIMS}, m AS (SELECT claim_id, file_no, status FROM claims UNION ALL SELE
 r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'new-' || c_custkey ELSE c_custkey::VARCHAR END AS claim_id FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT 'new-' || s_suppkey AS claim_id FROM supplier)
 SELECT m.claim_id, file_no, CASE WHEN f.claim_id IS NOT NULL THEN 'failed' WHEN r.claim_id IS NOT NULL THEN 'reviewed' ELSE status END AS status, CASE WHEN f.claim_id IS NOT NULL THEN 'no answer' END AS ocr_error_message
 FROM m LEFT JOIN r ON r.claim_id = m.claim_id LEFT JOIN f ON f.claim_id = m.claim_id"""
+ORACLES["dispatch_failures"] = """
+WITH d AS (SELECT l_orderkey::VARCHAR AS claim_id, l_linestatus AS document_type, max(l_shipdate) AS t FROM lineitem GROUP BY ALL),
+f AS (SELECT o_orderkey::VARCHAR AS claim_id, CASE WHEN o_orderkey % 8 = 0 THEN 'O' ELSE 'letter' END AS document_type, o_orderdate AS t FROM orders WHERE o_orderkey % 4 = 0)
+SELECT coalesce(f.claim_id, d.claim_id) AS claim_id, coalesce(f.document_type, d.document_type) AS document_type, CASE WHEN f.claim_id IS NULL THEN 'completed' ELSE 'failed' END AS status,
+       CASE WHEN f.claim_id IS NULL THEN 'completed' ELSE 'failed' END AS ocr_status, coalesce(f.t, d.t) AS created_at, coalesce(f.t, d.t) AS updated_at, CASE WHEN f.claim_id IS NOT NULL THEN 'no answer' END AS error_message
+FROM d FULL JOIN f ON f.claim_id = d.claim_id AND f.document_type = d.document_type"""
 ORACLES["path_match"] = "SELECT event_id, user_id AS claim_id FROM events WHERE user_id IS NOT NULL AND event_id % 3 = 1"
 ORACLES["document_of_claim"] = f"""
 WITH {DOCUMENTS}, d AS (SELECT * FROM docs WHERE claim_id = '3' AND document_type = 'F')

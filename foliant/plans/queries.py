@@ -588,6 +588,19 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.failed_dispatch(store.set_status(made, changes), failures).select("claim_id", "file_no", "status", "ocr_error_message")
 
 
+@query
+def dispatch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, one of each claim and type, some of which a failed dispatch overwrites or adds."""
+    done, when = F.lit("completed"), F.col("l_shipdate")
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.max("l_shipdate").alias("l_shipdate"))
+    docs = one.select(
+        F.col("l_orderkey").cast("string").alias("claim_id"), F.col("l_linestatus").alias("document_type"), done.alias("status"), done.alias("ocr_status"), when.alias("created_at"), when.alias("updated_at"), F.lit(None).cast("string").alias("error_message"),
+    )
+    o = F.col("o_orderkey")
+    failures = table(spark, sf_dir, "orders").where(o % 4 == 0).select(o.cast("string").alias("claim_id"), F.when(o % 8 == 0, "O").otherwise("letter").alias("document_type"), F.lit("no answer").alias("message"), F.col("o_orderdate").alias("failed_at"))
+    return store.failed_documents(docs, failures)
+
+
 @query
 def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callbacks that came to their own claim's path."""
