@@ -43,9 +43,9 @@ from .shingles import OTHER, MinHash, mix, shingle_set, word_hashes
 ROWS, LONG_ROWS = 5, 10
 MISS = 1e-6
 #: Classes of a bucket that one task judges, and shingles that they have together at most.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 23
+BLOCK, BLOCK_SHINGLES = 128, 1 << 22
 #: Classes with which all members of a larger bucket are compared in a round, and members that one task compares.
-LEADERS, PART = 1024, 8192
+LEADERS, PART = 1024, 256
 #: Members outside the largest component beyond which a bucket is taken apart before its rounds.
 WIDE = 4 * LEADERS
 
