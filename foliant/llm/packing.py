@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import bounded_batches, materialize, table
 
 MAX_TOKENS = 4096
 END_ID = 2
-#: Words that one worker remembers from now, and as many from before (about 20 MB together).
-REMEMBERED = 1 << 15
+#: Words that one worker remembers from now, and as many from before (about 60 MB together).
+REMEMBERED = 1 << 17
 #: Documents that a task handles at once.
 ROWS = 1000
 
@@ -75,7 +76,7 @@ def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
     """
     known: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
-    letters, model = byte_letters(), tokenizer.model
+    letters, model, code = byte_letters(), tokenizer.model, "H" if kind.itemsize == 2 else "I"
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
@@ -83,11 +84,11 @@ def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
     def word(w: str) -> bytes:
         nonlocal known, old
         if (out := old.get(w)) is None:
-            parts = PIECES.findall(w)
+            parts = () if w.isascii() and w.isalpha() else PIECES.findall(w)
             if len(parts) > 1:
                 out = b"".join([known.get(p) or word(p) for p in parts])
             else:
-                out = np.array([t.id for t in model.tokenize(w.translate(letters))], kind).tobytes()
+                out = array(code, [t.id for t in model.tokenize(w.translate(letters))]).tobytes()
         if len(known) >= REMEMBERED:
             known, old = {}, known
         known[w] = out
