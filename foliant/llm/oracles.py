@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import resampling
 from .mixing import BUCKETS, MOST_PASSES, SCHEDULES, WEIGHTS
 from .substring_dedup import MAX_WORDS, RUN
 
@@ -94,4 +95,26 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.comp, w.doc_id) AS c
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_mixing": OP5, "op9_near_dedup": OP9}
+OP11 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{resampling.UPPER}', '{resampling.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{resampling.UPPER}', '{resampling.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS steps),
+v AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM w UNION ALL SELECT w FROM q)),
+x AS (SELECT word, list_prepend(4294967295, list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)) AS bytes FROM v),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(bytes, lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM x, crc),
+f AS (SELECT d.doc_id, b.bucket FROM (SELECT doc_id, unnest(w) AS word FROM w) d JOIN b USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM f GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM q) JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {resampling.BUCKETS})::DOUBLE
+             / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain
+      FROM s LEFT JOIN t ON t.bucket = s.bucket),
+m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+      FROM w LEFT JOIN m ON m.doc_id = w.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM z WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT z.doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= (SELECT {resampling.PERCENT} * count(*) // 100 FROM r) THEN rank END AS rank
+FROM z LEFT JOIN r ON r.doc_id = z.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_mixing": OP5, "op9_near_dedup": OP9, "op11_resampling": OP11}

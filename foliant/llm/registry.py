@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, language_id, mixing, near_dedup, nn_descent, packing, sharding, substring_dedup, url_filter, warc
+from . import imatch, language_id, mixing, near_dedup, nn_descent, packing, resampling, sharding, substring_dedup, url_filter, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_resampling": resampling.op11_resampling,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
