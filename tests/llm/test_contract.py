@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
