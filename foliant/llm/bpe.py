@@ -229,7 +229,8 @@ def token_ids(documents: DataFrame, text: str = "text", **settings) -> DataFrame
     """All rows and columns with their tokens as an array named ids, or, where that is taken, the name with underscores."""
     raw = fresh(documents, "raw_ids")
     found = encode(documents, documents.columns, text, raw, **settings)
-    numbers = F.transform(F.sequence(F.lit(1), F.octet_length(raw), F.lit(4)), lambda i: F.conv(F.hex(F.reverse(F.substring(raw, i, F.lit(4)))), 16, 10).cast("int"))
+    digits = lambda i: F.concat(*[F.hex(F.substring(raw, i + k, F.lit(1))) for k in (3, 2, 1, 0)])
+    numbers = F.transform(F.sequence(F.lit(1), F.octet_length(raw), F.lit(4)), lambda i: F.conv(digits(i), 16, 10).cast("int"))
     return found.withColumn(fresh(documents, "ids"), F.when(F.octet_length(raw) > 0, numbers).otherwise(F.array().cast("array<int>"))).drop(raw)
 
 

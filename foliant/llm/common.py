@@ -109,14 +109,19 @@ def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: str,
     )
 
 
-def place_in_order(rows: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
-    """Rows with their place from 1 in the order of the given columns, which tells all rows apart; stored.
+def numbered(stored: DataFrame, at: str, out: str) -> DataFrame:
+    """Stored rows with their place from 1, by a column that monotonically_increasing_id() has made before they were stored.
 
-    Ranges are sorted one a task, and the sizes of the ranges, one row a task, are summed up and sent to all of them.
+    The sizes of the parts, one row a task, are summed up and sent to all of them.
     """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    stored = materialize(sorted_).withColumn("_part", F.shiftright("_at", 33))
+    parted = stored.withColumn("_part", F.shiftright(at, 33))
     over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
-    place = F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return stored.join(F.broadcast(bases), "_part").withColumn(out, place).drop("_at", "_part", "_base")
+    bases = parted.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return parted.join(F.broadcast(bases), "_part").withColumn(out, place).drop(at, "_part", "_base")
+
+
+def place_in_order(rows: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
+    """Rows with their place from 1 in the order of the given columns, which tells all rows apart; each task sorts a range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return numbered(materialize(ranged.withColumn("_at", F.monotonically_increasing_id())), "_at", out)

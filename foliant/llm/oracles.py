@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import resampling
+from . import hard_negatives, resampling
 from .mixing import BUCKETS, MOST_PASSES, SCHEDULES, WEIGHTS
 from .substring_dedup import MAX_WORDS, RUN
 
@@ -117,4 +117,20 @@ SELECT z.doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <=
 FROM z LEFT JOIN r ON r.doc_id = z.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_mixing": OP5, "op9_near_dedup": OP9, "op11_resampling": OP11}
+OP12 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, list_inner_product(a.v, b.v)::BIGINT AS score, a.label = b.label AS same
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, p.other_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND {hard_negatives.LOW_PERCENT} * p.score <= 100 * n.score AND 100 * n.score <= {hard_negatives.HIGH_PERCENT} * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op5_mixing": OP5, "op9_near_dedup": OP9, "op11_resampling": OP11, "op12_hard_negatives": OP12}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, language_id, mixing, near_dedup, nn_descent, packing, resampling, sharding, substring_dedup, url_filter, warc
+from . import bpe, hard_negatives, imatch, language_id, mixing, near_dedup, nn_descent, packing, resampling, sharding, substring_dedup, url_filter, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_resampling": resampling.op11_resampling,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_bpe": bpe.op13_bpe,
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
