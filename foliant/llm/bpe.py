@@ -27,6 +27,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh, table
 
 #: Characters of a leaf of a text, and bytes of a leaf of a piece.
-LEAF_CHARS, LEAF_BYTES = 4096, 32
+LEAF_CHARS, LEAF_BYTES = 1 << 14, 32
 #: Pieces that one worker remembers from now, and as many from before; longer ones than MEMORABLE are not kept.
-REMEMBERED, MEMORABLE = 1 << 17, 64
+REMEMBERED, MEMORABLE = 1 << 18, 64
 #: The rank of what is no token.
 NONE = 1 << 62
 #: What matching looks ahead: the longest contraction.
@@ -66,7 +67,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoding and decoding by ranks and a pattern."""
+    """Encoding and decoding by ranks and a pattern, whose matches leave no character out."""
 
     def __init__(self, ranks: dict[bytes, int], split: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         import regex
@@ -155,7 +156,7 @@ class Codec:
     def ends(self, text: str, start: int, stop: int) -> list[int]:
         """Where the pieces of text[start:stop], taken alone, end: halves joined around their boundary."""
         if stop - start <= self.leaf_chars:
-            return [m.end() for m in self.split.finditer(text, start, stop)]
+            return list(accumulate(map(len, self.split.findall(text, start, stop)), initial=start))[1:]
         half = start + (self.leaf_chars << ((-(-(stop - start) // self.leaf_chars) - 1).bit_length() - 1))
         left, right = self.ends(text, start, half), self.ends(text, half, stop)
         # Pieces that the boundary could change go: those whose end, or whose start and what is looked at from there, reach it.
