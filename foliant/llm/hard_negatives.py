@@ -226,7 +226,8 @@ def visit(blocks: DataFrame, tree: Tree, k: int, same: bool, first: bool) -> Dat
     rows_type = dict(blocks.dtypes)["rows"]
     bounded_batches(blocks.sparkSession)
     routed = blocks.select("rows").mapInArrow(route, f"region int, rows {rows_type}")
-    met = routed.join(tree.pages.select("region", "ids", "labels", "vectors", "starts"), "region").drop("region")
+    pages = tree.pages.select("region", "ids", "labels", "vectors", "starts").hint("merge")  # files are a fraction of what they hold, so never sent to all
+    met = routed.join(pages, "region").drop("region")
     return met.mapInArrow(find, "query long, id long, score long")
 
 
