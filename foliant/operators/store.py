@@ -232,28 +232,34 @@ def callback_entries(callbacks: DataFrame, more: list[str] | None = None) -> Dat
     return callbacks.select("claim_id", *(more or []), F.posexplode_outer(entries).alias("place", "entry"))
 
 
-def set_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
-    """Claims with changed statuses; changes to statuses that may not be set are left out."""
-    ok = changes.where(settable(F.col("status"))).select("claim_id", F.col("status").alias("_status"))
-    return claims.join(ok, "claim_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+def last_of(rows: DataFrame, key: str, fields: list[str], by: str) -> DataFrame:
+    """key and _last: of each key the fields of its last row, by a column if there is one, else by the fields themselves."""
+    turn = F.struct(*([by] if by in rows.columns else []), F.to_json(F.struct(*fields)))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), turn).alias("_last"))
 
 
-def failed_dispatch(claims: DataFrame, failures: DataFrame) -> DataFrame:
-    """Claims whose dispatch failed, as failed with the message."""
-    said = failures.select("claim_id", F.col("message").alias("_message"))
-    hit = F.col("_message").isNotNull()
-    joined = claims.join(said, "claim_id", "left")
-    return joined.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "ocr_error_message": F.col("_message")}).drop("_message")
+def set_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
+    """Claims with changed statuses (claim_id, status, and changed_at if there is one: the last counts).
+
+    Changes to statuses that may not be set are left out.
+    """
+    ok = last_of(changes.where(settable(F.col("status"))), "claim_id", ["status"], "changed_at")
+    return claims.join(ok, "claim_id", "left").withColumn("status", F.coalesce("_last.status", "status")).drop("_last")
 
 
-def failed_documents(stored: DataFrame, failures: DataFrame) -> DataFrame:
-    """Documents after failed dispatches (claim_id, document_type, message, failed_at): one of each claim and type, as failed.
+def failed_dispatch(claims: DataFrame, failures: DataFrame) -> DataFrame:
+    """Claims whose dispatch failed (claim_id, message, and failed_at if there is one), as failed with the last message.
 
-    created_at is set anew, for documents that were there too.
+    Other claims keep their message; updated_at becomes failed_at where both are there.
     """
-    both = [F.lit("failed").alias(n) for n in ("status", "ocr_status")] + [F.col("failed_at").alias(n) for n in ("created_at", "updated_at")]
-    new = failures.select("claim_id", "document_type", *both, F.col("message").alias("error_message"))
-    return upsert(stored, new, ["claim_id", "document_type"], ["status", "ocr_status", "created_at", "updated_at", "error_message"])
+    when = [n for n in ("failed_at",) if n in failures.columns]
+    joined = claims.join(last_of(failures, "claim_id", [*when, "message"], "failed_at"), "claim_id", "left")
+    hit = F.col("_last").isNotNull()
+    old = F.col("ocr_error_message") if "ocr_error_message" in claims.columns else F.lit(None).cast("string")
+    new = {"status": F.when(hit, "failed").otherwise(F.col("status")), "ocr_error_message": F.when(hit, F.col("_last.message")).otherwise(old)}
+    if when and "updated_at" in claims.columns:
+        new["updated_at"] = F.when(hit, F.col("_last.failed_at")).otherwise(F.col("updated_at"))
+    return joined.withColumns(new).drop("_last")
 
 
 def delete_claims(claims: DataFrame, documents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +291,7 @@ def edit_entities(documents: DataFrame, edits: DataFrame, order: tuple[str, ...]
 
 def replace_tables(documents: DataFrame, tables: DataFrame, tables_column: str = "all_extracted_tables") -> DataFrame:
     """Documents whose tables are replaced whole by those given (id, tables), and in review."""
-    joined = documents.join(tables.select("id", F.col("tables").alias("_tables"), F.lit(True).alias("_hit")), "id", "left")
+    joined = documents.join(last_of(tables, "id", ["tables"], "changed_at").select("id", F.col("_last.tables").alias("_tables"), F.lit(True).alias("_hit")), "id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     new = {tables_column: F.when(hit, F.col("_tables")).otherwise(F.col(tables_column)), "review_status": F.when(hit, "in_review").otherwise(F.col("review_status"))}
     return joined.withColumns(new).select(*documents.columns)
