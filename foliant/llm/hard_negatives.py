@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize, numbered, table
 
-LEAF, PAGE, REGIONS, BLOCK = 32, 1024, 4096, 128
+LEAF, PAGE, REGIONS, BLOCK = 64, 1024, 4096, 128
 #: Rows that are tiled at once, and the coordinates by which they are.
 STRETCH, AXES = 1 << 14, 4
 POSITIVES, NEGATIVES, LOW_PERCENT, HIGH_PERCENT, SCALE = 5, 3, 50, 95, 256
@@ -157,43 +157,56 @@ class Queries:
         fits &= (greatest >= self.low[:, None]) & (least <= self.high[:, None])
         return np.where(fits, np.minimum(greatest, self.high[:, None]), -np.inf)
 
-    def scores(self, vectors: np.ndarray) -> np.ndarray:
-        """queries x rows."""
-        if self.exact:
-            return self.vectors @ vectors.T
-        whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-        return whole(self.vectors) @ whole(vectors).T if vectors.shape[1] else np.zeros((len(self.query), len(vectors)), object)
 
+def in_order(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k of each query: highest scores first, then smallest ids."""
+    order = np.lexsort((ids, -scores, query))
+    q = query[order]
+    first = np.searchsorted(q, q)
+    return order[np.arange(len(q)) - first < k]
 
-def search_page(block: Queries, page: dict, width: int, k: int, same: bool) -> Iterator[tuple[int, int, int]]:
-    """(query, id, score): the best k of each query in the page, of those that can be among its best."""
+
+def search_page(block: Queries, page: dict, width: int, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, score) of the best k of each query in the page, of those that can be among its best.
+
+    The queue holds the leaves by the highest bound that any query has for them. A leaf is opened for the queries whose
+    bound isn't strictly below their k-th score by then.
+    """
     ids, labels = np.frombuffer(page["ids"], "<i8"), np.frombuffer(page["labels"], "<i8")
     vectors, starts = np.frombuffer(page["vectors"], "<f8").reshape(len(ids), width), np.frombuffer(page["starts"], "<i4")
     stops = [*starts[1:].tolist(), len(ids)]
     bound = block.able(*boxes_of(vectors, starts), *boxes_of(labels, starts), same)
-    scored: dict[int, np.ndarray] = {}
-    for q in np.flatnonzero((bound >= block.floor[:, None]).any(axis=1) & (bound > -np.inf).any(axis=1)).tolist():
-        queue = [(-b, leaf) for leaf, b in enumerate(bound[q].tolist()) if b > -math.inf]
-        heapq.heapify(queue)
-        best: list[tuple[int, int]] = []
-        kth, low, high, label, own = block.floor[q], block.low[q], block.high[q], block.label[q], block.own[q]
-        while queue and -queue[0][0] >= kth:
-            leaf = heapq.heappop(queue)[1]
-            span = slice(int(starts[leaf]), stops[leaf])
-            if leaf not in scored:
-                scored[leaf] = block.scores(vectors[span])
-            s = scored[leaf][q]
-            wanted = ((labels[span] == label) if same else (labels[span] != label)) & (ids[span] != own) & (s >= low) & (s <= high) & (s >= kth)
-            for i in np.flatnonzero(wanted).tolist():
-                one = (int(s[i]), -int(ids[span][i]))
-                if len(best) < k:
-                    heapq.heappush(best, one)
-                elif one > best[0]:
-                    heapq.heapreplace(best, one)
-            if len(best) == k:
-                kth = max(kth, best[0][0])
-        for score, negated in best:
-            yield int(block.query[q]), -negated, min(MOST, max(LEAST, score))
+    kth = block.floor.copy()
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    queue = [(-b, leaf) for leaf, b in enumerate(bound.max(axis=0).tolist()) if b > -math.inf]
+    heapq.heapify(queue)
+    while queue:
+        leaf = heapq.heappop(queue)[1]
+        who = np.flatnonzero((bound[:, leaf] >= kth) & (bound[:, leaf] > -np.inf))
+        if not len(who):
+            continue
+        span = slice(int(starts[leaf]), stops[leaf])
+        s, label = block.vectors[who] @ vectors[span].T, block.label[who, None]
+        wanted = (labels[span] == label) if same else (labels[span] != label)
+        wanted &= (s >= np.maximum(kth, block.low)[who, None]) & (s <= block.high[who, None]) & (ids[span] != block.own[who, None])
+        at, i = np.nonzero(wanted)
+        if len(at):
+            joined = tuple(np.concatenate(pair) for pair in zip(best, (who[at], ids[span][i], s[at, i]), strict=True))
+            best = tuple(x[in_order(*joined, k)] for x in joined)
+            n = np.bincount(best[0], minlength=len(kth))
+            last = np.cumsum(n) - 1  # best is in order of query and score
+            kth = np.where(n == k, np.maximum(kth, best[2][last.clip(0)]), kth)
+    return best
+
+
+def scan_page(block: Queries, page: dict, width: int, k: int, same: bool) -> tuple[list[int], list[int], list[int]]:
+    """The same in whole numbers, without pruning, for sums that doubles don't hold."""
+    rows = list(zip(np.frombuffer(page["ids"], "<i8").tolist(), np.frombuffer(page["labels"], "<i8").tolist(), np.frombuffer(page["vectors"], "<f8").reshape(-1, width).tolist(), strict=True))
+    found = []
+    for q, (own, label, low, high, vector) in enumerate(zip(block.own.tolist(), block.label.tolist(), block.low.tolist(), block.high.tolist(), block.vectors.tolist(), strict=True)):
+        scores = ((min(MOST, max(LEAST, sum(int(x) * int(y) for x, y in zip(vector, v, strict=True)))), i) for i, kind, v in rows if i != own and (kind == label) == same)
+        found += [(q, -i, s) for s, i in heapq.nlargest(k, ((s, -i) for s, i in scores if low <= s <= high))]
+    return tuple(list(c) for c in zip(*found, strict=True)) if found else ([], [], [])
 
 
 def visit(blocks: DataFrame, tree: Tree, k: int, same: bool, first: bool) -> DataFrame:
@@ -215,13 +228,12 @@ def visit(blocks: DataFrame, tree: Tree, k: int, same: bool, first: bool) -> Dat
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             pages = batch.drop_columns(["rows"])
             for at in range(len(batch)):
                 block = Queries(batch.column("rows")[at].values, width, exact)
-                found += search_page(block, pages.slice(at, 1).to_pylist()[0], width, k, same)
-            columns = zip(*found, strict=True) if found else ([], [], [])
-            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["query", "id", "score"])
+                query, ids, scores = (search_page if exact else scan_page)(block, pages.slice(at, 1).to_pylist()[0], width, k, same)
+                columns = block.query[np.asarray(query, np.int64)], np.asarray(ids, np.int64), np.asarray(scores).astype(np.int64)
+                yield pa.record_batch([pa.array(c) for c in columns], names=["query", "id", "score"])
 
     rows_type = dict(blocks.dtypes)["rows"]
     bounded_batches(blocks.sparkSession)
