@@ -6,7 +6,7 @@ from ..functions import quality
 from ..functions.text import BLANK_MARKERS, SYMBOL_PATTERNS, SYMBOL_PATTERNS_AFTER, SYMBOLS
 from ..operators.classify import Lexicon
 from ..operators.store import ALIASES
-from .queries import OWN_WORDS
+from .queries import CALL_BATCHES, OWN_WORDS
 
 ORACLES: dict[str, str] = {}
 #: Unicode white space, and U+001C to U+001F.
@@ -492,3 +492,46 @@ ORACLES["detect_columns"] = f"""
 WITH {TOKENS}, g AS (SELECT page, list([x] ORDER BY y, x, token_id) AS l FROM tokens GROUP BY page),
 c AS (SELECT page, list_reduce(l, lambda cols, v: CASE WHEN len(list_filter(cols, lambda c: abs(c - v[1]) < 40)) > 0 THEN cols ELSE list_concat(cols, v) END) AS cols FROM g)
 SELECT t.page, token_id, list_position(list_sort(cols), list_filter(cols, lambda c: abs(c - x) < 40)[1])::INTEGER AS "column" FROM tokens t JOIN c ON c.page = t.page"""
+
+
+def streamed_callbacks_sql(batches: int) -> str:
+    """One callback of a claim after another: a state a turn, numbered after the second turn of each batch."""
+    turns = f"range(2, {2 * batches + 2})"
+    parts = [f"""{LINES},
+c AS MATERIALIZED (
+  SELECT o_orderkey AS o, o_orderkey::VARCHAR AS claim_id, turn, (o_orderkey + turn) % 3 <> 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AS listed,
+         CASE WHEN (o_orderkey + turn) % 3 <> 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'F' WHEN o_orderkey % 4 = 1 THEN 'letter' END AS kind,
+         CASE WHEN (o_orderkey + turn) % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, o_orderdate + turn * INTERVAL 1 DAY AS told
+  FROM orders, {turns} AS t(turn)
+  WHERE (o_orderkey + turn) % 5 < 3 AND o_orderkey % 50 <> 7 AND ((o_orderkey + turn) % 7 = 0 OR (o_orderkey + turn) % 11 <> 0)),
+e AS MATERIALIZED (
+  SELECT c.*, l_linestatus AS t, l_linestatus || '_' || l_linenumber || CASE WHEN l_linenumber = 4 THEN 'x' ELSE '' END || '.json' AS f, CASE WHEN l_linenumber <> 4 THEN l_linenumber END AS n,
+         CASE WHEN l_partkey % 9 = 0 THEN 'torn' END AS error, l_partkey::VARCHAR AS part, 2 * (row_number() OVER (PARTITION BY o, turn ORDER BY l_linenumber, l_linestatus) - 1) AS place
+  FROM c JOIN lines ON l_orderkey = o WHERE listed),
+b AS MATERIALIZED (SELECT *, coalesce(kind, 'claim_pdf') AS t FROM c WHERE NOT listed),
+s1 AS (
+  SELECT 'old-' || o_orderkey || '-' || l_linestatus || '_' || l_linenumber || '.json' AS id, o_orderkey::VARCHAR AS claim_id, l_linestatus AS document_type, l_linestatus || '_' || l_linenumber || '.json' AS source_file_name,
+         l_linenumber::INTEGER AS sequence, 'completed' AS status, NULL::VARCHAR AS error_message, 'old' AS part, 'approved' AS review_status, o_orderdate AS created_at, o_orderdate AS updated_at
+  FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0 AND l_linenumber > 1)"""]
+    for turn in range(2, 2 * batches + 2):
+        old, new = f"s{turn - 1}", f"s{turn}" if turn % 2 == 0 else f"u{turn}"
+        parts.append(f"""g{turn} AS (SELECT b.claim_id, b.t, arg_min(s.id, (s.created_at, s.id)) AS id FROM b JOIN {old} s ON s.claim_id = b.claim_id AND s.document_type = b.t WHERE turn = {turn} GROUP BY ALL),
+i{turn} AS (
+  SELECT coalesce(s.id, md5(e.claim_id || '|f|' || f || '|{{"turn":{turn},"place":' || place || '}}')) AS id, e.claim_id, t, f, n, e.status, error, e.part, told, TRUE AS named FROM e LEFT JOIN {old} s ON s.claim_id = e.claim_id AND s.source_file_name = e.f WHERE turn = {turn}
+  UNION ALL SELECT coalesce(g{turn}.id, md5(b.claim_id || '|t|' || b.t || '|{{"turn":{turn},"place":0}}')), b.claim_id, b.t, NULL, NULL, status, 'whole', NULL, told, FALSE FROM b LEFT JOIN g{turn} ON g{turn}.claim_id = b.claim_id AND g{turn}.t = b.t WHERE turn = {turn}),
+{new} AS MATERIALIZED (
+  SELECT coalesce(s.id, i.id) AS id, coalesce(s.claim_id, i.claim_id) AS claim_id, coalesce(i.t, s.document_type) AS document_type, CASE WHEN i.named THEN i.f ELSE s.source_file_name END AS source_file_name,
+         CASE WHEN i.named THEN i.n ELSE s.sequence END::INTEGER AS sequence, coalesce(i.status, s.status) AS status, CASE WHEN i.id IS NULL THEN s.error_message ELSE i.error END AS error_message,
+         CASE WHEN i.id IS NULL THEN s.part ELSE i.part END AS part, s.review_status, coalesce(s.created_at, i.told) AS created_at, coalesce(i.told, s.updated_at) AS updated_at
+  FROM {old} s FULL JOIN i{turn} i ON i.id = s.id)""")
+        if turn % 2:
+            parts.append(f"""k{turn} AS (SELECT *, row_number() OVER (PARTITION BY claim_id, document_type, sequence IS NULL ORDER BY created_at, id) AS k FROM u{turn}),
+x{turn} AS (SELECT claim_id, document_type, unnest(range(1, n + 1)) AS free FROM (SELECT claim_id, document_type, count(*) + coalesce(max(sequence), 0) AS n FROM u{turn} GROUP BY ALL)),
+f{turn} AS (SELECT x.*, row_number() OVER (PARTITION BY claim_id, document_type ORDER BY free) AS k FROM x{turn} x ANTI JOIN u{turn} u ON u.claim_id = x.claim_id AND u.document_type = x.document_type AND u.sequence = x.free),
+s{turn} AS MATERIALIZED (SELECT k.* EXCLUDE (k) REPLACE (coalesce(k.sequence, f.free)::INTEGER AS sequence) FROM k{turn} k LEFT JOIN f{turn} f ON f.claim_id = k.claim_id AND f.document_type = k.document_type AND f.k = k.k)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT s.claim_id, document_type, source_file_name, sequence, s.status, error_message, part, review_status, s.created_at, s.updated_at, coalesce(l.status, 'uploaded') AS claim_status, coalesce(l.told, o_orderdate) AS claim_updated_at
+FROM s{2 * batches + 1} s JOIN orders ON o_orderkey::VARCHAR = s.claim_id LEFT JOIN (SELECT claim_id, arg_max(status, turn) AS status, max(told) AS told FROM c GROUP BY claim_id) l ON l.claim_id = s.claim_id"""
+
+
+ORACLES["streamed_callbacks"] = streamed_callbacks_sql(CALL_BATCHES)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, payloads, quality, text
-from ..operators import batches, classify, consolidate, spatial, store
+from ..operators import batches, callbacks, classify, consolidate, spatial, store
 from ..sources import files, scratch
-from ..streaming.store import VersionedTable, upsert_stream
+from ..streaming.store import CommittedTables, VersionedTable, callback_stream, upsert_stream
 from . import tables
 from .tables import table
 
@@ -834,3 +834,75 @@ def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", "event_id", "ts", "value")
     upsert_stream(stream, kept, ["user_id", "event_type"], ["event_id", "ts", "value"], "ts", f"{path}/state", newest=True).awaitTermination()
     return kept.read(1 << 30).select("user_id", "event_type", "event_id", "value")
+
+
+#: Of the streamed callbacks: batches, and files of one.
+CALL_BATCHES, CALL_FILES = 3, 4
+
+
+def _null_fields(schema: str, given: dict[str, F.Column]) -> list[F.Column]:
+    """The given columns, and null ones for the rest of a schema."""
+    fields = SparkSession.getActiveSession().createDataFrame([], schema).schema
+    return [given[f.name].cast(f.dataType).alias(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+
+
+def _call_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, when = F.col("o_orderkey"), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(o.cast("string").alias("claim_id"), F.lit("uploaded").alias("status"), when.alias("created_at"), when.alias("updated_at"))
+
+
+def _call_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order's line items but those of number 1, as documents that are there before."""
+    name = F.concat(F.col("l_linestatus"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".json"))
+    rows = _lines(spark, sf_dir).where((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") > 1)).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    given = {
+        "id": F.concat_ws("-", F.lit("old"), "o_orderkey", name), "claim_id": F.col("o_orderkey"), "document_type": F.col("l_linestatus"), "source_file_name": name, "sequence": F.col("l_linenumber"), "status": F.lit("completed"),
+        "ocr_status": F.lit("completed"), "all_extracted_entities": F.create_map(F.lit("part"), F.lit("old")), "review_status": F.lit("approved"), "created_at": F.col("o_orderdate"), "updated_at": F.col("o_orderdate"),
+    }
+    return rows.select(*_null_fields(callbacks.DOCUMENT, given))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn and callbacks of orders, up to two a batch: some with the line items as entries, of which one file comes twice, others without entries.
+
+    Some have odd statuses, some claims that are not there. Turn is twice the batch, and one more for the second of it.
+    """
+    o, turn = F.col("o_orderkey"), F.col("turn")
+    lists = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus", "l_partkey")))
+
+    def both(line: F.Column) -> F.Column:
+        name = F.concat(line["l_linestatus"], F.lit("_"), line["l_linenumber"].cast("string"), F.when(line["l_linenumber"] == 4, "x").otherwise(""), F.lit(".json"))
+        errors = F.when(line["l_partkey"] % 9 == 0, F.array(F.lit(""), F.lit("torn")))
+        of = lambda part: F.struct(line["l_linestatus"].alias("document_type"), F.create_map(F.lit("part"), part).alias("all_extracted_entities"), errors.alias("errors"))
+        return F.array(*[F.struct(name.alias("file_name"), of(part).alias("content")) for part in (F.lit("first"), line["l_partkey"].cast("string"))])
+
+    entries = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.flatten(F.transform(lists, both)).alias("entries"))
+    rows = table(spark, sf_dir, "orders").join(entries, "o_orderkey", "left").withColumn("turn", F.explode(F.sequence(F.lit(2), F.lit(2 * CALL_BATCHES + 1))))
+    rows = rows.where((o + turn) % 5 < 3)
+    whole = (o + turn) % 3 != 0
+    widened = F.from_json(F.to_json("entries"), callbacks.ENTRIES)
+    given = {
+        "claim_id": F.when(o % 50 == 7, F.concat(F.lit("gone-"), o.cast("string"))).otherwise(o.cast("string")), "document_type": F.when(~whole, F.when(o % 2 == 0, "F").when(o % 4 == 1, "letter")),
+        "ocr_status": F.when((o + turn) % 7 == 0, "FAILED").when((o + turn) % 11 == 0, "running").when((o + turn) % 13 != 0, "Completed"), "structured_entries": F.when(whole & (o % 4 < 2), widened),
+        "raw_entries": F.when(whole, widened), "error_message": F.lit("whole"), "updated_at": F.col("o_orderdate") + F.make_dt_interval(turn),
+    }
+    return rows.select("turn", *_null_fields(callbacks.CALLBACK, given))
+
+
+@query
+def streamed_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callbacks streamed in batches into claims and documents under one commit: rows with their claim's status at the end."""
+    path = scratch.folder(spark)
+    schemas = {"claims": "claim_id string, status string, created_at timestamp_ntz, updated_at timestamp_ntz", "documents": callbacks.DOCUMENT}
+    kept = CommittedTables(spark, f"{path}/store", schemas, {n: ["claim_id"] for n in schemas}, 8)
+    kept.commit({"claims": _call_claims(spark, sf_dir), "documents": _call_documents(spark, sf_dir)}, 0)
+    said = scratch.stored(_calls(spark, sf_dir))
+    for batch in range(1, CALL_BATCHES + 1):
+        said.where(F.floor(F.col("turn") / 2) == batch).repartition(CALL_FILES).write.mode("append").parquet(f"{path}/calls")
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", CALL_FILES).parquet(f"{path}/calls")
+    callback_stream(stream, kept, ["turn"], f"{path}/state").awaitTermination()
+    claims = kept.read("claims").select("claim_id", F.col("status").alias("claim_status"), F.col("updated_at").alias("claim_updated_at"))
+    part = F.try_element_at("all_extracted_entities", F.lit("part")).alias("part")
+    return kept.read("documents").join(claims, "claim_id").select(
+        "claim_id", "document_type", "source_file_name", "sequence", "status", "error_message", part, "review_status", "created_at", "updated_at", "claim_status", "claim_updated_at",
+    )
