@@ -82,22 +82,28 @@ def _as_object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def _tolerant(text: str) -> str | None:
-    inner = text[text.find("{") : text.rfind("}") + 1] if "{" in text and "}" in text else text
-    # Parsing comes before repair, so that sound payloads are never touched by it.
-    repaired = re.sub(r"([{\[,]\s*)\"([^\"\r\n]+?)\s*['’]\s*:", lambda m: f'{m[1]}"{_tidy(m[2])}":', inner)
-    for candidate in (text, inner, repaired):
+def _tolerant(text: str, plain: str) -> str | None:
+    inner = lambda t: t[t.find("{") : t.rfind("}") + 1] if "{" in t and "}" in t else t
+    # Parsing comes before all repair, so that sound payloads are never touched by it: the text itself, then without its
+    # fence and hanging commas, then with its keys repaired.
+    repaired = re.sub(r"([{\[,]\s*)\"([^\"\r\n]+?)\s*['’]\s*:", lambda m: f'{m[1]}"{_tidy(m[2])}":', inner(plain))
+    for candidate in dict.fromkeys((text, inner(text), plain, inner(plain), repaired)):
         if (found := _as_object(candidate)) is not None:
             return json.dumps(found, ensure_ascii=False, default=str)
     return None
 
 
 def parse_tolerant(text: Column) -> Column:
-    """The payload's object as JSON text: parsed as JSON, as a Python literal, then with broken keys repaired; else null."""
-    plain = unfence(text)
-    repair = F.pandas_udf(lambda s: s.map(_tolerant, na_action="ignore"), "string")
-    sound = F.when(F.startswith(plain, F.lit("{")) & F.try_parse_json(plain).isNotNull(), plain)
-    return F.coalesce(sound, repair(plain))
+    """The payload's object as JSON text: parsed as JSON, as a Python literal, then with broken keys repaired; else null.
+
+    Python sees only what no parser of Spark's takes, as it is or without a fence; other rows are null to it.
+    """
+    raw = strip(F.coalesce(text, F.lit("")))
+    is_object = lambda c: F.when(F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull(), c)
+    bare = strip(F.regexp_replace(F.regexp_replace(raw, "(?i)^```(json)?", ""), "```$", ""))
+    sound = F.coalesce(is_object(raw), is_object(bare))
+    repair = F.pandas_udf(lambda s, t: s.combine(t, lambda a, b: None if a is None or b is None else _tolerant(a, b)), "string")
+    return F.coalesce(sound, repair(F.when(sound.isNull(), raw), F.when(sound.isNull(), unfence(text))))
 
 
 def failed_generation(message: Column) -> Column:

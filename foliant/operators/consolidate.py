@@ -1,4 +1,4 @@
-"""Consolidation of per-page payloads into one ledger a document type."""
+"""Consolidation of per-page payloads into one ledger a run and document type."""
 
 from __future__ import annotations
 
@@ -59,17 +59,49 @@ def merge_entities(pages: DataFrame, keys: list[str], page: str = "page_number",
     return longest(each.where(F.col("value").isNotNull()), [*keys, "key"], [page])
 
 
-def ledgers(pages: DataFrame, metadata: tuple[str, ...] = ("patient_name", "hospital_name", "date", "reference_or_claim_number")) -> DataFrame:
-    """One row a document type: its pages, best metadata and entities, distinct rows and warnings."""
+#: The fields of a ledger's metadata, and the kinds of warnings.
+METADATA = ("patient_name", "hospital_name", "date", "reference_or_claim_number")
+WARNINGS = ("ignored_handwritten_content", "unmapped_ambiguous_text_regions")
+
+
+def ledger_tables(pages: DataFrame, keys: list[str], metadata: tuple[str, ...] = METADATA) -> dict[str, DataFrame]:
+    """The ledgers of page payloads as tables, under keys (such as the run) and type_key. No list grows with a ledger.
+
+    ledgers: document_type as its first page has it, pages, first_page; pages: page_number; metadata, entities: key, value;
+    rows: page_number, table_no, row_no, row, the first of equal ones; warnings: kind, text.
+    """
     kinds = pages.withColumn("type_key", type_key(F.col("document_type_classified")))
-    key = ["type_key"]
-    base = kinds.groupBy(*key).agg(F.min_by(strip(F.col("document_type_classified")), "page_number").alias("document_type"), F.sort_array(F.collect_list("page_number")).alias("pages_associated"))
+    key = [*keys, "type_key"]
+    named = F.min_by(strip(F.col("document_type_classified")), "page_number").alias("document_type")
     facts = kinds.select(*key, "page_number", F.explode(F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(f"global_metadata.{m}"))])).alias("key", "value"))
-    best = longest(facts, [*key, "key"], ["page_number"], keep_null_like=False)
-    found = best.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("global_metadata"))
-    entities = merge_entities(kinds, key).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("all_extracted_entities"))
-    rows = distinct_rows(table_rows(kinds, [*key, "page_number"]), key, ["page_number", "table_no", "row_no"])
-    ordered = F.sort_array(F.collect_list(F.struct("page_number", "table_no", "row_no", "row")))
-    tables = rows.groupBy(*key).agg(F.transform(ordered, lambda r: r["row"]).alias("consolidated_tables"))
-    said = union_warnings(kinds, key, {n: F.col(f"warnings.{n}") for n in ("ignored_handwritten_content", "unmapped_ambiguous_text_regions")})
-    return base.join(found, key, "left").join(entities, key, "left").join(tables, key, "left").join(said, key, "left")
+
+    def warned(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"warnings.{kind}"), F.array().cast("array<string>")), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+
+    said = F.explode(F.concat(*[warned(n) for n in WARNINGS]))
+    return {
+        "ledgers": kinds.groupBy(*key).agg(named, F.count("*").alias("pages"), F.min("page_number").alias("first_page")),
+        "pages": kinds.select(*key, "page_number"),
+        "metadata": longest(facts, [*key, "key"], ["page_number"], keep_null_like=False),
+        "entities": merge_entities(kinds, key),
+        "rows": distinct_rows(table_rows(kinds, [*key, "page_number"]), key, ["page_number", "table_no", "row_no"]),
+        "warnings": kinds.select(*key, said.alias("w")).select(*key, "w.*").distinct(),
+    }
+
+
+def ledgers(pages: DataFrame, metadata: tuple[str, ...] = METADATA, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a ledger: its pages, best metadata and entities, distinct rows and warnings, nested.
+
+    For ledgers that fit a row, as those of one run do when keys name it; without keys a type is one row (see ledger_tables).
+    """
+    key = [*keys, "type_key"]
+    of = ledger_tables(pages, list(keys), metadata)
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    pairs = lambda name, out: of[name].groupBy(*key).agg(F.map_from_entries(listed(F.struct("key", "value"))).alias(out))
+    numbers = of["pages"].groupBy(*key).agg(listed("page_number").alias("pages_associated"))
+    rows = of["rows"].groupBy(*key).agg(F.transform(listed(F.struct("page_number", "table_no", "row_no", "row")), lambda r: r["row"]).alias("consolidated_tables"))
+    said = of["warnings"].groupBy(*key).agg(*[listed(F.when(F.col("kind") == n, F.col("text"))).alias(n) for n in WARNINGS])
+    out = of["ledgers"].select(*key, "document_type").join(numbers, key)
+    for part in (pairs("metadata", "global_metadata"), pairs("entities", "all_extracted_entities"), rows, said):
+        out = out.join(part, key, "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in WARNINGS})

@@ -437,15 +437,16 @@ SELECT coalesce(t.page_id, k.page_id)::INTEGER AS page_number, document_type, co
 ORACLES["page_artifacts"] = "SELECT page_id, CASE WHEN page_id % 4 <> 3 AND page_id % 11 <> 5 THEN ' Type' || page_id % 3 END AS kind FROM pages"
 
 
-def ledger_sql(where: str) -> str:
+def ledger_sql(where: str, run: str = "") -> str:
+    own, by = (f"{run} AS run, ", "run, ") if run else ("", "")
     null = f"(text IS NULL OR lower({strip('text')}) IN ('null', 'none', ''))"
     return f"""
-WITH w AS (SELECT role, conv_id * 1000 + turn AS page, turn, text, {null} AS none, coalesce(length({strip('text')}), 0) AS size FROM conversations WHERE {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY none, CASE WHEN none THEN 0 ELSE -size END, page) AS n, row_number() OVER (PARTITION BY role ORDER BY page) AS i FROM w)
-SELECT lower(role) || '_note' AS type_key, upper(role[1]) || lower(role[2:]) || ' Note' AS document_type, count(*)::INTEGER AS pages, min(page)::INTEGER AS first_page, max(CASE WHEN turn % 2 = 0 THEN role END) AS patient_name,
+WITH w AS (SELECT {own}role, conv_id * 1000 + turn AS page, turn, text, {null} AS none, coalesce(length({strip('text')}), 0) AS size FROM conversations WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by}role ORDER BY none, CASE WHEN none THEN 0 ELSE -size END, page) AS n, row_number() OVER (PARTITION BY {by}role ORDER BY page) AS i FROM w)
+SELECT {by}lower(role) || '_note' AS type_key, upper(role[1]) || lower(role[2:]) || ' Note' AS document_type, count(*)::INTEGER AS pages, min(page)::INTEGER AS first_page, max(CASE WHEN turn % 2 = 0 THEN role END) AS patient_name,
        md5(coalesce(max(text) FILTER (n = 1 AND NOT none), '')) AS hospital, NULL::VARCHAR AS reference, md5(coalesce(max(text) FILTER (n = 1), '')) AS text,
        count(DISTINCT coalesce('t' || lower({strip('text')}), ''))::INTEGER AS rows, md5(coalesce(max(text) FILTER (i = 1), '')) AS first_item, role AS ignored, array_to_string(list_sort(list(DISTINCT (turn % 3)::VARCHAR)), ',') AS unmapped
-FROM r GROUP BY role"""
+FROM r GROUP BY {by}role"""
 
 
 ORACLES["ledger"] = ledger_sql("true")
@@ -534,4 +535,20 @@ SELECT s.claim_id, document_type, source_file_name, sequence, s.status, error_me
 FROM s{2 * batches + 1} s JOIN orders ON o_orderkey::VARCHAR = s.claim_id LEFT JOIN (SELECT claim_id, arg_max(status, turn) AS status, max(told) AS told FROM c GROUP BY claim_id) l ON l.claim_id = s.claim_id"""
 
 
+ORACLES["sound_payloads"] = "SELECT conv_id, turn, md5(text || ', } \\'' ```json ,]') AS digest FROM conversations"
+ORACLES["run_ledgers"] = ledger_sql("true", "conv_id // 4")
+ORACLES["ledger_facts"] = f"""
+WITH w AS (SELECT conv_id // 4 AS run, lower(role) || '_note' AS type_key, role, (conv_id * 1000 + turn)::INTEGER AS page, turn, text, (text IS NULL OR lower({strip('text')}) IN ('null', 'none', '')) AS none, coalesce(length({strip('text')}), 0) AS size FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, role ORDER BY none, CASE WHEN none THEN 0 ELSE -size END, page) AS n, row_number() OVER (PARTITION BY run, role, lower({strip('text')}) ORDER BY page) AS i FROM w),
+f AS (
+  SELECT 'pages' AS part, run, type_key, page, NULL AS name, NULL AS value FROM w
+  UNION ALL SELECT 'rows', run, type_key, page, '0.0', coalesce(text, '') FROM r WHERE i = 1
+  UNION ALL SELECT 'entities', run, type_key, NULL, 'text', text FROM r WHERE n = 1 AND text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'entities', run, type_key, NULL::INTEGER, 'role', role FROM w
+  UNION ALL SELECT 'metadata', run, type_key, NULL, 'hospital_name', CASE WHEN none THEN '' ELSE text END FROM r WHERE n = 1
+  UNION ALL SELECT 'metadata', run, type_key, NULL, 'patient_name', coalesce(max(CASE WHEN turn % 2 = 0 THEN role END), '') FROM w GROUP BY run, type_key
+  UNION ALL SELECT DISTINCT 'metadata', run, type_key, NULL::INTEGER, unnest(['date', 'reference_or_claim_number']), '' FROM w
+  UNION ALL SELECT DISTINCT 'warnings', run, type_key, NULL::INTEGER, 'ignored_handwritten_content', role FROM w
+  UNION ALL SELECT DISTINCT 'warnings', run, type_key, NULL::INTEGER, 'unmapped_ambiguous_text_regions', (turn % 3)::VARCHAR FROM w)
+SELECT part, run, type_key, page, name, md5(value) AS value FROM f"""
 ORACLES["streamed_callbacks"] = streamed_callbacks_sql(CALL_BATCHES)

@@ -735,12 +735,12 @@ def _page_payload(page: F.Column) -> F.Column:
     )
 
 
-def _ledger_rows(found: DataFrame) -> DataFrame:
+def _ledger_rows(found: DataFrame, *keys: str) -> DataFrame:
     digest = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
     entity = lambda k: F.try_element_at("all_extracted_entities", F.lit(k))
     meta = lambda k: F.try_element_at("global_metadata", F.lit(k))
     return found.select(
-        "type_key", "document_type", F.size("pages_associated").alias("pages"), F.array_min("pages_associated").alias("first_page"), meta("patient_name").alias("patient_name"), digest(meta("hospital_name")).alias("hospital"),
+        *keys, "type_key", "document_type", F.size("pages_associated").alias("pages"), F.array_min("pages_associated").alias("first_page"), meta("patient_name").alias("patient_name"), digest(meta("hospital_name")).alias("hospital"),
         meta("reference_or_claim_number").alias("reference"), digest(entity("text")).alias("text"), F.size("consolidated_tables").alias("rows"), digest(F.get("consolidated_tables", F.lit(0))["medication_or_item_name"]).alias("first_item"),
         F.array_join("ignored_handwritten_content", ",").alias("ignored"), F.array_join("unmapped_ambiguous_text_regions", ",").alias("unmapped"),
     )
@@ -906,3 +906,43 @@ def streamed_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read("documents").join(claims, "claim_id").select(
         "claim_id", "document_type", "source_file_name", "sequence", "status", "error_message", part, "review_status", "created_at", "updated_at", "claim_status", "claim_updated_at",
     )
+
+
+@query
+def sound_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads whose texts hold what repair would change stay as they are, fenced or with words around them."""
+    body = F.to_json(F.struct(F.concat("text", F.lit(", } \\' ```json ,]")).alias("a")))
+    t = F.col("turn") % 3
+    around = F.when(t == 0, body).when(t == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), body, F.lit(" (end)")))
+    parsed = payloads.parse_tolerant(around)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.get_json_object(parsed, "$.a").cast("binary")).alias("digest"))
+
+
+def _run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as page payloads of a run each four conversations."""
+    run = F.floor(F.col("conv_id") / 4).cast("long")
+    return table(spark, sf_dir, "conversations").select(run.alias("run"), _page_payload(F.col("conv_id") * 1000 + F.col("turn")).alias("p")).select("run", "p.*")
+
+
+@query
+def run_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ledger a run and type: runs never mix."""
+    found = consolidate.ledgers(_run_pages(spark, sf_dir), keys=("run",))
+    return _ledger_rows(found, "run")
+
+
+@query
+def ledger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the ledgers of runs hold, a row a fact: pages, metadata, entities, rows and warnings."""
+    of = consolidate.ledger_tables(_run_pages(spark, sf_dir), ["run"])
+    none, digest = F.lit(None).cast("string"), lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    no_page = F.lit(None).cast("int")
+    facts = {
+        "pages": (F.col("page_number"), none, none), "metadata": (no_page, F.col("key"), digest(F.col("value"))), "entities": (no_page, F.col("key"), digest(F.col("value"))),
+        "rows": (F.col("page_number"), F.concat_ws(".", "table_no", "row_no"), digest(F.col("row.medication_or_item_name"))), "warnings": (no_page, F.col("kind"), digest(F.col("text"))),
+    }
+    parts = [of[part].select(F.lit(part).alias("part"), "run", "type_key", page.alias("page"), name.alias("name"), value.alias("value")) for part, (page, name, value) in facts.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
