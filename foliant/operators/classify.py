@@ -1,10 +1,16 @@
-"""Page classification by a weighted lexicon, in one pass of built-in expressions over the text."""
+"""Page classification by a weighted lexicon.
+
+An automaton of all keywords, and of the letters that each pattern must hold, reads a text once; only patterns whose letters
+are there are run. Where the automaton's library isn't installed, built-in expressions do the same, a pass a keyword.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +64,83 @@ def type_score(text: Column, kind: str, words: Lexicon) -> Column:
     return score
 
 
-def classify(pages: DataFrame, text: str = "text", words: Lexicon | None = None, evidence: bool = False) -> DataFrame:
+def scorer(words: Lexicon) -> Callable[[str], list[int]]:
+    """text -> the score of each type, from one pass of an automaton over the text.
+
+    Occurrences of a keyword don't overlap, the leftmost counts; patterns are Java's and Python's alike on normalized text.
+    """
+    import ahocorasick
+
+    kinds = list(words.keywords)
+    of_word: dict[str, list[tuple[int, int]]] = {}  # word: (type, weight)
+    of_letters: dict[str, list[tuple[int, re.Pattern]]] = {}  # letters: (type, pattern)
+    always: list[tuple[int, re.Pattern]] = []
+    for i, kind in enumerate(kinds):
+        for word, weight in words.keywords[kind].items():
+            of_word.setdefault(word, []).append((i, weight))
+        for pattern in words.patterns.get(kind, ()):
+            letters = literal_in(pattern)
+            (of_letters.setdefault(letters, []) if letters else always).append((i, re.compile(pattern, re.ASCII)))
+    names = sorted({*of_word, *of_letters})
+    automaton = ahocorasick.Automaton()
+    for n, name in enumerate(names):
+        automaton.add_word(name, n)
+    automaton.make_automaton()
+    sizes = [len(name) for name in names]
+    scores_of = [of_word.get(name, ()) for name in names]
+    patterns_of = [of_letters.get(name, ()) for name in names]
+
+    def score(text: str) -> list[int]:
+        out, counts, free = [0] * len(kinds), {}, {}
+        for end, n in automaton.iter(text):
+            if end - sizes[n] + 1 >= free.get(n, 0):
+                counts[n] = counts.get(n, 0) + 1
+                free[n] = end + 1
+        for n, count in counts.items():
+            for i, weight in scores_of[n]:
+                out[i] += count * weight
+        for i, pattern in always + [p for n in counts for p in patterns_of[n]]:
+            out[i] += sum(1 for _ in pattern.finditer(text)) * words.pattern_weight
+        return out
+
+    return score
+
+
+def automaton_scores(text: Column, words: Lexicon) -> Column:
+    """The scores of all types as an array, a batch of texts at once; null for an empty text."""
+    made: list[Callable[[str], list[int]]] = []
+
+    @F.pandas_udf("array<int>")
+    def scores(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(scorer(words))  # once a worker
+        return texts.map(made[0], na_action="ignore")
+
+    return scores(F.nullif(text, F.lit("")))
+
+
+def has_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def classify(pages: DataFrame, text: str = "text", words: Lexicon | None = None, evidence: bool = False, automaton: bool | None = None) -> DataFrame:
     """Adds document_type, confidence_score and all_scores; evidence adds matched_keywords and matched_patterns.
 
     The first best score in the lexicon's order wins; below least_score, or below least_share of all scores, the
-    type is unknown. The share is reported even then.
+    type is unknown. The share is reported even then. automaton: None for where its library is installed.
     """
     words = words or Lexicon()
     kinds = list(words.keywords)
     normal = F.col("_normal")
-    scored = pages.withColumn("_normal", normalize(F.col(text))).withColumns({f"_s_{k}": type_score(normal, k, words) for k in kinds})
+    scored = pages.withColumn("_normal", normalize(F.col(text)))
+    if has_automaton() if automaton is None else automaton:
+        scored = scored.withColumn("_all", automaton_scores(normal, words)).withColumns({f"_s_{k}": F.coalesce(F.get("_all", F.lit(i)), F.lit(0)) for i, k in enumerate(kinds)}).drop("_all")
+    else:
+        scored = scored.withColumns({f"_s_{k}": type_score(normal, k, words) for k in kinds})
     best = F.greatest(*[F.struct(F.col(f"_s_{k}").alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])
     total = sum((F.col(f"_s_{k}") for k in kinds[1:]), F.col(f"_s_{kinds[0]}"))
     scored = scored.withColumns({"_best": best, "_total": total})

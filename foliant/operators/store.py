@@ -6,12 +6,15 @@ row update, so an upsert is one full outer join on the merge key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payloads
 from ..functions.quality import claim_status, settable, terminal_status
 from ..functions.text import alias_key, trailing_number
+from .ranks import places
 
 #: The summary's fields and the names they go by, first ones first.
 ALIASES = {
@@ -137,8 +140,12 @@ def progress(documents: DataFrame, key: str = "claim_id") -> DataFrame:
     return documents.groupBy(key).agg(F.count("*").alias("total"), done.alias("completed"), F.floor(done * 100 / F.count("*") + 0.5).cast("int").alias("percent"))
 
 
+#: Rows of one key beyond which its rows are numbered by many tasks.
+HOT_ROWS = 1 << 17
+
+
 def fill_sequences(documents: DataFrame, keys: list[str], order: list[str], sequence: str = "sequence") -> DataFrame:
-    """Rows without a number get, in order, the smallest positive ones that their key doesn't use.
+    """Rows without a number get, in order, the smallest positive ones that their key doesn't use. One task orders a key.
 
     The r-th used number u of a key leaves u - r free ones below it, so the k-th free number is k plus the count of used
     ones with u - r < k: used numbers and waiting rows are merged in that order and counted in one pass over sorted rows.
@@ -155,6 +162,30 @@ def fill_sequences(documents: DataFrame, keys: list[str], order: list[str], sequ
     return documents.where(~waits).unionByName(filled.select(*documents.columns))
 
 
+def fill_hot_sequences(documents: DataFrame, keys: list[str], order: list[str], keep: Callable[[DataFrame], DataFrame], sequence: str = "sequence", hot: int = HOT_ROWS) -> DataFrame:
+    """The same where a key may hold a great share of all rows: keys of more than `hot` rows are numbered over ranges.
+
+    In the merged order of fill_sequences the k-th free number is the place itself: k waiting rows and the used numbers
+    before. Three rankings over ranges give it, and no task holds more than its range. order tells the rows of a key apart.
+    keep stores a table and reads it again.
+    """
+    sizes = documents.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    large = keep(sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys]))
+    if large.isEmpty():
+        return fill_sequences(documents, keys, order, sequence)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    crowd, rest = documents.join(large, same, "left_semi"), documents.join(large, same, "left_anti")
+    waits = F.col(sequence).isNull()
+    used = crowd.where(F.col(sequence) >= 1).select(*keys, F.col(sequence).cast("long").alias("_u")).distinct()
+    used = places(used, keys, ["_u"], "_r", keep).select(*keys, (F.col("_u") - F.col("_r") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_u").alias("_tie"))
+    waiting = keep(places(crowd.where(waits), keys, order, "_at", keep))
+    turns = waiting.select(*keys, "_at", F.lit(1).alias("_kind"), F.col("_at").alias("_tie"))
+    free = places(turns.unionByName(used), keys, ["_at", "_kind", "_tie"], "_free", keep).where(F.col("_kind") == 1)
+    free = free.select(F.col("_at").alias("_turn"), "_free", *[F.col(k).alias(f"_of_{k}") for k in keys])
+    filled = waiting.join(free, [*same, F.col("_at") == F.col("_turn")]).withColumn(sequence, F.col("_free").cast(dict(documents.dtypes)[sequence])).select(*documents.columns)
+    return crowd.where(~waits).unionByName(filled).unionByName(fill_sequences(rest, keys, order, sequence))
+
+
 def merge_key(documents: DataFrame) -> DataFrame:
     """Adds _key: the file name if there is one, else the type."""
     has_file = F.coalesce(F.col("source_file_name") != "", F.lit(False))

@@ -552,3 +552,10 @@ f AS (
   UNION ALL SELECT DISTINCT 'warnings', run, type_key, NULL::INTEGER, 'unmapped_ambiguous_text_regions', (turn % 3)::VARCHAR FROM w)
 SELECT part, run, type_key, page, name, md5(value) AS value FROM f"""
 ORACLES["streamed_callbacks"] = streamed_callbacks_sql(CALL_BATCHES)
+ORACLES["hot_sequences"] = f"""
+WITH {DOCUMENTS},
+m AS (SELECT id, 'all' AS claim_id, document_type, CASE WHEN sequence IS NOT NULL AND id % 5 < 2 THEN (id % 4000)::INTEGER END AS sequence, created_at, lpad(id::VARCHAR, 20, '0') AS source_file_name FROM docs), {NUMBERED}
+SELECT document_type, id, sequence FROM z"""
+ORACLES["republished_pages"] = f"""
+SELECT 'before' AS read, page_id::INTEGER AS page_number, md5({strip('html')}) AS digest FROM pages WHERE page_id % 3 <> 0 AND html IS NOT NULL
+UNION ALL SELECT 'after', page_id::INTEGER, md5({strip("html || '!'")}) FROM pages WHERE html IS NOT NULL"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, payloads, quality, text
 from ..operators import batches, callbacks, classify, consolidate, spatial, store
-from ..sources import files, scratch
+from ..sources import atomic, files, scratch
 from ..streaming.store import CommittedTables, VersionedTable, callback_stream, upsert_stream
 from . import tables
 from .tables import table
@@ -946,3 +946,28 @@ def ledger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query
+def hot_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under one claim: a key for each type, numbered over ranges."""
+    docs = tables.documents(spark, sf_dir).select("id", F.lit("all").alias("claim_id"), "document_type", F.when(F.col("sequence").isNotNull() & (F.col("id") % 5 < 2), (F.col("id") % 4000).cast("int")).alias("sequence"), "created_at")
+    out = store.fill_hot_sequences(docs, ["claim_id", "document_type"], ["created_at", "id"], scratch.stored, hot=1000)
+    return out.select("document_type", "id", "sequence")
+
+
+@query
+def republished_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' texts published and published anew; a reader in the middle of it has the old ones."""
+    place = atomic.Published(spark, scratch.folder(spark))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_number"), F.col("html").alias("text"), F.lit(None).cast("string").alias("payload"))
+    place.publish(lambda path: files.write_pages(pages.where(F.col("page_number") % 3 != 0), path))
+    seen = []
+
+    def again(path: str) -> None:
+        files.write_pages(pages.withColumn("text", F.concat("text", F.lit("!"))), path)
+        seen.append(place.current())
+
+    place.publish(again)
+    read = lambda path, when: files.page_texts(spark, path).select(F.lit(when).alias("read"), "page_number", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return read(seen[0], "before").unionByName(read(place.current(), "after"))
