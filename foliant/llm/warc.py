@@ -38,12 +38,15 @@ from .common import bounded_batches, table
 #: What a response made from a page row says of its capture.
 DATE = "1970-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|hr)\b[^>]*>", re.I)
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.I | re.S)
-TAG = re.compile(r"<[^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|hr)\b", re.I)
+HIDDEN_START = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title")}
+TITLE_START, HTML_START, LINK_START = re.compile(r"<title\b", re.I), re.compile(r"<html\b", re.I), re.compile(r"<a\b", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+HREF_START = re.compile(r"\bhref\s*=", re.I)
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Bytes that a compressed body may become; beyond, it counts as a coding that could not be undone.
+MOST_INFLATED = 1 << 28
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w-]+)", re.I)
 FIELDS = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
@@ -60,10 +63,88 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_ID, chr(0).join(parts))}>"
 
 
+# What follows reads markup forwards, by find() from one mark to the next: where a mark's end isn't found, no later one of
+# its kind has an end either, so nothing is searched twice and time grows with the page's length alone.
+
+
+def without_hidden(page: str) -> str:
+    """Comments and elements that are not shown, each as a blank; those that are never closed stay."""
+    out, at, search, dead = [], 0, 0, set()
+    while found := HIDDEN_START.search(page, search):
+        name = (found[1] or "").lower()
+        search = found.end()
+        if name in dead:
+            continue
+        if name:
+            close = CLOSING[name].search(page, search)
+            end = close.end() if close else -1
+        else:
+            end = page.find("-->", search)
+            end = end + 3 if end >= 0 else -1
+        if end < 0:
+            dead.add(name)
+            if len(dead) == 5:
+                break
+            continue
+        out += page[at : found.start()], " "
+        at = search = end
+    out.append(page[at:])
+    return "".join(out)
+
+
+def without_tags(page: str) -> str:
+    """Tags of blocks as line feeds, then without all others; what a tag's end is missing for stays."""
+    out, at = [], 0
+    while found := BLOCK_TAG.search(page, at):
+        if (end := page.find(">", found.end())) < 0:
+            break
+        out += page[at : found.start()], "\n"
+        at = end + 1
+    out.append(page[at:])
+    page, out, at = "".join(out), [], 0
+    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
+        out.append(page[at:start])
+        at = end + 1
+    out.append(page[at:])
+    return "".join(out)
+
+
+def title_of(page: str) -> str:
+    found = TITLE_START.search(page)
+    start = page.find(">", found.end()) if found else -1
+    close = CLOSING["title"].search(page, start + 1) if start >= 0 else None
+    return " ".join(html.unescape(page[start + 1 : close.start()]).split()) if close else ""
+
+
+def language_of(page: str) -> str:
+    """The last lang of the first html tag that has one."""
+    at = 0
+    while found := HTML_START.search(page, at):
+        end = page.find(">", found.end())
+        stop = end if end >= 0 else len(page)
+        if every := LANG.findall(page, found.end(), stop):
+            return every[-1].lower()
+        at = stop  # tags that begin before this end have no more than this one
+    return ""
+
+
+def links_of(page: str) -> list[str]:
+    """The last href of each link's tag."""
+    out, at = [], 0
+    while found := LINK_START.search(page, at):
+        end = page.find(">", found.end())
+        stop = end if end >= 0 else len(page)
+        starts = [m.start() for m in HREF_START.finditer(page, found.end(), stop)]
+        value = next((v for s in reversed(starts) if (v := HREF.match(page, s))), None)
+        at = value.end() if value else max(stop, found.end())
+        if value:
+            out.append(html.unescape(value[1] or value[2] or value[3] or ""))
+    return out
+
+
 def text_of(page: str) -> str:
     """The page's text: a line for each block, no markup, scripts, styles or comments."""
-    bare = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(bare).split("\n"))
+    lines = (" ".join(x.split()) for x in html.unescape(without_tags(without_hidden(page))).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -102,14 +183,17 @@ def unchunked(body: bytes) -> bytes:
         at = end + 2 + n + 2
 
 
-def inflated(body: bytes, coding: str) -> bytes:
-    """The body decoded, members one after another; as it is if it isn't so coded."""
-    out = []
+def inflated(body: bytes, coding: str, most: int = MOST_INFLATED) -> bytes | None:
+    """The body decoded, members one after another; as it is if it isn't so coded; None if it would be longer than most."""
+    out, held = [], 0
     try:
         while body:
             wide = 31 if coding.endswith("gzip") else 15 if body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0 else -15
             one = zlib.decompressobj(wide)
-            out.append(one.decompress(body) + one.flush())
+            out.append(one.decompress(body, most - held + 1))
+            held += len(out[-1])
+            if held > most:
+                return None
             body = one.unused_data
     except zlib.error:
         pass  # what follows a sound member is padding
@@ -125,7 +209,8 @@ def decoded(header: bytes, payload: bytes) -> tuple[bytes, str]:
             if coding == "chunked":
                 payload = unchunked(payload)
             elif coding in ("gzip", "x-gzip", "deflate"):
-                payload = inflated(payload, coding)
+                if (payload := inflated(payload, coding)) is None:
+                    return b"", f"{coding} of over {MOST_INFLATED} bytes"
             elif coding not in ("", "identity"):
                 return b"", coding
     return payload, ""
@@ -167,19 +252,18 @@ def derived(page: int | None, source: str | None, uri: str | None, date: str | N
     body, undecoded = decoded(header, payload)
     text = decode(header, body)
     plain = text_of(text)
-    title, lang = TITLE.search(text), LANG.search(text)
     facts = {
         "source-content-type": next((x.partition(":")[2].strip() for x in header.decode("latin-1").split("\r\n") if x.lower().startswith("content-type:")), ""),
         "source-status": header.split(b"\r\n", 1)[0].decode("latin-1"),
         "source-length": str(len(payload)),
-        "title": " ".join(html.unescape(title[1]).split()) if title else "",
-        "languages": lang[1].lower() if lang else "",
+        "title": title_of(text),
+        "languages": language_of(text),
         "text-length": str(len(plain)),
     }
     if undecoded:
         facts["source-undecoded"] = undecoded
     carried = [f"source-http-{k}: {v}" for k, v in header_lines(header.partition(b"\r\n")[2])] + [f"source-record-{k}: {v}" for k, v in record]
-    links = ["outlink: " + html.unescape(a or b or c) for a, b, c in LINK.findall(HIDDEN.sub(" ", text))]
+    links = ["outlink: " + link for link in links_of(without_hidden(text))]
     out = []
     for kind, mime, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts.items()) + "".join(f"{x}\r\n" for x in carried + links)), ("conversion", "text/plain", plain)):
         raw = body.encode()
