@@ -44,8 +44,9 @@ ROWS, LONG_ROWS = 5, 10
 MISS = 1e-6
 #: Classes of a bucket that one task judges, and shingles that they have together at most.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 22
-#: Classes with which all members of a larger bucket are compared in a round, and members that one task compares.
-LEADERS, PART = 1024, 256
+#: Classes with which all members of a larger bucket are compared in a round, and members that one task compares. Spark
+#: limits the groups of a window before it deals them out if at most 1,000 rows of each are wanted; beyond, one task orders all.
+LEADERS, PART = 1000, 256
 #: Members outside the largest component beyond which a bucket is taken apart before its rounds.
 WIDE = 4 * LEADERS
 
