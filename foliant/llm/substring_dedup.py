@@ -26,7 +26,8 @@ from .common import discard, fresh, hash128, materialize, table
 RUN = 3
 MAX_WORDS = 16
 BLANK = r" \t\r\n\f\x0B"
-END = rf"([.!?]+[{BLANK}]+|[。！？]+|\n[{BLANK}]*)"
+#: A run of marks is tried once, from its start, so that long runs without a blank after them cost no more than others.
+END = rf"((?<![.!?])[.!?]++[{BLANK}]++|[。！？]+|\n[{BLANK}]*)"
 #: Ends a sentence while a text is cut; where texts hold it or ESCAPE, both are written with ESCAPE meanwhile.
 MARK, ESCAPE = "\x01", "\x02"
 
