@@ -52,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]
 
-#: Language ID and the tokenizer are not expressible in SQL; tests check stages 2 to 5 against plain Python, the first by its score.
+#: Language ID and the tokenizer are not expressible in SQL; tests restate in plain Python the stages that follow rules.
 ORACLE_SQL = None
 
 

@@ -18,8 +18,8 @@ SPACE = r"[\s\x1C-\x1F]"
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end (trim() takes off blanks alone)."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without white space of any kind at either end (trim() takes off blanks alone). Runs inside are tried once each."""
+    return F.regexp_replace(text, rf"(?U)^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def compose(text: Column) -> Column:
@@ -58,9 +58,9 @@ def split_merged(text: Column) -> Column:
 
 
 def fix_spacing(text: Column) -> Column:
-    """Single blanks; none before punctuation or inside round brackets."""
-    out = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), rf"(?U){SPACE}+([.,:;!?])", "$1")
-    return F.regexp_replace(F.regexp_replace(out, rf"(?U)\({SPACE}+", "("), rf"(?U){SPACE}+\)", ")")
+    """Single blanks; none before punctuation or inside round brackets. A run of white space is tried once, from its start."""
+    out = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), rf"(?U)(?<!{SPACE}){SPACE}++(?=[.,:;!?])", "")
+    return F.regexp_replace(F.regexp_replace(out, rf"(?U)\({SPACE}++", "("), rf"(?U)(?<!{SPACE}){SPACE}++(?=\))", "")
 
 
 def pad_rules(text: Column) -> Column:
@@ -84,7 +84,7 @@ def pad_rules_exact(text: Column) -> Column:
 
         return texts.map(one, na_action="ignore")
 
-    twice = text.rlike("|".join(rf"(?s:{kind}[^{mark}].*?{kind})" for kind, mark in zip(kinds, ("-", "=", "_", "|"), strict=True)))
+    twice = text.rlike("|".join(rf"(?s:(?<![{mark}]){kind}+[^{mark}].*?{kind})" for kind, mark in zip(kinds, ("-", "=", "_", "|"), strict=True)))
     return F.coalesce(F.pandas_udf(run, "string")(F.when(twice, text)), pad_rules(text))
 
 

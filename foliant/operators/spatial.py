@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.text import normalize_symbols
+from ..functions.text import strip
 
 
 def keep_tokens(tokens: DataFrame, least: float = 0.30) -> DataFrame:
-    """Tokens that are sure enough and whose text is not empty once it is normalized."""
-    return tokens.where((F.col("confidence") >= least) & (normalize_symbols(F.col("text")) != ""))
+    """Tokens that are sure enough and whose text is not empty once it is normalized.
+
+    Normalizing replaces what it finds by something visible and else only takes off white space, so asking for that is enough.
+    """
+    return tokens.where((F.col("confidence") >= least) & (strip(F.col("text")) != ""))
 
 
 def keep_regions(regions: DataFrame, kinds: tuple[str, ...] = ("title", "plain text", "table", "figure"), score: float = 0.35, side: int = 20, most: float = 0.95) -> DataFrame:

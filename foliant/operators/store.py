@@ -33,6 +33,22 @@ def list_claims(claims: DataFrame, status: str | None = None, skip: int = 0, lim
     return rows.orderBy(F.col("created_at").desc(), F.col("claim_id").desc()).offset(skip).limit(limit)
 
 
+def claims_after(claims: DataFrame, cursor: tuple | None = None, status: str | None = None, limit: int = 20) -> DataFrame:
+    """The page of claims after the one whose last row had (created_at, claim_id) = cursor; the first one without.
+
+    The order is that of list_claims, but nothing before the cursor is sorted or skipped: the scan leaves it out.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    rows = claims if status is None else claims.where(F.col("status") == status)
+    if cursor is not None:
+        when, last = cursor
+        tied = F.col("claim_id") < last
+        older = F.col("created_at").isNull() & tied if when is None else (F.col("created_at") < F.lit(when)) | ((F.col("created_at") == F.lit(when)) & tied) | F.col("created_at").isNull()
+        rows = rows.where(older)
+    return rows.orderBy(F.col("created_at").desc(), F.col("claim_id").desc()).limit(limit)
+
+
 def search_claims(claims: DataFrame, query: str = "", status: str = "all") -> DataFrame:
     """By a part of the id or file number, and by status."""
     wanted = query.strip().lower()
@@ -93,6 +109,22 @@ def full_view(documents: DataFrame, defaults: dict[str, Column] | None = None) -
     return documents.select(*out)
 
 
+#: The fields of a full record, in order, and what stands for those that are null.
+RECORD_FIELDS = (
+    "id", "document_id", "document_type", "source_file_name", "sequence", "pages_processed", "global_metadata", "all_extracted_entities", "all_extracted_tables", "warnings", "ocr_status", "raw_ocr_response",
+    "structured_ocr_data", "mapped_fields", "mapping_status", "error_message", "processed_page_count", "total_page_count", "review_status", "entity_verification", "entity_remarks", "created_at", "updated_at",
+)
+EMPTY = {"all_extracted_tables": "[]", "raw_ocr_response": "{}", "structured_ocr_data": "{}", "mapped_fields": "{}"}
+
+
+def full_record(documents: DataFrame) -> DataFrame:
+    """All fields of RECORD_FIELDS with their defaults; warnings without a list of a kind have an empty one."""
+    none = F.array().cast("array<string>")
+    said = F.struct(*[F.coalesce(F.col(f"warnings.{n}"), none).alias(n) for n in ("ignored_handwritten_content", "unmapped_ambiguous_text_regions")])
+    defaults = {n: F.lit(v) for n, v in EMPTY.items()} | {"review_status": F.lit("pending")}
+    return full_view(documents.withColumn("warnings", said).select(*RECORD_FIELDS), defaults)
+
+
 def existing(rows: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.join(claims.select("claim_id"), "claim_id", "left_semi")
 

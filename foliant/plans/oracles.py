@@ -495,7 +495,7 @@ c AS (SELECT page, list_reduce(l, lambda cols, v: CASE WHEN len(list_filter(cols
 SELECT t.page, token_id, list_position(list_sort(cols), list_filter(cols, lambda c: abs(c - x) < 40)[1])::INTEGER AS "column" FROM tokens t JOIN c ON c.page = t.page"""
 
 
-def streamed_callbacks_sql(batches: int) -> str:
+def streamed_callbacks_sql(batches: int, summary: bool = False) -> str:
     """One callback of a claim after another: a state a turn, numbered after the second turn of each batch."""
     turns = f"range(2, {2 * batches + 2})"
     parts = [f"""{LINES},
@@ -530,6 +530,9 @@ i{turn} AS (
 x{turn} AS (SELECT claim_id, document_type, unnest(range(1, n + 1)) AS free FROM (SELECT claim_id, document_type, count(*) + coalesce(max(sequence), 0) AS n FROM u{turn} GROUP BY ALL)),
 f{turn} AS (SELECT x.*, row_number() OVER (PARTITION BY claim_id, document_type ORDER BY free) AS k FROM x{turn} x ANTI JOIN u{turn} u ON u.claim_id = x.claim_id AND u.document_type = x.document_type AND u.sequence = x.free),
 s{turn} AS MATERIALIZED (SELECT k.* EXCLUDE (k) REPLACE (coalesce(k.sequence, f.free)::INTEGER AS sequence) FROM k{turn} k LEFT JOIN f{turn} f ON f.claim_id = k.claim_id AND f.document_type = k.document_type AND f.k = k.k)""")
+    if summary:
+        return "WITH " + ",\n".join(parts) + f"""
+SELECT claim_id, count(*) AS document_count, arg_min(part, (created_at, id)) FILTER (part IS NOT NULL) AS part FROM s{2 * batches + 1} GROUP BY claim_id"""
     return "WITH " + ",\n".join(parts) + f"""
 SELECT s.claim_id, document_type, source_file_name, sequence, s.status, error_message, part, review_status, s.created_at, s.updated_at, coalesce(l.status, 'uploaded') AS claim_status, coalesce(l.told, o_orderdate) AS claim_updated_at
 FROM s{2 * batches + 1} s JOIN orders ON o_orderkey::VARCHAR = s.claim_id LEFT JOIN (SELECT claim_id, arg_max(status, turn) AS status, max(told) AS told FROM c GROUP BY claim_id) l ON l.claim_id = s.claim_id"""
@@ -559,3 +562,21 @@ SELECT document_type, id, sequence FROM z"""
 ORACLES["republished_pages"] = f"""
 SELECT 'before' AS read, page_id::INTEGER AS page_number, md5({strip('html')}) AS digest FROM pages WHERE page_id % 3 <> 0 AND html IS NOT NULL
 UNION ALL SELECT 'after', page_id::INTEGER, md5({strip("html || '!'")}) FROM pages WHERE html IS NOT NULL"""
+ORACLES["kept_summaries"] = streamed_callbacks_sql(2, summary=True)
+ORACLES["claims_pages"] = f"""
+WITH {CLAIMS}, r AS (SELECT claim_id, created_at, row_number() OVER (ORDER BY created_at DESC, claim_id DESC) - 1 AS n FROM claims WHERE status = 'Completed')
+SELECT (n // 40)::INTEGER AS page, claim_id, created_at FROM r WHERE n < 200"""
+ORACLES["full_records"] = f"""
+WITH {LINES}, d AS (SELECT *, l_linenumber % 2 = 0 AS bare, l_linestatus || '_' || l_linenumber || '.json' AS f FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0 AND l_linenumber > 1)
+SELECT 'old-' || o_orderkey || '-' || f AS id, NULL::VARCHAR AS document_id, l_linestatus AS document_type, f AS source_file_name, l_linenumber::INTEGER AS sequence, '[]' AS pages_processed, '{{}}' AS global_metadata,
+       CASE WHEN bare THEN '{{}}' ELSE '{{"part":"old"}}' END AS all_extracted_entities, '[]' AS all_extracted_tables,
+       '{{"ignored_handwritten_content":[' || CASE WHEN bare THEN '' ELSE '"w"' END || '],"unmapped_ambiguous_text_regions":[]}}' AS warnings, 'completed' AS ocr_status, '{{}}' AS raw_ocr_response, '{{}}' AS structured_ocr_data,
+       '{{}}' AS mapped_fields, NULL::VARCHAR AS mapping_status, NULL::VARCHAR AS error_message, CASE WHEN NOT bare THEN l_linenumber END::INTEGER AS processed_page_count, NULL::INTEGER AS total_page_count,
+       CASE WHEN bare THEN 'pending' ELSE 'approved' END AS review_status, '{{}}' AS entity_verification, '{{}}' AS entity_remarks, o_orderdate AS created_at, o_orderdate AS updated_at
+FROM d"""
+ORACLES["streamed_sessions"] = """
+WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events),
+e AS (SELECT user_id, ts, event_id FROM events, m WHERE NOT (event_id % 10 = 3 AND ts < middle)),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, session"""

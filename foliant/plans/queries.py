@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, payloads, quality, text
 from ..operators import batches, callbacks, classify, consolidate, spatial, store
 from ..sources import atomic, files, scratch
-from ..streaming.store import CommittedTables, VersionedTable, callback_stream, upsert_stream
+from ..streaming.store import CommittedTables, VersionedTable, callback_stream, session_stream, upsert_stream
 from . import tables
 from .tables import table
 
@@ -971,3 +972,69 @@ def republished_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place.publish(again)
     read = lambda path, when: files.page_texts(spark, path).select(F.lit(when).alias("read"), "page_number", F.md5(F.col("text").cast("binary")).alias("digest"))
     return read(seen[0], "before").unionByName(read(place.current(), "after"))
+
+
+@query
+def claims_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages of completed claims, each from where the one before ended."""
+    claims, pages, cursor = tables.claims(spark, sf_dir), [], None
+    for page in range(5):
+        rows = store.claims_after(claims, cursor, "Completed", 40)
+        pages.append(rows.select(F.lit(page).alias("page"), "claim_id", "created_at"))
+        last = rows.orderBy("created_at", "claim_id").first()
+        if last is None:
+            break
+        cursor = last["created_at"], last["claim_id"]
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the stored documents with its default, as text; some have nothing but their keys."""
+    bare = F.col("sequence") % 2 == 0
+    docs = _call_documents(spark, sf_dir).withColumns({
+        "all_extracted_entities": F.when(~bare, F.col("all_extracted_entities")), "review_status": F.when(~bare, F.col("review_status")), "processed_page_count": F.when(~bare, F.col("sequence")),
+        "warnings": F.when(~bare, F.struct(F.array(F.lit("w")).alias("ignored_handwritten_content"), F.lit(None).cast("array<string>").alias("unmapped_ambiguous_text_regions"))),
+    })
+    plain = lambda name, kind: F.to_json(name) if kind.startswith(("array", "map", "struct")) else F.col(name)
+    out = store.full_record(docs)
+    return out.select(*[plain(n, k).alias(n) for n, k in out.dtypes])
+
+
+@query
+def kept_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of documents and first parts of claims, kept up to date by a stream of callbacks."""
+    path, batches_ = scratch.folder(spark), 2
+    schemas = {"claims": "claim_id string, status string, created_at timestamp_ntz, updated_at timestamp_ntz", "documents": callbacks.DOCUMENT, "summaries": "claim_id string, document_count bigint, part string"}
+    kept = CommittedTables(spark, f"{path}/store", schemas, {n: ["claim_id"] for n in schemas}, 8)
+    docs = _call_documents(spark, sf_dir)
+    first = docs.withColumn("entities", F.map_entries("all_extracted_entities"))
+    aliases = {"part": ("part",)}
+    sums = store.document_counts(first).join(store.alias_summary(first, aliases), "claim_id", "left")
+    kept.commit({"claims": _call_claims(spark, sf_dir), "documents": docs, "summaries": sums}, 0)
+    said = scratch.stored(_calls(spark, sf_dir))
+    for batch in range(1, batches_ + 1):
+        said.where(F.floor(F.col("turn") / 2) == batch).repartition(CALL_FILES).write.mode("append").parquet(f"{path}/calls")
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", CALL_FILES).parquet(f"{path}/calls")
+    callback_stream(stream, kept, ["turn"], f"{path}/state", aliases).awaitTermination()
+    return kept.read("summaries")
+
+
+@query
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events streamed in batches and grouped by gaps; what comes after the watermark is dropped."""
+    path, user = scratch.folder(spark), F.col("user_id")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    span = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    middle = span["first"] + (span["last"] - span["first"]) / 2
+    late = (F.col("event_id") % 10 == 3) & (F.col("ts") < F.lit(middle))
+    end = spark.createDataFrame([(-1, -1, span["last"] + timedelta(days=30))], "event_id bigint, user_id bigint, ts timestamp")
+    for part in (events.where(~late & (F.col("ts") < F.lit(middle))), events.where(F.col("ts") >= F.lit(middle)), events.where(late & (F.col("ts") < F.lit(middle - timedelta(days=1)))), end):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/events")  # one file, so one batch
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    session_stream(stream, ["user_id"], "ts", "6 hours", "1 hour", f"{path}/sessions", f"{path}/state").awaitTermination()
+    found = spark.read.parquet(f"{path}/sessions").where(user >= 0)
+    return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 
 import pytest
@@ -88,3 +89,12 @@ def test_mime_and_upload(spark):
     df = spark.createDataFrame([(None, "http://x/a.PDF?x=1", "a.PDF", 1), ("text/x", "u", "apdf", 1), ("", "http://x/a", "b.png", 26_214_401)], "g string, u string, f string, s long")
     got = df.select(text.mime_type(F.col("g"), F.col("u")).alias("m"), text.upload_allowed(F.col("f"), F.col("s")).alias("ok")).collect()
     assert [(r["m"], r["ok"]) for r in got] == [("application/pdf", True), ("text/x", False), ("application/octet-stream", False)]
+
+
+def test_long_runs_are_read_once(spark):
+    texts = ["\n" * 100_000, "a" + " \n" * 60_000 + "b", "(" + "\t" * 80_000 + "x", "-" * 60_000, "|" * 60_000 + "a", "a  \n ,b ( c ) . d ;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.perf_counter()
+    got = [r[0] for r in df.select(text.clean(F.col("t"))).collect()]
+    assert time.perf_counter() - began < 30 and got[0] == "" and got[5] == "a,b (c). d;"
+    assert [r[0] for r in df.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
