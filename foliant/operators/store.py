@@ -252,8 +252,12 @@ def ingest(stored: DataFrame, payload: DataFrame, fields: list[str]) -> DataFram
 
 
 def merge_documents(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
-    """Documents with incoming ones merged in by claim and file name, else type; the newest of a key; sequences filled."""
-    keyed = latest(merge_key(incoming), ["claim_id", "_key"], "updated_at", "document_type")
+    """Documents with incoming ones merged in by claim and file name, else type; the newest of a key; sequences filled.
+
+    Of rows as new, the one of the last place counts, where incoming has places. A row without a file name meets only such
+    rows here; callbacks.ingest and apply_callbacks change the first row of its type, whatever its file.
+    """
+    keyed = latest(merge_key(incoming), ["claim_id", "_key"], "updated_at", "place" if "place" in incoming.columns else "document_type")
     merged = upsert(merge_key(stored), keyed, ["claim_id", "_key"], fields)
     return fill_sequences(merged.drop("_key"), ["claim_id", "document_type"], ["created_at", "source_file_name"])
 
@@ -269,12 +273,12 @@ def ingest_callbacks(claims: DataFrame, stored: DataFrame, callbacks: DataFrame,
     """Claims and documents after callbacks (claim_id, document_type, file_url, ocr_status, updated_at, structured_entries, raw_entries).
 
     Each entry (document_type, source_file_name, all_extracted_entities) is a document; a callback without entries is one
-    document of its own type. Fields that an entry lacks are the callback's. Later callbacks win.
+    document of its own type. Fields that an entry lacks are the callback's. Later callbacks win, and later entries of one.
     """
     ahead = callbacks.select("claim_id", F.col("document_type").alias("_type"), "ocr_status", "updated_at", "structured_entries", "raw_entries")
     said = callback_entries(ahead, ["_type", "ocr_status", "updated_at"])
     found = said.select(
-        "claim_id", F.coalesce("entry.document_type", "_type").alias("document_type"), F.col("entry.source_file_name").alias("source_file_name"),
+        "claim_id", "place", F.coalesce("entry.document_type", "_type").alias("document_type"), F.col("entry.source_file_name").alias("source_file_name"),
         F.coalesce("entry.all_extracted_entities", F.create_map().cast("map<string,string>")).alias("all_extracted_entities"),
         trailing_number(F.col("entry.source_file_name")).alias("sequence"), F.lower("ocr_status").alias("ocr_status"), claim_status(F.col("ocr_status")).alias("status"), "updated_at",
     )

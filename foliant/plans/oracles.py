@@ -580,3 +580,33 @@ e AS (SELECT user_id, ts, event_id FROM events, m WHERE NOT (event_id % 10 = 3 A
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
 SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, session"""
+FIRST_DOCUMENTS = f"""{LINES},
+d AS (
+  SELECT o_orderkey AS o, o_orderkey::VARCHAR AS claim_id, l_linestatus AS t, l_linestatus || '_' || l_linenumber || '.json' AS f, l_linenumber::INTEGER AS n, o_orderdate AS made
+  FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0 AND l_linenumber > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, t ORDER BY n) AS i FROM d)"""
+ORACLES["one_row_fails"] = f"""
+WITH {FIRST_DOCUMENTS},
+x AS (SELECT o_orderkey::VARCHAR AS claim_id, CASE WHEN o_orderkey % 4 = 0 THEN 'letter' ELSE 'F' END AS t, o_orderdate + INTERVAL 2 DAY AS told FROM orders WHERE o_orderkey % 6 < 4)
+SELECT coalesce(r.claim_id, x.claim_id) AS claim_id, coalesce(r.t, x.t) AS document_type, f AS source_file_name, CASE WHEN x.t IS NULL THEN 'completed' ELSE 'failed' END AS status,
+       CASE WHEN x.t IS NOT NULL THEN 'try 2' END AS error_message, CASE WHEN x.t IS NULL THEN 'old' END AS part, CASE WHEN r.t IS NOT NULL THEN 'approved' END AS review_status,
+       coalesce(x.told, made) AS created_at, coalesce(x.told, made) AS updated_at
+FROM r FULL JOIN x ON x.claim_id = r.claim_id AND x.t = r.t AND r.i = 1"""
+# Turn 1 makes files 1, which are never there before, turn 2 changes or makes files 2, turn 3 changes the first of its type:
+# a stored one if there is one, else file 1 or file 2, whichever there is.
+ORACLES["ingest_in_turn"] = f"""
+WITH {FIRST_DOCUMENTS},
+p AS (SELECT o_orderkey::VARCHAR AS claim_id, l_linestatus AS t, l_linenumber::INTEGER AS n, l_linestatus || '_' || l_linenumber || '.json' AS f, l_partkey::VARCHAR AS part, o_orderdate + l_linenumber * INTERVAL 1 DAY AS told
+      FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 4 < 2 AND l_linenumber IN (1, 2, 3) AND o_orderkey % 50 <> 5),
+u AS (SELECT coalesce(d.claim_id, p.claim_id) AS claim_id, coalesce(d.t, p.t) AS t, coalesce(d.f, p.f) AS f, coalesce(d.n, p.n) AS n, CASE WHEN p.f IS NULL THEN 'completed' ELSE 'processing' END AS status, coalesce(p.part, 'old') AS part,
+             CASE WHEN d.f IS NOT NULL THEN 'approved' END AS review_status, coalesce(d.made, p.told) AS made, coalesce(p.told, d.made) AS told
+      FROM d FULL JOIN (SELECT * FROM p WHERE n < 3) p ON p.claim_id = d.claim_id AND p.f = d.f),
+v AS (SELECT *, row_number() OVER (PARTITION BY claim_id, t ORDER BY made, n) AS i FROM u),
+q AS (SELECT * FROM p WHERE n = 3),
+m AS (SELECT coalesce(v.claim_id, q.claim_id) AS claim_id, coalesce(v.t, q.t) AS document_type, CASE WHEN q.t IS NULL THEN v.f END AS source_file_name, CASE WHEN q.t IS NULL THEN v.n END AS sequence,
+             CASE WHEN q.t IS NULL THEN v.status ELSE 'processing' END AS status, coalesce(q.part, v.part) AS part, review_status, coalesce(v.made, q.told) AS created_at, coalesce(q.told, v.told) AS updated_at
+      FROM v FULL JOIN q ON q.claim_id = v.claim_id AND q.t = v.t AND v.i = 1), {NUMBERED}
+SELECT z.claim_id, document_type, source_file_name, sequence, z.status, part, review_status, created_at, updated_at, CASE WHEN z.claim_id IN (SELECT claim_id FROM p) THEN 'processing' ELSE 'uploaded' END AS claim_status FROM z"""
+ORACLES["indexed_search"] = f"""
+WITH {CLAIMS}, q(part, wanted) AS (VALUES ('fn-11', 'completed'), ('fn-7', 'all'), ('77', 'uploaded'), ('nowhere', 'all'))
+SELECT part, claim_id, file_no, status FROM claims JOIN q ON (contains(lower(claim_id), part) OR contains(lower(file_no), part)) AND (wanted = 'all' OR lower(status) = wanted)"""

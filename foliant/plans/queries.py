@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, payloads, quality, text
-from ..operators import batches, callbacks, classify, consolidate, spatial, store
+from ..operators import batches, callbacks, classify, consolidate, search, spatial, store
 from ..sources import atomic, files, scratch
 from ..streaming.store import CommittedTables, VersionedTable, callback_stream, session_stream, upsert_stream
 from . import tables
@@ -596,10 +596,38 @@ def dispatch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.max("l_shipdate").alias("l_shipdate"))
     docs = one.select(
         F.col("l_orderkey").cast("string").alias("claim_id"), F.col("l_linestatus").alias("document_type"), done.alias("status"), done.alias("ocr_status"), when.alias("created_at"), when.alias("updated_at"), F.lit(None).cast("string").alias("error_message"),
-    )
+    ).withColumn("id", F.concat_ws("-", "claim_id", "document_type"))
     o = F.col("o_orderkey")
     failures = table(spark, sf_dir, "orders").where(o % 4 == 0).select(o.cast("string").alias("claim_id"), F.when(o % 8 == 0, "O").otherwise("letter").alias("document_type"), F.lit("no answer").alias("message"), F.col("o_orderdate").alias("failed_at"))
-    return store.failed_documents(docs, failures)
+    return callbacks.failed_documents(docs, failures).drop("id")
+
+
+@query
+def one_row_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with several documents of a type, of which a dispatch that failed twice changes the first one."""
+    docs = _call_documents(spark, sf_dir)
+    o = F.col("o_orderkey")
+    once = table(spark, sf_dir, "orders").where(o % 6 < 4).select(o.cast("string").alias("claim_id"), F.when(o % 4 == 0, "letter").otherwise("F").alias("document_type"), F.col("o_orderdate").alias("t"))
+    failures = once.select("claim_id", "document_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), "t").select("claim_id", "document_type", F.concat(F.lit("try "), F.col("n").cast("string")).alias("message"), (F.col("t") + F.make_dt_interval(F.col("n"))).alias("failed_at"))
+    part = F.try_element_at("all_extracted_entities", F.lit("part")).alias("part")
+    return callbacks.failed_documents(docs, failures).select("claim_id", "document_type", "source_file_name", "status", "error_message", part, "review_status", "created_at", "updated_at")
+
+
+@query
+def ingest_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come in one by one: by file name, and without one into the first document of their type."""
+    docs = _call_documents(spark, sf_dir)
+    n, line = F.col("l_linenumber"), F.col("l_linenumber").cast("string")
+    name = F.when(n != 3, F.concat(F.col("l_linestatus"), F.lit("_"), line, F.lit(".json")))
+    rows = _lines(spark, sf_dir).where((F.col("l_orderkey") % 4 < 2) & n.isin(1, 2, 3)).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    payload = rows.select(
+        F.when(F.col("o_orderkey") % 50 == 5, "gone").otherwise(F.col("o_orderkey").cast("string")).alias("claim_id"), F.col("l_linestatus").alias("document_type"), name.alias("source_file_name"), n.alias("turn"),
+        F.create_map(F.lit("part"), F.col("l_partkey").cast("string")).alias("all_extracted_entities"), (F.col("o_orderdate") + F.make_dt_interval(n)).alias("updated_at"),
+    )
+    claims, out = callbacks.ingest(_call_claims(spark, sf_dir), docs, payload, ["turn", "document_type"], scratch.stored)
+    part = F.try_element_at("all_extracted_entities", F.lit("part")).alias("part")
+    told = claims.select("claim_id", F.col("status").alias("claim_status"))
+    return out.join(told, "claim_id").select("claim_id", "document_type", "source_file_name", "sequence", "status", part, "review_status", "created_at", "updated_at", "claim_status")
 
 
 @query
@@ -1038,3 +1066,17 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_stream(stream, ["user_id"], "ts", "6 hours", "1 hour", f"{path}/sessions", f"{path}/state").awaitTermination()
     found = spark.read.parquet(f"{path}/sessions").where(user >= 0)
     return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "events")
+
+
+@query
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by parts of their ids and file numbers, through an index of trigrams; a part of two characters scans."""
+    claims = tables.claims(spark, sf_dir)
+    index = search.TrigramIndex(spark, scratch.folder(spark), 16)
+    index.add(claims.where(F.col("claim_id").cast("long") % 2 == 0))
+    index.add(claims.where(F.col("claim_id").cast("long") % 2 == 1))
+    out = None
+    for part, status in ((" fn-11 ", "completed"), ("FN-7", "all"), ("77", "uploaded"), ("nowhere", "all")):
+        rows = index.search(claims, part, status).select(F.lit(part.strip().lower()).alias("part"), "claim_id", "file_no", "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
