@@ -45,9 +45,8 @@ def keep_cells(cells: DataFrame) -> DataFrame:
 
 def first_tokens(tokens: DataFrame, page: list[str], grid: int = 5) -> DataFrame:
     """One token of those with the same lower-cased text on the same grid square: the first in order of token_id."""
-    key = [F.lower(F.trim("text")), F.bround(F.col("x") / grid), F.bround(F.col("y") / grid)]
-    place = F.row_number().over(Window.partitionBy(*page, *key).orderBy("token_id"))
-    return tokens.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    key = [F.lower(strip(F.col("text"))).alias("_text"), F.bround(F.col("x") / grid).alias("_x"), F.bround(F.col("y") / grid).alias("_y")]
+    return tokens.groupBy(*page, *key).agg(F.min_by(F.struct(*tokens.columns), "token_id").alias("_first")).select("_first.*")
 
 
 def union_tokens(of_regions: DataFrame, of_page: DataFrame, page: list[str]) -> DataFrame:

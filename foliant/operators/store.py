@@ -77,9 +77,9 @@ def latest(rows: DataFrame, keys: list[str], by: str, ties: str) -> DataFrame:
 
 
 def first_of_type(documents: DataFrame) -> DataFrame:
-    """The first document of each claim and type."""
-    order = Window.partitionBy("claim_id", "document_type").orderBy(F.col("sequence").asc_nulls_first(), "id")
-    return documents.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+    """The first document of each claim and type, those without a sequence first: a minimum, as in latest."""
+    own = F.min_by(F.struct(*documents.columns), F.struct("sequence", "id"))
+    return documents.groupBy("claim_id", "document_type").agg(own.alias("_row")).select("_row.*")
 
 
 def list_documents(documents: DataFrame, claim_id: str) -> DataFrame:
