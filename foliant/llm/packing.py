@@ -40,7 +40,7 @@ ROWS = 1000
 #: Texts of these characters only are tokenized word by word: they are in normal form, and white space parts them.
 PLAIN = re.compile(r"[\t\n\r -~\xa1-\xff]*")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-z0-9ªµº²³¹¼-¾ß-öø-ÿ]+")
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, int], tuple] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -49,15 +49,15 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def load(path: str) -> tuple:
+def load(path: str, remembered: int = REMEMBERED) -> tuple:
     """(tokenizer, numpy type of stored ids, encode function) of this worker, made once."""
-    if path not in _loaded:
+    if (path, remembered) not in _loaded:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _loaded[path] = tokenizer, kind, encoder(tokenizer, kind)
-    return _loaded[path]
+        _loaded[path, remembered] = tokenizer, kind, encoder(tokenizer, kind, remembered)
+    return _loaded[path, remembered]
 
 
 def byte_letters() -> dict[int, str]:
@@ -67,7 +67,7 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
-def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
+def encoder(tokenizer, kind: np.dtype, remembered: int = REMEMBERED) -> Callable[[str], bytes]:
     """text -> stored ids, equal to tokenizer.encode(text, add_special_tokens=False).ids.
 
     Plain texts go word by word through a bounded memory, since words repeat; this holds for vocabularies whose
@@ -89,7 +89,7 @@ def encoder(tokenizer, kind: np.dtype) -> Callable[[str], bytes]:
                 out = b"".join([known.get(p) or word(p) for p in parts])
             else:
                 out = array(code, [t.id for t in model.tokenize(w.translate(letters))]).tobytes()
-        if len(known) >= REMEMBERED:
+        if len(known) >= remembered:
             known, old = {}, known
         known[w] = out
         return out
@@ -117,13 +117,13 @@ def scans_files(documents: DataFrame) -> bool:
     return node.nodeName().startswith("LogicalRelation") and bool(documents.inputFiles())
 
 
-def tokenized(documents: DataFrame, path: str, end_id: int = END_ID, by_files: bool = False) -> DataFrame:
+def tokenized(documents: DataFrame, path: str, end_id: int = END_ID, by_files: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """file string, block long, part int, start long (in these three), doc_id, doc_tokens long, ids binary; in input order."""
     by_files = by_files and scans_files(documents)
     place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if by_files else [F.lit(""), F.lit(0).cast("long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, kind, encode = load(path)
+        _, kind, encode = load(path, remembered)
         part, end, at = TaskContext.get().partitionId(), np.array([end_id], kind).tobytes(), {}
         for batch in slices(batches):
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
@@ -142,14 +142,15 @@ def tokenized(documents: DataFrame, path: str, end_id: int = END_ID, by_files: b
     return rows.mapInArrow(run, "file string, block long, part int, start long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, by_files: bool = False) -> DataFrame:
-    """One boundary record for each piece of a document; with_ids adds the piece's token ids.
+def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, by_files: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """One boundary record for each piece of a document; with_ids adds the piece's token ids. remembered: words that a
+    worker keeps twice; fewer take less memory and more time.
 
     Broadcast: one row of a path and three numbers for each input partition or, by_files, each split of a file,
     whatever their size.
     """
     path = path or vocabulary()
-    stored = materialize(tokenized(documents, path, end_id, by_files))
+    stored = materialize(tokenized(documents, path, end_id, by_files, remembered))
     # Writers name files part-N with at least five digits, so beyond those the number goes before the name.
     number = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
     before = Window.orderBy(number, "file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,7 +163,7 @@ def pack(documents: DataFrame, path: str | None = None, max_tokens: int = MAX_TO
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = load(path)[1]
+        kind = load(path, remembered)[1]
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc_id, at, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
