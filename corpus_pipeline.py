@@ -19,6 +19,8 @@ from foliant.llm.common import discard, fresh, materialize, table
 
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
+#: Words that a tokenizing worker keeps twice: fewer than packing alone allows, since workers hold other stages' models too.
+REMEMBERED = 1 << 15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boundary records of full sequences, with token ids, in the order of the files that mixing's range sort wrote."""
-    return packing.pack(docs, with_ids=True, by_files=True)
+    return packing.pack(docs, with_ids=True, by_files=True, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("substring_dedup", substrings), ("mixing", mix), ("packing", pack)]
