@@ -1,6 +1,8 @@
 """Files that pages, classifications and payloads come in, and the tables they become.
 
 Spark lists and reads the files, so they may lie in any store that Spark reads; names come from the file's metadata.
+Texts lie one to a file, or, where Spark has written them for its own next step, many to a bundle: a Parquet file of
+(name, content). The scans take both, also from one folder.
 """
 
 from __future__ import annotations
@@ -19,28 +21,37 @@ PAGE_PAYLOAD = (
     "type:string,serial_no:string,medication_or_item_name:string,dosage_frequency:string>>>>, "
     "warnings struct<ignored_handwritten_content:array<string>,unmapped_ambiguous_text_regions:array<string>>"
 )
+#: The ending of bundles' names, as Spark's writer gives it.
+BUNDLE = ".parquet"
 
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path, name, content: a row a file."""
-    rows = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    """path, name, content: a row a file, bundles left out."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive).where(~F.endswith("_metadata.file_name", F.lit(BUNDLE)))
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 
+def bundled_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, content: a row a text of the bundles below the folder; its path is the bundle's and its name."""
+    rows = spark.read.schema("name string, content string").parquet(path, pathGlobFilter=f"*{BUNDLE}", recursiveFileLookup=True)
+    return rows.select(F.concat_ws("/", "_metadata.file_path", "name").alias("path"), "name", "content")
+
+
 def page_number(path: str = "path") -> F.Column:
     """The number of page_<n> in the file's name, or, for files that Spark has named, in their folder's."""
     return F.nullif(F.regexp_extract(path, r"page_(\d+)[^/]*(?:/part-[^/]*)?$", 1), F.lit("")).cast("int")
 
 
 def whole_files(spark: SparkSession, path: str, ending: str) -> DataFrame:
-    """path, name, content of files with the ending, or of files that Spark has written into a folder with it.
+    """path, name, content of texts whose names have the ending: files, texts in bundles, and files that Spark has written into a folder with it.
 
     Such a folder is named <key>=<name>, one file in it; the line end that Spark's writer adds is taken off.
     """
     name = F.regexp_extract("path", r"([^/=]*)(?:/part-[^/]*)?$", 1)
     written = F.col("path").rlike("/part-[^/]*$")
     files = whole_texts(spark, path).withColumn("name", name).where(F.endswith("name", F.lit(ending)))
-    return files.withColumn("content", F.when(written, F.regexp_replace("content", r"\n\z", "")).otherwise(F.col("content")))
+    loose = files.withColumn("content", F.when(written, F.regexp_replace("content", r"\n\z", "")).otherwise(F.col("content")))
+    return loose.unionByName(bundled_texts(spark, path).where(F.endswith("name", F.lit(ending))))
 
 
 def classifications(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +100,11 @@ def write_texts(rows: DataFrame, path: str, folders: list[str], content: str = "
     rows.select(*folders, content).repartition(*folders).write.mode("overwrite").partitionBy(*folders).text(path)
 
 
+def write_bundles(texts: DataFrame, path: str) -> None:
+    """Named texts (name, content), many to a file: a task writes one bundle, so files and commits don't grow with the texts."""
+    texts.select("name", "content").write.mode("overwrite").parquet(path)
+
+
 def write_merged(batches: DataFrame, path: str) -> None:
     """Merged texts below one folder a document type, as merged_documents reads them."""
     write_texts(batches, path, ["document_type", "file_name"])

@@ -92,3 +92,15 @@ def test_scratch_folders_need_a_shared_place():
         scratch.folder(session("yarn", None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.folder(session("local-cluster[2,1,1024]", None))
+
+
+def test_bundled_payloads_are_few_files_beside_loose_ones(spark, tmp_path):
+    payload = lambda n: json.dumps({"page_number": n, "document_type_classified": "lab\n"})
+    texts = spark.createDataFrame([(f"raw_json_{n}.json", payload(n) if n % 2 else "nope") for n in range(500)], "name string, content string")
+    files.write_bundles(texts.coalesce(2), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("*.parquet"))) == 2  # a file a task, not one a text
+    (tmp_path / "p" / "raw_json_loose.json").write_text(payload(1000))
+    (tmp_path / "p" / "notes.txt").write_text("no payload")
+    got = files.page_payloads(spark, str(tmp_path / "p"))
+    assert sorted(r["page_number"] for r in got.collect()) == [*range(1, 500, 2), 1000]
+    assert files.whole_texts(spark, str(tmp_path / "p")).count() == 2  # bundles are no texts themselves
