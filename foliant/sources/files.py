@@ -111,8 +111,7 @@ def write_merged(batches: DataFrame, path: str) -> None:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """The text and the JSON payload of each page (page_number, text, payload), as the page scans read them."""
+    """The text and the JSON payload of each page (page_number, text, payload) in bundles, as the page scans read them."""
     name = F.concat(F.lit("page_"), F.col("page_number").cast("string"))
-    texts = pages.select(F.concat(name, F.lit("_raw.txt")).alias("file"), F.col("text").alias("content"))
-    payloads = pages.select(F.concat(name, F.lit(".json")).alias("file"), F.col("payload").alias("content"))
-    write_texts(texts.unionByName(payloads).where(F.col("content").isNotNull()), path, ["file"])
+    both = F.array(*[F.struct(F.concat(name, F.lit(ending)).alias("name"), F.col(c).alias("content")) for c, ending in (("text", "_raw.txt"), ("payload", ".json"))])
+    write_bundles(pages.select(F.inline(F.filter(both, lambda t: t["content"].isNotNull()))), path)

@@ -104,3 +104,12 @@ def test_bundled_payloads_are_few_files_beside_loose_ones(spark, tmp_path):
     got = files.page_payloads(spark, str(tmp_path / "p"))
     assert sorted(r["page_number"] for r in got.collect()) == [*range(1, 500, 2), 1000]
     assert files.whole_texts(spark, str(tmp_path / "p")).count() == 2  # bundles are no texts themselves
+
+
+def test_pages_are_written_as_few_files(spark, tmp_path):
+    pages = spark.range(300).selectExpr("cast(id as int) page_number", "if(id % 5 = 4, null, concat(' t', id, '\n\n')) text", "if(id % 4 = 3, '{broken', '{\"document_type\": \"A\"}') payload")
+    files.write_pages(pages.coalesce(2), str(tmp_path / "p"))
+    assert len([f for f in (tmp_path / "p").rglob("*") if not f.name.startswith((".", "_"))]) == 2  # was a file a text, 540 of them
+    assert {tuple(r) for r in files.page_texts(spark, str(tmp_path / "p")).collect()} == {(n, f"t{n}") for n in range(300) if n % 5 != 4}
+    assert files.classifications(spark, str(tmp_path / "p")).count() == 225
+    assert files.artifacts(spark, str(tmp_path / "p")).where("content = ' t7\n\n' and name = 'page_7_raw.txt'").count() == 1  # as it was given
