@@ -140,17 +140,27 @@ def document_counts(documents: DataFrame) -> DataFrame:
 def alias_summary(documents: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES, entities: str = "entities") -> DataFrame:
     """claim_id and a column for each field: the value of the first document, in order of (created_at, id), that has one.
 
-    Inside a document the aliases' order decides, and of keys that are the same when normalized the last counts.
+    Inside a document the aliases' order decides, and of keys that are the same when normalized the last counts. Of
+    documents with equal (created_at, id) the one of the better alias counts, then that of the smaller value.
     entities: array of (key, value), in order.
     """
-    ranks = [F.struct(F.lit(field).alias("field"), F.lit(i).alias("rank"), F.lit("".join(c for c in name if c.isalnum())).alias("name")) for field, names in aliases.items() for i, name in enumerate(names)]
-    each = documents.select("claim_id", "created_at", "id", F.posexplode(entities).alias("pos", "e")).withColumn("name", alias_key(F.col("e.key")))
-    wanted = each.withColumn("f", F.explode(F.filter(F.array(*ranks), lambda r: r["name"] == F.col("name"))))
-    last = wanted.groupBy("claim_id", "created_at", "id", "f").agg(F.max_by("e.value", "pos").alias("value"))
-    usable = last.where(F.col("value").isNotNull() & ~F.col("value").isin("", "Not Available"))
-    order = F.struct("created_at", "id", F.col("f.rank"))
-    picks = [F.min_by(F.when(F.col("f.field") == n, F.col("value")), F.when(F.col("f.field") == n, order)).alias(n) for n in aliases]
-    return usable.groupBy("claim_id").agg(*picks)
+
+    def best(named: Column, names: tuple[str, ...]) -> Column:
+        """rank and value of the first name with a usable value in one document, else null."""
+        last = lambda name: F.try_element_at(F.filter(named, lambda e: e["name"] == "".join(c for c in name if c.isalnum())), F.lit(-1))["value"]
+        found = F.array(*[F.struct(F.lit(i).alias("rank"), last(name).alias("value")) for i, name in enumerate(names)])
+        return F.get(F.filter(found, lambda c: c["value"].isNotNull() & ~c["value"].isin("", "Not Available")), F.lit(0))
+
+    # The entities are a lambda's variable, so they are normalized once.
+    named = F.array(F.transform(entities, lambda e: F.struct(alias_key(e["key"]).alias("name"), e["value"].alias("value"))))
+    every = F.get(F.transform(named, lambda own: F.struct(*[best(own, names).alias(field) for field, names in aliases.items()])), F.lit(0))
+    each = documents.select("claim_id", "created_at", "id", every.alias("_of"))
+
+    def first(field: str) -> Column:
+        own = F.col(f"_of.{field}")
+        return F.min_by(own["value"], F.when(own.isNotNull(), F.struct("created_at", "id", own["rank"], own["value"]))).alias(field)
+
+    return each.groupBy("claim_id").agg(*[first(n) for n in aliases]).where(F.coalesce(*aliases).isNotNull())
 
 
 def claim_summaries(claims: DataFrame, documents: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:

@@ -136,7 +136,7 @@ ORACLES["claim_summary"] = f"""
 WITH {CLAIMS}, {DOCUMENTS}, a(field, rank, name) AS (VALUES {_names}),
 e AS (SELECT claim_id, created_at, id, unnest(entities) AS e FROM docs),
 u AS (SELECT e.*, field, rank FROM e JOIN a ON a.name = e.e.k WHERE e.e.v IS NOT NULL AND e.e.v NOT IN ('', 'Not Available')),
-f AS (SELECT *, row_number() OVER (PARTITION BY claim_id, field ORDER BY created_at, id, rank) AS n FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY claim_id, field ORDER BY created_at, id, rank, e.v) AS n FROM u),
 g AS (SELECT claim_id, {", ".join(f"max(e.v) FILTER (field = '{n}') AS {n}" for n in ALIASES)} FROM f WHERE n = 1 GROUP BY claim_id),
 d AS (SELECT claim_id, count(*) AS document_count FROM docs GROUP BY claim_id)
 SELECT c.claim_id, coalesce(document_count, 0) AS document_count, {", ".join(ALIASES)}
