@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -76,3 +77,21 @@ def test_folders_are_replaced_at_once(spark, tmp_path):
     assert read() == [10, 11]
     place.publish(lambda path: spark.range(5, 6).write.parquet(path))
     assert read() == [5] and len([p for p in (tmp_path / "pages").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_callbacks_of_a_batch_are_dealt_by_claim(spark, tmp_path, monkeypatch):
+    """One file of callbacks is worked on by many tasks, and the streamed queries make their entries without JSON."""
+    from foliant.plans import queries
+    from foliant.streaming import store
+
+    seen = []
+    monkeypatch.setattr(store.scratch, "stored", lambda rows: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or rows)
+    schemas = {"claims": "claim_id string, status string", "documents": queries.callbacks.DOCUMENT}
+    kept = store.CommittedTables(spark, str(tmp_path / "s"), schemas, {n: ["claim_id"] for n in schemas}, 2)
+    kept.commit({"claims": spark.createDataFrame([("a", "uploaded")], schemas["claims"])}, 0)
+    calls = spark.createDataFrame([], "turn int, " + queries.callbacks.CALLBACK).coalesce(1)
+    store.apply_callback_batch(calls, 0, kept, ["turn"])
+    assert "RepartitionByExpression [claim_id" in seen[0]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        plan = queries._calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "to_json" not in plan
