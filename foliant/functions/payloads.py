@@ -22,9 +22,10 @@ def sanitize_key(key: Column, position: Column | None = None, overrides: dict[st
     out = F.regexp_replace(F.regexp_replace(out, "[^a-z0-9_]+", ""), "_+", "_")
     out = F.regexp_replace(out, "^_+|_+$", "")
     for old, new in overrides.items():
-        out = F.when(out == old, new).otherwise(out)
+        out = F.regexp_replace(out, rf"\A\Q{old}\E\z", new)
     fallback = F.lit("column") if position is None else F.concat(F.lit("column_"), position.cast("string"))
-    return F.coalesce(F.nullif(out, F.lit("")), fallback)
+    # Each step names the one before once: in lambdas, what is named twice is made twice, and so are all steps before it.
+    return F.coalesce(F.get(F.filter(F.array(out), lambda key: key != ""), F.lit(0)), fallback)
 
 
 def distinct_keys(keys: Column) -> Column:

@@ -84,3 +84,12 @@ def test_geometry(spark):
     assert one(spark, geometry.contains(box(0, 0, 10, 10), F.lit(10), F.lit(0))) is True
     points = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((1, 2), (8, 2), (8, 7), (1, 7))])
     assert tuple(one(spark, geometry.summary(points))) == (1, 2, 8, 7, 7, 5, 4, 4)
+
+
+def test_a_key_is_sanitized_in_one_pass(spark):
+    plan = spark.range(1).select(payloads.sanitize_key(F.col("id").cast("string"), F.col("id")).alias("k"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") == 1  # each step was there four times over
+    keys = [" Exp. ", "exp x", "??", None, "exp\n", "Claim No."]
+    rows = spark.createDataFrame([(k, i if i != 5 else None) for i, k in enumerate(keys)], "k string, i int").coalesce(1)
+    got = rows.select(payloads.sanitize_key(F.col("k"), F.col("i")).alias("a"), payloads.sanitize_key(F.col("k")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("expiry", "expiry"), ("exp_x", "exp_x"), ("column_2", "column"), ("column_3", "column"), ("expiry", "expiry"), ("claim_no", "claim_no")]
