@@ -175,6 +175,17 @@ def test_sequences_of_many_rows(spark):
         assert got[i] == number
 
 
+def test_sequences_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 1000)
+    keyed = spark.range(20_000).select((F.col("id") % 5000).alias("claim"), "id", F.when(F.col("id") % 4 == 0, 2).alias("sequence"))
+    out = store.fill_sequences(keyed, ["claim"], ["id"], tasks=store.tasks_for(keyed))
+    numbered = out.where(F.col("id") % 4 != 0).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert store.tasks_for(keyed) == 21 and len(numbered) == 21 and max(r["count"] for r in numbered) < 2000
+    assert out.groupBy("claim").agg(F.sort_array(F.collect_list("sequence")).alias("s")).select("s").distinct().count() == 2
+    kept = store.fill_hot_sequences(keyed, ["claim"], ["id"], lambda rows: rows.cache())
+    assert len(kept.where(F.col("id") % 4 != 0).groupBy(F.spark_partition_id()).count().collect()) == 21
+
+
 def test_upsert_keeps_other_fields(spark):
     stored = spark.createDataFrame([("a", 1, "keep", 10, 10), ("b", 2, "keep", 10, 10)], "k string, v int, other string, created_at int, updated_at int")
     new = spark.createDataFrame([("a", 9, 5), ("c", 3, 20)], "k string, v int, updated_at int")
