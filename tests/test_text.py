@@ -98,3 +98,19 @@ def test_long_runs_are_read_once(spark):
     got = [r[0] for r in df.select(text.clean(F.col("t"))).collect()]
     assert time.perf_counter() - began < 30 and got[0] == "" and got[5] == "a,b (c). d;"
     assert [r[0] for r in df.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def test_exact_rules_stay_in_spark(spark):
+    """The rule itself, run by run; the runs and the cleaner around them need no Python."""
+
+    def plain(t: str) -> str:
+        for kind in ("-{3,}", "={3,}", "_{3,}", r"\|{2,}"):
+            for found in re.findall(kind, t):
+                t = t.replace(found, f" {found} ")
+        return t
+
+    samples = ["a---b----c---", "||x|||y||", "=== --- ___ || ----", "$1---\\---", "-- = _ |", ""]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    out = df.select(text.pad_rules_exact(F.col("t")).alias("t"), text.clean(F.col("t"), composed=False).alias("c"))
+    assert [r["t"] for r in out.collect()] == [plain(s) for s in samples]
+    assert "EvalPython" not in out._jdf.queryExecution().toString()
