@@ -263,34 +263,39 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], fields: list
     return both.withColumns(out).select(*stored.columns)
 
 
-def ingest(stored: DataFrame, payload: DataFrame, fields: list[str]) -> DataFrame:
-    """Documents with incoming ones merged in as processing, and sequences filled."""
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def ingest(stored: DataFrame, payload: DataFrame, fields: list[str], keep: Keep | None = None) -> DataFrame:
+    """Documents with incoming ones merged in as processing, and sequences filled. keep: see merge_documents."""
     ready = payload.withColumns({
         "sequence": F.coalesce("sequence", trailing_number(F.col("source_file_name"))),
         "ocr_status": F.lit("processing"), "status": F.lit("processing"),
     })
-    return merge_documents(stored, ready, fields)
+    return merge_documents(stored, ready, fields, keep)
 
 
-def merge_documents(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
+def merge_documents(stored: DataFrame, incoming: DataFrame, fields: list[str], keep: Keep | None = None) -> DataFrame:
     """Documents with incoming ones merged in by claim and file name, else type; the newest of a key; sequences filled.
 
     Of rows as new, the one of the last place counts, where incoming has places. A row without a file name meets only such
     rows here; callbacks.ingest and apply_callbacks change the first row of its type, whatever its file.
+    keep stores a table and reads it again: filling reads the merged rows three times, which else are merged each time.
     """
     keyed = latest(merge_key(incoming), ["claim_id", "_key"], "updated_at", "place" if "place" in incoming.columns else "document_type")
-    merged = upsert(merge_key(stored), keyed, ["claim_id", "_key"], fields)
-    return fill_sequences(merged.drop("_key"), ["claim_id", "document_type"], ["created_at", "source_file_name"])
+    merged = upsert(merge_key(stored), keyed, ["claim_id", "_key"], fields).drop("_key")
+    merged = keep(merged) if keep else merged
+    return fill_sequences(merged, ["claim_id", "document_type"], ["created_at", "source_file_name"], tasks=tasks_for(merged) if keep else None)
 
 
-def ingest_bulk(claims: DataFrame, stored: DataFrame, payload: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def ingest_bulk(claims: DataFrame, stored: DataFrame, payload: DataFrame, fields: list[str], keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Claims and documents after many documents at once: their claims are completed, the documents stay processing."""
     done = payload.select("claim_id", F.lit("completed").alias("_status")).distinct()
     told = claims.join(done, "claim_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
-    return told, ingest(stored, payload, fields)
+    return told, ingest(stored, payload, fields, keep)
 
 
-def ingest_callbacks(claims: DataFrame, stored: DataFrame, callbacks: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def ingest_callbacks(claims: DataFrame, stored: DataFrame, callbacks: DataFrame, fields: list[str], keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Claims and documents after callbacks (claim_id, document_type, file_url, ocr_status, updated_at, structured_entries, raw_entries).
 
     Each entry (document_type, source_file_name, all_extracted_entities) is a document; a callback without entries is one
@@ -303,7 +308,7 @@ def ingest_callbacks(claims: DataFrame, stored: DataFrame, callbacks: DataFrame,
         F.coalesce("entry.all_extracted_entities", F.create_map().cast("map<string,string>")).alias("all_extracted_entities"),
         trailing_number(F.col("entry.source_file_name")).alias("sequence"), F.lower("ocr_status").alias("ocr_status"), claim_status(F.col("ocr_status")).alias("status"), "updated_at",
     )
-    return apply_callbacks(claims, callbacks), merge_documents(stored, found, fields)
+    return apply_callbacks(claims, callbacks), merge_documents(stored, found, fields, keep)
 
 
 def apply_callbacks(claims: DataFrame, callbacks: DataFrame) -> DataFrame:

@@ -206,6 +206,23 @@ def test_ingest(spark):
     assert got["scan.json"]["sequence"] == 1 and got["scan.json"]["created_at"] == t[2]
 
 
+def test_ingest_merges_once(spark, tmp_path):
+    when = datetime(2024, 1, 1)
+    kinds = "claim_id string, document_type string, source_file_name string, sequence int, status string, ocr_status string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    stored = spark.createDataFrame([("c", "t", f"a_{i}.json", None, "completed", "completed", when, when) for i in range(5)], kinds)
+    incoming = spark.createDataFrame([("c", "t", f"a_{i}.json", None, None, None, when, when) for i in range(3, 8)], kinds)
+    fields, kept = ["document_type", "source_file_name", "sequence", "status", "ocr_status", "updated_at"], []
+
+    def keep(rows):
+        kept.append(str(tmp_path / f"kept{len(kept)}"))
+        rows.write.parquet(kept[-1])
+        return spark.read.parquet(kept[-1])
+
+    out = store.ingest(stored, incoming, fields, keep)
+    assert len(kept) == 1 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(out.collect()) == sorted(store.ingest(stored, incoming, fields).collect())
+
+
 def test_claim_changes(spark):
     claims = spark.createDataFrame([("1", "uploaded"), ("2", "uploaded")], "claim_id string, status string")
     changes = spark.createDataFrame([("1", "reviewed"), ("2", "approved")], "claim_id string, status string")
