@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon
@@ -119,6 +119,17 @@ def automaton_scores(text: Column, words: Lexicon) -> Column:
     return scores(F.nullif(text, F.lit("")))
 
 
+#: Bytes of a batch of texts that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of about BATCH_BYTES, however long they are, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def has_automaton() -> bool:
     try:
         import ahocorasick  # noqa: F401
@@ -138,6 +149,7 @@ def classify(pages: DataFrame, text: str = "text", words: Lexicon | None = None,
     normal = F.col("_normal")
     scored = pages.withColumn("_normal", normalize(F.col(text)))
     if has_automaton() if automaton is None else automaton:
+        bounded_batches(pages.sparkSession)
         scored = scored.withColumn("_all", automaton_scores(normal, words)).withColumns({f"_s_{k}": F.coalesce(F.get("_all", F.lit(i)), F.lit(0)) for i, k in enumerate(kinds)}).drop("_all")
     else:
         scored = scored.withColumns({f"_s_{k}": type_score(normal, k, words) for k in kinds})

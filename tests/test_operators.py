@@ -257,3 +257,15 @@ def test_evidence_is_counted_once(spark, tmp_path):
     out = QUERIES["keyword_evidence"](spark, str(tmp_path))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     assert {(r["keyword"], r["pages"], r["hits"]) for r in out.collect()} == {("invoice", 1, 1), ("tax invoice", 1, 1), ("gst", 1, 1), ("gstin", 1, 1), ("total", 1, 2)}
+
+
+def test_texts_go_to_the_classifier_in_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    try:
+        for given, wanted in ((None, classify.BATCH_BYTES), (1 << 20, 1 << 20)):
+            spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+            classify.classify(spark.createDataFrame([("invoice",)], "text string"), automaton=True)
+            assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
