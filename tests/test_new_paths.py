@@ -108,3 +108,27 @@ def test_streamed_sessions_read_many_files_a_batch(spark, tmp_path, monkeypatch)
     assert len(list((tmp_path / "work" / "events").glob("*.parquet"))) > 4  # was one file a batch, so one task
     monkeypatch.undo()
     assert wanted == {tuple(r) for r in queries.streamed_sessions(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_streamed_calls_are_as_many_files_as_tasks(spark, tmp_path, monkeypatch):
+    """Each batch of calls is written once, by all tasks that have rows, and the stream runs once for each; a table is read before its version is there."""
+    from types import SimpleNamespace
+
+    from foliant.plans import queries
+    from foliant.streaming import store
+
+    listed = spark.range(1, 200, numPartitions=6).selectExpr("id o_orderkey", "timestamp_ntz'2024-01-01' o_orderdate", "array(struct(1 l_linenumber, 'F' l_linestatus, 5L l_partkey)) lines")
+    files = []
+
+    def ran(stream, *_):
+        files.append(len(list((tmp_path / "calls").glob("*.parquet"))))
+        return SimpleNamespace(awaitTermination=lambda: None)
+
+    monkeypatch.setattr(queries, "callback_stream", ran)
+    queries._stream_calls(spark, "", listed, None, str(tmp_path), 2)
+    assert files == [6, 12]  # was four a batch, after a shuffle
+    read = spark.read.schema(f"turn int, {queries.callbacks.CALLBACK}").parquet(str(tmp_path / "calls"))
+    one = read.where("structured_entries IS NOT NULL").first()
+    assert one["structured_entries"][1]["content"]["all_extracted_entities"] == {"part": "5"} and one["structured_entries"][1]["content"]["warnings"] is None and one["mapped_fields"] is None
+    kept = store.CommittedTables(spark, str(tmp_path / "s"), {"claims": "claim_id string"}, {"claims": ["claim_id"]}, 2)
+    assert kept.write("claims", spark.createDataFrame([("a",)], "claim_id string"), 0).count() == 1 and kept.version() == -1
